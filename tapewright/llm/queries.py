@@ -23,6 +23,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parity_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), 3, 4, 5)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -31,6 +37,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
+    "op7_parity_join": op7_parity_join,
     "op10_bpe": op10_bpe,
 }
 
