@@ -29,12 +29,24 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parity_join import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), 3, 4, 5)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import write_and_read
+
+    return write_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -44,7 +56,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op6_html_text": op6_html_text,
     "op7_parity_join": op7_parity_join,
+    "op8_warc": op8_warc,
     "op10_bpe": op10_bpe,
 }
 
