@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import Plan, mix, mix_sql
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert import shards
+
+    return shards(_table(spark, sf_dir, "documents"), 8)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -29,6 +37,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: Production weights of the mixing query.
+MIX = Plan(domains={"web": 4.0, "books": 2.0}, languages={"en": 3.0}, budget=0.5, epochs=2, seed=17)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), MIX, ["doc_id"])
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -54,12 +70,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hilbert_shards": op1_hilbert_shards,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_mixing": op5_mixing,
     "op6_html_text": op6_html_text,
     "op7_parity_join": op7_parity_join,
     "op8_warc": op8_warc,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mix_sql(MIX)}
