@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -208,7 +208,8 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -
             out[i] = common * den >= num * (len(p) + len(q) - common)
         return pd.Series(out)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "row_key"), "fp").checkpoint()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "row_key"), "fp")
+    wanted = written(wanted, "wanted")
     few = wanted.count() <= BROADCAST_IDS
     # other texts may share a row_key: their fingerprints tell them apart
     texts = docs.select("row_key", "text").join(F.broadcast(wanted) if few else wanted, "row_key").select("fp", "text")
@@ -225,13 +226,21 @@ def near_duplicates(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5)
     shingles and is its own component; fewer than ``width`` words are one shingle.
     Rows with equal texts, and repeated rows, share a component.  A null doc_id is linked
     like any other but never names a component unless all its members are null.
-    Columns other than doc_id and text are not read; an empty table gives an empty result.
+    row_key tells rows apart (the doc_id, else a hash of the text) and kept_key is the row_key
+    of the one document that stands for its component.  Columns other than doc_id and text
+    are not read; an empty table gives an empty result.
     """
+    shared_dir(docs.sparkSession)
+    return _near_duplicates(docs, Rule(num, den, width))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text))
+
+
+def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
-    shared_dir(spark)
-    rule = Rule(num, den, width)
-    doc_id = F.col("doc_id").cast("long")
-    docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("row_key"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
     told = spark.sparkContext.broadcast(frequent_values(docs, rule))
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,22 +262,22 @@ def near_duplicates(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5)
 
     # first the neighbour with which a class shares most buckets, next all neighbours, last all that share a bucket
     chained = shared.filter("before is not null").groupBy(F.col("before").alias("a"), F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    near = _similar_sketches(chained, classes, rule).select("a", "b", "times").checkpoint()
+    near = written(_similar_sketches(chained, classes, rule).select("a", "b", "times"), "neighbours")
     ends = near.select("a", "b", "times", F.explode(F.array("a", "b")).alias("fp"))
     best = ends.groupBy("fp").agg(F.max(F.struct("times", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = _linked(best, classes, docs, rule).checkpoint()
+    links = written(_linked(best, classes, docs, rule), "links")
     labels = components(links)
     for step in ("neighbours", "all"):
         pairs = near if step == "neighbours" else _similar_sketches(_across(shared, labels, rule), classes, rule)
-        rest = _apart(pairs, labels).checkpoint()
+        rest = written(_apart(pairs, labels), "apart")
         if not rest.isEmpty():
-            links = links.union(_linked(rest, classes, docs, rule)).checkpoint()
+            links = written(links.union(_linked(rest, classes, docs, rule)), "links")
             labels = components(links)
 
     named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lowest = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    lowest = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min("row_key").alias("any_key"))
     out = named.join(lowest, "label", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row_key", F.coalesce("component_id", "any_key", "row_key").alias("kept_key"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,7 +292,7 @@ def _across(shared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Distinct pairs of classes that share a bucket but no component, of sizes that allow a link."""
     rows = shared.select("key", "fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rows = rows.join(mixed, "key", "left_semi").checkpoint()
+    rows = written(rows.join(mixed, "key", "left_semi"), "mixed")
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "label"))) for s in "ab")
     fits = F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("label_a") != F.col("label_b")) & fits)
