@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: At most so many labelled rows are learned from.
 LABELLED = 20_000
 #: At most so many terms; the best-supported ones stay.
@@ -291,7 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, limit: int = LABELLED
     sample = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # `limit` rows of twelve bytes at most, so the documents need no shuffle
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(sample), "doc_id")
-    once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).checkpoint()
+    once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    once = written(once, "labelled")
     size = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic = size.get(1, 0)
     if not n_toxic or not size.get(0):
@@ -326,22 +329,21 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, limit: int = LABELLED
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with score, predicted and the numbers of exact, misspelled and quoted hits; no shuffle."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with score, predicted and the numbers of exact, misspelled and quoted hits; no shuffle."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    held: dict[str, Scorer] = {}
-    schema = ", ".join(f"{docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = held.setdefault("scorer", told.value.scorer())
-        for batch in batches:
-            found = [scorer.evidence(x if isinstance(x, str) else None) for x in batch["text"]]
-            p = [told.value.score(e[0]) for e in found]
+    @F.pandas_udf("score double, predicted int, exact_hits int, misspelled_hits int, quoted_hits int")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = told.value
+        scorer = model.scorer()
+        for texts in batches:
+            found = [scorer.evidence(x if isinstance(x, str) else None) for x in texts]
+            p = [model.score(e[0]) for e in found]
             kinds = {k: [e[i] for e in found] for i, k in ((1, "exact_hits"), (2, "misspelled_hits"), (3, "quoted_hits"))}
-            yield batch[keep].assign(score=p, predicted=[int(x >= 0.5) for x in p], **kinds)
+            yield pd.DataFrame({"score": p, "predicted": [int(x >= 0.5) for x in p]} | kinds)
 
-    columns = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*columns).mapInPandas(run, f"{schema}, score double, predicted int, exact_hits int, misspelled_hits int, quoted_hits int")
+    return docs.withColumn("_scored", scored("text")).select(*docs.columns, "_scored.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -351,6 +353,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     and not held out.  Repeated rows give repeated results; other columns are not read.
     """
     model = fit(docs, labels)
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
+    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "exact_hits", "misspelled_hits", "quoted_hits")
