@@ -25,6 +25,12 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_table(spark, sf_dir, "documents"), 8)
 
 
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"), 50, 5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -63,6 +69,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op9_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collision import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), 100, 10)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -71,13 +83,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_cover_tree": op2_cover_tree,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
     "op6_html_text": op6_html_text,
     "op7_parity_join": op7_parity_join,
     "op8_warc": op8_warc,
+    "op9_collision": op9_collision,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mix_sql(MIX)}
+_TOP_PRODUCTS = """WITH usable AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  scored AS (SELECT q.vec_id AS query_id, d.vec_id, max(CAST(list_inner_product(q.v, d.v) AS BIGINT)) AS score
+    FROM usable q JOIN usable d ON d.vec_id <> q.vec_id AND len(d.v) = len(q.v) WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+ORACLE_SQL: dict[str, str] = {"op2_cover_tree": _TOP_PRODUCTS, "op5_mixing": mix_sql(MIX)}
