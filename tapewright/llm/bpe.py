@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PartCache, text_batches
+from .pretokens import PartCache, as_bytes, text_batches
 
 _NONE = np.int64(1) << 60
 #: Words of more bytes are merged with a heap: rounds would pass over all their symbols again and again.
@@ -169,9 +169,9 @@ def codec(path: str) -> tuple[Merges, PartCache]:
 
     merges, pattern = Merges(path), regex.compile(public_tokenizers.PATTERN)
 
-    known: dict[str, tuple[int, ...]] = {}
+    known: dict[str, bytes] = {}
 
-    def pieces(parts: list[str]) -> list[tuple[int, ...]]:
+    def pieces(parts: list[str]) -> list[bytes]:
         # a run of letters, with or without one space before it, is one piece
         found = [[x] if x.isalpha() or x[:1] == " " and x[1:].isalpha() else pattern.findall(x) for x in parts]
         distinct = set(chain.from_iterable(found))
@@ -179,28 +179,12 @@ def codec(path: str) -> tuple[Merges, PartCache]:
         if len(known) + len(fresh) > PIECES:
             known.clear()
             fresh = list(distinct)
-        known.update(zip(fresh, map(tuple, merges.merge_words([p.encode() for p in fresh])), strict=True))
-        return [known[x[0]] if len(x) == 1 else tuple(chain.from_iterable(map(known.__getitem__, x))) for x in found]
+        known.update(zip(fresh, map(as_bytes, merges.merge_words([p.encode() for p in fresh])), strict=True))
+        return [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in found]
 
     return merges, PartCache(pieces, lambda text: pieces([text])[0], merges.special)
 
 
-def _rows(batches: Iterator[pd.DataFrame], path: str, keep_ids: bool) -> Iterator[pd.DataFrame]:
-    merges, cache = codec(path)
-    for batch in batches:
-        texts = [x if isinstance(x, str) else "" for x in batch["text"]]
-        for some in text_batches(texts):
-            all_ids = cache.encode_batch(texts[some])
-            decimal = (",".join(map(merges.decimal.__getitem__, ids)) for ids in all_ids)
-            out = {
-                "doc_id": batch["doc_id"].iloc[some].array,
-                "n_tokens": [len(ids) for ids in all_ids],
-                "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decimal],
-                "decoded_sha256": [hashlib.sha256(merges.decode(ids).encode()).hexdigest() for ids in all_ids],
-            }
-            yield pd.DataFrame(out | ({"ids": all_ids} if keep_ids else {}))
-
-
 def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """Encode each whole text and decode its ids again.
 
@@ -208,6 +192,20 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFra
     also ids array<int>.  A null or empty text has no ids; a null doc_id stays null;
     repeated rows give repeated results; other columns are not read.  No shuffle.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        merges, cache = codec(path)
+        for batch in batches:
+            texts = [x if isinstance(x, str) else "" for x in batch]
+            out = []
+            for some in text_batches(texts):
+                for raw in cache.encode_batch(texts[some]):
+                    ids = np.frombuffer(raw, np.uint32).tolist()
+                    decimal = ",".join(map(merges.decimal.__getitem__, ids))
+                    row = (len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(merges.decode(ids).encode()).hexdigest())
+                    out.append((*row, ids) if keep_ids else row)
+            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInPandas(lambda batches: _rows(batches, path, keep_ids), schema)
+    return narrow.withColumn("_coded", coded("text")).select("doc_id", "_coded.*")

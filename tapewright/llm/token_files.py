@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pretokens import PartCache, text_batches
+from .pretokens import PartCache, as_bytes, text_batches
 from .storage import new_path
 
 #: (ids in a word, bits of each), by selector.  Selector 15 is an escape.
@@ -104,8 +104,8 @@ def _encoder(path: str) -> PartCache:
     tok.no_truncation()
     tok.no_padding()
     return PartCache(
-        lambda parts: [e.ids for e in tok.encode_batch_fast(parts, add_special_tokens=False)],
-        lambda text: tok.encode(text, add_special_tokens=False).ids,
+        lambda parts: [as_bytes(e.ids) for e in tok.encode_batch_fast(parts, add_special_tokens=False)],
+        lambda text: as_bytes(tok.encode(text, add_special_tokens=False).ids),
         {t.content: i for i, t in tok.get_added_tokens_decoder().items()},
     )
 
@@ -114,10 +114,11 @@ def _blocks(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterator
     shard, block, first, size = TaskContext.get().partitionId(), 0, 0, 0
     docs: list[int | None] = []
     counts: list[int] = []
-    held: list[np.ndarray] = []
+    held: list[bytes] = []
+    end = as_bytes([end_id])
 
     def close() -> pd.DataFrame:
-        ids = np.concatenate(held) if held else np.empty(0, np.uint64)
+        ids = np.frombuffer(b"".join(held), np.uint32)
         words, escapes = pack(ids)
         row = [shard, block, first, len(ids), list(docs), list(counts), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()]
         return pd.DataFrame([row], columns=[x.split(" ")[0] for x in FILE_SCHEMA.split(", ")])
@@ -128,8 +129,8 @@ def _blocks(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterator
         for some in text_batches(texts):
             for doc, ids in zip(doc_ids[some], _encoder(path).encode_batch(texts[some]), strict=True):
                 docs.append(doc)
-                counts.append(len(ids) + 1)
-                held.append(np.array([*ids, end_id], np.uint64))
+                counts.append(len(ids) // 4 + 1)
+                held += (ids, end)
                 size += counts[-1]
                 if size >= BLOCK_IDS:
                     yield close()
