@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mix, shingle_set
-from .storage import deleted, new_path, shared_dir, written
+from .storage import deleted, new_path, shared_dir, small_batches, written
 
 #: Segments per shingle of a band's largest set, so that about half as many nonempty segments again as needed exist.
 SEGMENTS = 0.51
@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5)
     are not read; an empty table gives an empty result.
     """
     shared_dir(docs.sparkSession)
-    return _near_duplicates(docs, Rule(num, den, width))
+    with small_batches(docs.sparkSession, 1000):
+        return _near_duplicates(docs, Rule(num, den, width))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
