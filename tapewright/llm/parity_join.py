@@ -31,12 +31,13 @@ from .components import components
 from .shingles import mix, shingle_set
 from .storage import deleted, new_path, shared_dir, small_batches, written
 
-#: Segments per shingle of a band's largest set, so that about half as many nonempty segments again as needed exist.
-SEGMENTS = 0.51
+#: Segments per shingle of a band's largest set, so that many more nonempty segments exist than are needed
+#: and those that many documents hold can be left out.
+SEGMENTS = 0.8
 #: Values held by fewer documents than this within one input split aren't reported as frequent.
-FREQUENT = 8
+FREQUENT = 3
 #: At most so many frequent values are told to all tasks (12 bytes each); the order of the others is by hash.
-TOLD = 200_000
+TOLD = 500_000
 #: Ids of candidates are broadcast up to this count, else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -103,11 +103,29 @@ def _encoder(path: str) -> PartCache:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return PartCache(
-        lambda parts: [as_bytes(e.ids) for e in tok.encode_batch_fast(parts, add_special_tokens=False)],
-        lambda text: as_bytes(tok.encode(text, add_special_tokens=False).ids),
-        {t.content: i for i, t in tok.get_added_tokens_decoder().items()},
-    )
+    # in a byte-level vocabulary each letter of a token stands for one byte
+    length = np.zeros(1 + max(tok.get_vocab().values()), np.int64)
+    for token, i in tok.get_vocab().items():
+        length[i] = len(token)
+
+    def parts(texts: list[str]) -> list[bytes]:
+        """Parts that begin with white space don't join with what stands before them, so many are encoded as one text and cut."""
+        out = [b""] * len(texts)
+        joined = [i for i, x in enumerate(texts) if x[:1] in (" ", "\n")]
+        single = [i for i, x in enumerate(texts) if x[:1] not in (" ", "\n")]
+        for i, e in zip(single, tok.encode_batch_fast([texts[i] for i in single], add_special_tokens=False), strict=True):
+            out[i] = as_bytes(e.ids)
+        groups = [joined[i : i + 64] for i in range(0, len(joined), 64)]
+        for group, e in zip(groups, tok.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum([len(texts[i].encode()) for i in group])
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(group, (np.searchsorted(np.cumsum(length[ids]), ends) + 1).tolist(), strict=True):
+                out[i], at = raw[4 * at : 4 * end], end
+        return out
+
+    special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+    return PartCache(parts, lambda text: as_bytes(tok.encode(text, add_special_tokens=False).ids), special, limit=600_000)
 
 
 def _blocks(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterator[pd.DataFrame]:
