@@ -91,4 +91,4 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     rows without vec_id; only vectors of one length are compared; rows that share a vec_id
     count once; other columns are not read.  An empty table gives an empty result.
     """
-    return search(usable(vectors, nonzero=True), every, k, in_pair(k), "double", largest=False)
+    return search(usable(vectors, nonzero=True), every, k, in_pair, "double", largest=False)

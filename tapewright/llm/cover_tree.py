@@ -133,4 +133,4 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     length are compared; rows that share a vec_id count once; other columns are not read.
     An empty table gives an empty result.
     """
-    return search(usable(vectors), every, k, in_pair(k), "long", largest=True)
+    return search(usable(vectors), every, k, in_pair, "long", largest=True)

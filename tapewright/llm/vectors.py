@@ -36,16 +36,19 @@ def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
 InPair = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
 
 
-def search(rows: DataFrame, every: int, k: int, in_pair: InPair, kind: str, largest: bool) -> DataFrame:
+def search(rows: DataFrame, every: int, k: int, in_pair: Callable[[int], InPair], kind: str, largest: bool) -> DataFrame:
     """The ``k`` best rows for each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score.
 
-    ``in_pair`` leaves out rows with the query's own vec_id.  Only vectors of one length are
-    compared.  Rows that share a vec_id count once, with the best of their scores.
+    ``in_pair(k)`` finds a pair's ``k`` best rows and leaves out those with the query's own
+    vec_id.  Only vectors of one length are compared.  Rows that share a vec_id count once,
+    with the best of their scores: repeated rows go first, and a pair whose data hold a
+    vec_id up to m times gives its ``k * m`` best rows.
     """
+    rows = rows.dropDuplicates(["vec_id", "embedding"])
     is_query = F.col("vec_id") % every == 0
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     data_groups, query_groups = (max(1, -(-sizes["n"] // DATA_GROUP)), max(1, -(-sizes["q"] // QUERY_GROUP)))
-    dealt = rows.withColumn("dim", F.size("embedding")).withColumn("h", F.xxhash64("vec_id"))
+    dealt = rows.withColumn("dim", F.size("embedding")).withColumn("h", F.xxhash64("vec_id", "embedding"))
     everyone = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = dealt.select("vec_id", "embedding", "dim", F.pmod("h", F.lit(data_groups)).cast("int").alias("d"), everyone(query_groups).alias("q"))
     queries = dealt.filter(is_query).select("vec_id", "embedding", "dim", F.pmod(F.shiftright("h", 20), F.lit(query_groups)).cast("int").alias("q"), everyone(data_groups).alias("d"))
@@ -55,7 +58,8 @@ def search(rows: DataFrame, every: int, k: int, in_pair: InPair, kind: str, larg
         out = []
         if len(q) and len(d):
             q, d = q.sort_values("vec_id"), d.sort_values("vec_id")
-            out = list(in_pair(q["vec_id"].to_numpy(), np.stack(q["embedding"]), d["vec_id"].to_numpy(), np.stack(d["embedding"])))
+            m = int(d["vec_id"].value_counts().max())
+            out = list(in_pair(k * m)(q["vec_id"].to_numpy(), np.stack(q["embedding"]), d["vec_id"].to_numpy(), np.stack(d["embedding"])))
         if not out:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, rows, scores = zip(*out, strict=True)
