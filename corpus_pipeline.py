@@ -17,7 +17,7 @@ from tapewright.llm.mixing import Plan, mix
 from tapewright.llm.parity_join import near_duplicates, row_key
 from tapewright.llm.queries import tokenizer_path
 from tapewright.llm.storage import written
-from tapewright.llm.toxicity import fit, score
+from tapewright.llm.toxicity import accepted, fit
 
 #: Nine tenths of the tokens, by equal weights at every level, no document twice.
 MIX = Plan(budget=0.9, epochs=1, seed=23)
@@ -26,7 +26,7 @@ MIX = Plan(budget=0.9, epochs=1, seed=23)
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels among them, doesn't take for toxic."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter("predicted = 0").select(docs.columns)
+    return accepted(docs, model)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +38,17 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     groups = near_duplicates(docs, 3, 4, 5)
     others = groups.filter("row_key <> kept_key").select("row_key").distinct()
     again = groups.filter("row_key = kept_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_key")
-    keyed = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    # whole rows in one column: theirs may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     single = keyed.join(others.union(again), "row_key", "left_anti")
-    repeated = keyed.join(again, "row_key", "left_semi").dropDuplicates(["row_key", "text"])
-    return single.unionByName(repeated).select(docs.columns)
+    repeated = keyed.join(again, "row_key", "left_semi").withColumn("text", F.col("doc.text")).dropDuplicates(["row_key", "text"]).drop("text")
+    return single.unionByName(repeated).select("doc.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixing plan takes."""
-    return mix(docs, MIX, docs.columns).select(docs.columns)
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("doc"))
+    return mix(rows, MIX, ["doc"]).select("doc.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,11 +21,11 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import written
@@ -329,9 +329,13 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, limit: int = LABELLED
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score, predicted and the numbers of exact, misspelled and quoted hits; no shuffle."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+#: What scoring adds to a row.
+SCORED = ("score", "predicted", "exact_hits", "misspelled_hits", "quoted_hits")
+
+
+def scoring(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of a text column: a struct of ``SCORED``."""
+    told = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, predicted int, exact_hits int, misspelled_hits int, quoted_hits int")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -343,7 +347,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             kinds = {k: [e[i] for e in found] for i, k in ((1, "exact_hits"), (2, "misspelled_hits"), (3, "quoted_hits"))}
             yield pd.DataFrame({"score": p, "predicted": [int(x >= 0.5) for x in p]} | kinds)
 
-    return docs.withColumn("_scored", scored("text")).select(*docs.columns, "_scored.*")
+    return scored
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the columns ``SCORED``, which replace columns of these names; no shuffle."""
+    kept = [c for c in docs.columns if c not in SCORED]
+    found = docs.select(F.struct(*kept).alias("row"), scoring(docs.sparkSession, model)(F.col("text")).alias("found"))
+    return found.select("row.*", "found.*")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, as they are, whose texts aren't predicted to be toxic."""
+    return docs.filter(scoring(docs.sparkSession, model)(F.col("text"))["predicted"] == 0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
