@@ -109,7 +109,7 @@ def mix(docs: DataFrame, plan: Plan, keep: list[str]) -> DataFrame:
     whole = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(0).cast("int")
     budgets = budgets.select(*LEAF, whole.alias("whole"), (F.col("given") - whole * F.col("tokens")).alias("left"), F.ceil(F.sqrt("n") / 4).cast("long").alias("ranges"), ((F.col("given") > 0) | (F.col("tokens") == 0)).alias("any"))
     # salted, so that a hot leaf's rows neither meet in one task here nor stay together for what follows
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", "tokens"), F.lit(SALTS)).cast("int"))
     dealt = dealt.join(budgets.filter("any").select("*", salts), [*LEAF, "salt"]).drop("salt")
     order = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.coalesce("id", F.lit("-"))))

@@ -14,8 +14,11 @@ band below if a similar smaller document may be there.
 
 Copies have one class (equal sets).  In each bucket the classes are linked in a chain;
 the links are checked (dense parity sketch first, then whole sets) and give components;
+then, in rounds, all classes of a bucket that holds several components are checked against
+its hub, the class with most links so far, which is the original among its near copies;
 then all pairs of classes that share a bucket and are still in different components are
-checked.  So no link between components is lost and no group is expanded into all pairs.
+checked.  So no link between components is lost, and a group that has a centre is not
+expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ SEGMENTS = 0.8
 FREQUENT = 3
 #: At most so many frequent values are told to all tasks (12 bytes each); the order of the others is by hash.
 TOLD = 500_000
+#: Rounds in which buckets are checked against their hubs.
+HUBS = 2
 #: Ids of candidates are broadcast up to this count, else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -254,23 +259,29 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
 
     # buckets with more than one class; window rows stream, so a hot value needs no memory
     order = Window.partitionBy("key").orderBy("fp")
-    entries = signed.filter("n > 0").select("fp", "n", F.explode("keys").alias("key")).withColumn("before", F.lag("fp").over(order))
+    entries = signed.filter("n > 0").select("fp", "n", F.explode("keys").alias("key")).withColumn("before", F.lag("fp").over(order)).withColumn("n_before", F.lag("n").over(order))
     once = entries.filter("before is null or before <> fp").withColumn("after", F.lead("fp").over(order))
-    shared = written(once.filter("before is not null or after is not null").select("key", "fp", "n", "before"), "buckets")
+    shared = written(once.filter("before is not null or after is not null").select("key", "fp", "n", "before", "n_before"), "buckets")
     members = written(signed.select("doc_id", "row_key", "n", "fp", "sketch"), "members")
     deleted(spark, where)
     joined = members.filter("n > 0").join(shared.select("fp").distinct(), "fp", "left_semi")
     classes = written(joined.groupBy("fp").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     # first the neighbour with which a class shares most buckets, next all neighbours, last all that share a bucket
-    chained = shared.filter("before is not null").groupBy(F.col("before").alias("a"), F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    fits = F.least("n", "n_before") * rule.den >= F.greatest("n", "n_before") * rule.num
+    chained = shared.filter(F.col("before").isNotNull() & fits).groupBy(F.col("before").alias("a"), F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     near = written(_similar_sketches(chained, classes, rule).select("a", "b", "times"), "neighbours")
     ends = near.select("a", "b", "times", F.explode(F.array("a", "b")).alias("fp"))
     best = ends.groupBy("fp").agg(F.max(F.struct("times", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     links = written(_linked(best, classes, docs, rule), "links")
     labels = components(links)
-    for step in ("neighbours", "all"):
-        pairs = near if step == "neighbours" else _similar_sketches(_across(shared, labels, rule), classes, rule)
+    for step in ("neighbours", *["hubs"] * HUBS, "all"):
+        if step == "neighbours":
+            pairs = near
+        else:
+            mixed = _mixed(shared, labels)
+            known = near.select("a", "b").union(links)
+            pairs = _similar_sketches(_to_hubs(mixed, known, rule) if step == "hubs" else _across(mixed, rule), classes, rule)
         rest = written(_apart(pairs, labels), "apart")
         if not rest.isEmpty():
             links = written(links.union(_linked(rest, classes, docs, rule)), "links")
@@ -290,12 +301,26 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _across(shared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs of classes that share a bucket but no component, of sizes that allow a link."""
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, fp, n, label) of the buckets that hold more than one component."""
     rows = shared.select("key", "fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rows = written(rows.join(mixed, "key", "left_semi"), "mixed")
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "label"))) for s in "ab")
+    return written(rows.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _to_hubs(mixed: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs of a bucket's hub with each class of another component, of sizes that allow a link."""
+    degree = known.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("degree"))
+    rows = mixed.join(degree, "fp", "left")
+    hubs = rows.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "fp", "n", "label")).alias("hub"))
+    fits = F.least("n", "hub.n") * rule.den >= F.greatest("n", "hub.n") * rule.num
+    pairs = mixed.join(hubs, "key").filter((F.col("label") != F.col("hub.label")) & fits)
+    return pairs.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
+
+
+def _across(mixed: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs of classes that share a bucket but no component, of sizes that allow a link."""
+    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "label"))) for s in "ab")
     fits = F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("label_a") != F.col("label_b")) & fits)
     return pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
