@@ -17,8 +17,8 @@ the links are checked (dense parity sketch first, then whole sets) and give comp
 then, in rounds, all classes of a bucket that holds several components are checked against
 its hub, the class with most links so far, which is the original among its near copies;
 then all pairs of classes that share a bucket and are still in different components are
-checked.  So no link between components is lost, and a group that has a centre is not
-expanded into all pairs.
+checked, those of large buckets as matrices of sketches, block by block, so that only
+pairs whose sketches allow a link are ever rows.  So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ SEGMENTS = 0.8
 FREQUENT = 3
 #: At most so many frequent values are told to all tasks (12 bytes each); the order of the others is by hash.
 TOLD = 500_000
+#: Members of a bucket that are joined with each other; of larger buckets, members in a block.
+SMALL, BLOCK = 64, 2048
 #: Rounds in which buckets are checked against their hubs.
 HUBS = 2
 #: Ids of candidates are broadcast up to this count, else joined by shuffle.
@@ -281,7 +283,7 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
         else:
             mixed = _mixed(shared, labels)
             known = near.select("a", "b").union(links)
-            pairs = _similar_sketches(_to_hubs(mixed, known, rule) if step == "hubs" else _across(mixed, rule), classes, rule)
+            pairs = _similar_sketches(_to_hubs(mixed, known, rule), classes, rule) if step == "hubs" else _across(mixed, classes, rule)
         rest = written(_apart(pairs, labels), "apart")
         if not rest.isEmpty():
             links = written(links.union(_linked(rest, classes, docs, rule)), "links")
@@ -318,9 +320,41 @@ def _to_hubs(mixed: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
 
 
-def _across(mixed: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs of classes that share a bucket but no component, of sizes that allow a link."""
-    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "label"))) for s in "ab")
+def _across(mixed: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs of classes that share a bucket but no component, of sizes and dense sketches that allow a link.
+
+    Members of small buckets are joined.  Large buckets are cut into blocks of about ``BLOCK``
+    members; each pair of blocks is one group, whose sketches are compared as matrices, so
+    that only pairs which pass leave the task.
+    """
+    members = mixed.join(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
+    few = members.filter(F.col("members") <= SMALL)
+    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "label"))) for s in "ab")
     fits = F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("label_a") != F.col("label_b")) & fits)
-    return pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+    joined = _similar_sketches(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), classes, rule).select("a", "b")
+
+    many = members.filter(F.col("members") > SMALL).join(classes.select("fp", "sketch"), "fp")
+    many = many.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    many = many.select("key", "fp", "n", "label", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    many = many.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        size = min(map(len, rows["sketch"]))
+        # folding keeps the bound: halves of a parity sketch XOR together
+        sketch = np.stack([folded(np.frombuffer(x, np.uint8), np.zeros(size, np.uint8))[0] for x in rows["sketch"]]).view(np.uint64)
+        fp, n, label, own = (rows[c].to_numpy() for c in ("fp", "n", "label", "own"))
+        left, right = np.flatnonzero(own == rows["i"].iloc[0]), np.flatnonzero(own == rows["j"].iloc[0])
+        step, out = max(1, (1 << 23) // max(1, len(right) * size)), [np.empty((0, 2), np.int64)]
+        for at in range(0, len(left), step):
+            p = left[at : at + step, None]
+            apart = np.bitwise_count(sketch[p[:, 0]][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            low, high = np.minimum(n[p], n[right]).astype(np.int64), np.maximum(n[p], n[right]).astype(np.int64)
+            ok = (apart <= (low + high) * (rule.den - rule.num) // (rule.den + rule.num)) & (label[p] != label[right]) & (low * rule.den >= high * rule.num)
+            x, y = np.nonzero(ok)
+            found = np.sort(np.stack([fp[p[x, 0]], fp[right[y]]], axis=1), axis=1)
+            out.append(np.unique(found, axis=0))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    in_blocks = many.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long")
+    return joined.union(in_blocks).distinct()

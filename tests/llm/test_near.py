@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from tapewright.llm import parity_join
 from tapewright.llm.parity_join import Rule, near_duplicates
 from tapewright.llm.shingles import shingle_set
 
@@ -66,6 +67,19 @@ def test_chains_of_edits(spark):
     same(near_duplicates(documents(spark, rows).repartition(4)), rows)
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Variants of one text without an original, each near to few others, in buckets of several blocks."""
+    monkeypatch.setattr(parity_join, "SMALL", 4)
+    monkeypatch.setattr(parity_join, "BLOCK", 30)
+    rng, base = np.random.default_rng(5), [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        text, (x, y) = list(base), sorted(rng.choice(60, 2, replace=False).tolist())
+        text[x], text[y] = f"p{i}", f"q{i}"
+        rows.append((i, " ".join(text)))
+    same(near_duplicates(documents(spark, rows).repartition(4)), rows)
+
+
 @pytest.mark.parametrize("sizes", [range(1, 140), [190, 255, 256, 257, 700, 1500]])
 def test_linked_sets_share_a_value(sizes):
     """The pigeonhole bound, right at the threshold: whatever values are called frequent."""
