@@ -13,6 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contracts import DOMAINS
 
@@ -42,7 +43,7 @@ def canonical_json(x: Any) -> str:
     return json.dumps(plain_value(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON text brought into canonical form; Spark's own writer neither sorts keys nor prints doubles alike."""
     for texts in parts:
@@ -67,7 +68,7 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
     """
     rows = events.join(tips.withColumnRenamed("hash", "_tip"), chain, "left") if tips is not None else events.withColumn("_tip", F.lit(None).cast("string"))
     ordered = rows.repartition(*chain).sortWithinPartitions(*chain, *order)
-    keys = sorted([*fields, "prev"])
+    keys, names = sorted([*fields, "prev"]), events.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes) + ", prev_hash string, hash string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +84,7 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
                 prevs.append(last)
                 last = hashlib.sha256(json.dumps({k: record[k] for k in keys}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
                 hashes.append(last)
-            yield batch[events.columns].assign(prev_hash=prevs, hash=hashes)
+            yield batch[names].assign(prev_hash=prevs, hash=hashes)
 
     texts = ordered.select("*", *(F.col(f).cast("string").alias(f"_text_{f}") for f in fields))
     return texts.mapInPandas(run, schema)

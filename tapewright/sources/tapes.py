@@ -40,6 +40,8 @@ def read_lines(spark: SparkSession, path: str, headers: list[str]) -> DataFrame:
     extra = cells - len(headers)
     missing = F.array_join(F.slice(F.array(*map(F.lit, headers)), cells + 1, F.greatest(-extra, F.lit(0))), ",")
     error = F.when(F.col("_raw").isNotNull(), F.when(extra > 0, F.concat(extra.cast("string"), F.lit(" extra column(s) beyond header"))).otherwise(F.concat(F.lit("missing column(s): "), missing)))
+    # Spark refuses queries that read the raw line alone, as counting errors would: an empty piece of a cell goes along
+    error = F.concat(error, F.substring(F.coalesce(F.col(f"`{headers[0]}`"), F.lit("")), 1, 0))
     # one file is read by one task if its cells may hold line ends, so this order is the file's
     ordered = rows.withColumn("_at", F.monotonically_increasing_id())
     numbered = ordered.withColumn("_row", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")))
