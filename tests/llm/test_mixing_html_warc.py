@@ -55,6 +55,21 @@ def test_pages(spark):
     assert extract(df.limit(0)).collect() == []
 
 
+def test_marker_words_are_whole_names():
+    for name in ("post category-social", "post has-comments", "menu"):
+        assert main_text(f'<article class="{name}"><p>{ARTICLE}</p></article>').startswith("The first paragraph")
+    for head in ('<header class="entry-header"><h1>Top</h1></header>', '<h2 class="section-header">Top</h2>', '<h2 class="header">Top</h2>', '<div class="header"><h2>Top</h2></div>'):
+        assert main_text(f"<article>{head}<p>{ARTICLE}</p></article>").startswith("Top\n\nThe first")
+    assert main_text(f'<div class="layout has-sidebar" data-menu="nav" aria-hidden="false"><p>{ARTICLE * 2}</p></div>').startswith("The first")
+    for part in ('<div class="x site_header">no</div>', '<div id="ad">no</div>', "<div hidden>no</div>", '<div class="comments"><article>no</article></div>', "<aside><article>no</article></aside>", '<p class="notice">no'):
+        assert "no" not in main_text(f"<p>{ARTICLE * 2}</p>{part}<p>{ARTICLE * 2}</p>").split()
+
+
+def test_hidden_names_are_whole_names():
+    for tag in ("<svg-icon a='b'></svg-icon>", "<select-menu></select-menu>", "<title-bar></title-bar>", "<svg width=1 />", "<math/>", "<svg>", "<svg>no</svg >", "<script>no</script x>", "<object>no</object\n>"):
+        assert main_text(f"<article><p>{ARTICLE}</p>{tag}<p>More.</p></article>") == ARTICLE.replace("&amp;", "&") + "\n\nMore."
+
+
 def archived(rows, least=0):
     out = []
     for page_id, _, html in rows:
