@@ -1,19 +1,22 @@
 """Main text of HTML pages by the distribution of text over lines.
 
-Markup is stripped to lines, one a block-level element.  Menus, forms, adverts and the
-like leave empty lines behind, and link text outside the article doesn't count.  The lengths of the lines are
-summed over sliding windows: text surges where a window's sum leaves zero and dives where
-it comes back.  Stretches between a surge and a dive are kept if they are inside the
-article element, or, on pages without one, if their largest window reaches ``SURGE``
-characters or is the page's largest.
+Markup is stripped to lines, one a block-level element.  Parts of the page's frame (menus,
+headers, footers and the like) leave empty lines behind, adverts and forms nothing, and link
+text outside the article doesn't count.  The lengths of the lines are summed over sliding
+windows: text surges where a window's sum leaves zero and dives where it comes back.  A
+stretch between a surge and a dive holds text if its largest window reaches ``SURGE``
+characters or is the page's largest.  The article is all there is from the first such surge
+to the last such dive.  An article or main element with at least half of the page's text
+adds ``SURGE`` to each of its lines, so all of it belongs to the article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -108,7 +111,9 @@ class _Page:
             else:
                 return
         if not closing and name not in _VOID and (other := self._other(name, attributes)):
-            self.gap()
+            if other == "frame":
+                self.gap()
+            self.end_line()
             self.skip, self.depth = name, 1 if closed or name not in _OPEN else -1
             self.firm = closed and (other == "nested" or name == "aside")
             return
@@ -210,11 +215,16 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
+    size = Counter()
+    for x in lines:
+        size[x.article] += x.weight
+    largest = max((a for a in size if a), key=lambda a: (size[a], -a), default=0)
+    if largest and size[largest] * 2 >= size.total():
+        lines = [replace(x, weight=x.weight + SURGE) if x.text and x.article == largest else x for x in lines]
     found = stretches(lines)
     best = max((s[2] for s in found), default=0)
-    has_article = any(x.article for x in lines)
-    kept = [s for s in found if lines[s[0]].article or not has_article and s[2] >= min(SURGE, best)]
-    return "\n\n".join(x.text for a, b, _ in kept for x in lines[a:b] if x.text)
+    kept = [s for s in found if s[2] >= min(SURGE, best)]
+    return "\n\n".join(x.text for x in lines[kept[0][0] : kept[-1][1]] if x.text) if kept else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -70,6 +70,16 @@ def test_hidden_names_are_whole_names():
         assert main_text(f"<article><p>{ARTICLE}</p>{tag}<p>More.</p></article>") == ARTICLE.replace("&amp;", "&") + "\n\nMore."
 
 
+def test_windows_choose_the_span():
+    long, told = ARTICLE * 2, (ARTICLE * 2).replace("&amp;", "&")
+    ad, menu = '<div class="ad">Buy</div>', "<nav>Go</nav>"
+    for cut in (ad, "<form>Join</form>", menu):
+        assert main_text(f"<div><p>{long}</p>{cut}<h2>Short</h2>{cut}<p>{long}</p></div>") == f"{told}\n\nShort\n\n{told}"
+    assert main_text(f"<div><h1>Top</h1>{ad}<p>{long}</p>{ad}<p>End.</p></div>{menu}<div>Imprint</div>") == f"Top\n\n{told}\n\nEnd."
+    assert main_text(f"<div><p>{long}</p><p>{long}</p></div>{menu}<article>Teaser</article>") == f"{told}\n\n{told}"
+    assert main_text(f"<article><h1>Top</h1>{menu}<p>{long}</p>{menu}<p>End.</p></article><p>Imprint</p>") == f"Top\n\n{told}\n\nEnd."
+
+
 def archived(rows, least=0):
     out = []
     for page_id, _, html in rows:
