@@ -36,6 +36,11 @@ LABELLED = 20_000
 TERMS = 2_000
 #: A term is at least so many times as common in toxic texts as in clean ones; at SUREST times its weight is 1.
 PURITY, SUREST = 20, 200
+#: A term occurs in at least so many toxic texts, in a sample of any size, and would be as toxic by chance at most so often.
+LEAST, CHANCE = 5, 1e-5
+#: Letters of scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), and lengths of the runs of them that may be terms.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+)")
+GRAMS = (2, 3, 4)
 _WORD = re.compile(r"[^\W_](?:[\w*@$!’'-]*[\w*@$])?")
 #: Characters that stand for letters, quotation marks, reporting words.
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -82,6 +87,15 @@ class Lexicon:
                 return node.term
         return ""
 
+    def pieces(self, run: str) -> list[str]:
+        """The terms in a run without spaces, from left to right, none within another."""
+        out, i = [], 0
+        while i < len(run):
+            term = self.exact(run[i:])
+            out += [term] if term else []
+            i += max(1, len(term))
+        return out
+
     def within(self, word: str, most: int) -> str:
         """A whole-word term at most ``most`` edits (insertion, deletion, change, swap of neighbours) away.
 
@@ -129,15 +143,19 @@ class Scorer:
 
     def __init__(self, lexicon: Lexicon, kept: int = 500_000):
         self.lexicon, self.kept = lexicon, kept
-        self.known: dict[str, tuple[str, float]] = {}
+        self.known: dict[str, tuple[str, float, int]] = {}
 
-    def _hit(self, chunk: str) -> tuple[str, float]:
-        """The best hit of a run of characters without white space."""
+    def _hit(self, chunk: str) -> tuple[str, float, int]:
+        """The best hit of a run of characters without white space, and 1; of a script without spaces the sum of its hits, and their number."""
         got = self.known.get(chunk)
         if got is None:
             if len(self.known) >= self.kept:
                 self.known.clear()
-            got = max((self.lexicon.hit(folded(m.group())) for m in _WORD.finditer(chunk)), key=lambda x: x[1], default=_MISS)
+            parts = _UNSPACED.split(chunk) if _UNSPACED.search(chunk) else [chunk]
+            words = (m.group() for part in parts[::2] for m in _WORD.finditer(part))
+            got = (*max((self.lexicon.hit(folded(w)) for w in words), key=lambda x: x[1], default=_MISS), 1)
+            if found := [t for run in parts[1::2] for t in self.lexicon.pieces(folded(run))]:
+                got = ("exact", got[1] + WEIGHT["exact"] * sum(self.lexicon.weight[t] for t in found), len(found) + (got[1] > 0))
             self.known[chunk] = got
         return got
 
@@ -156,10 +174,10 @@ class Scorer:
         bad, total, kinds = set(hits), 0.0, Counter()
         for i, c in enumerate(chunks):
             if c in bad:
-                kind, weight = self._hit(c)
+                kind, weight, n = self._hit(c)
                 if self._quoted(chunks, i):
                     kind, weight = "quoted", weight * QUOTED
-                kinds[kind] += 1
+                kinds[kind] += n
                 total += weight
         return total, kinds["exact"], kinds["misspelled"], kinds["quoted"]
 
@@ -176,12 +194,20 @@ class Scorer:
 
 
 def _beginnings(text: str) -> set[str]:
-    """Words of a text, each with a NUL behind it, and their beginnings of three letters or more."""
+    """Words of a text, each with a NUL behind it, and their beginnings of three letters or more.
+
+    Of a run in a script without spaces all its pieces of ``GRAMS`` letters.
+    """
     out = set()
-    for m in _WORD.finditer(text):
-        w = folded(m.group())
-        if 3 <= len(w) <= 24:
-            out.add(w + "\0")
+    for part in _UNSPACED.split(text) if _UNSPACED.search(text) else [text]:
+        if part and _UNSPACED.match(part):
+            run = folded(part)
+            out.update(run[i : i + k] for k in GRAMS for i in range(len(run) - k + 1))
+            continue
+        for m in _WORD.finditer(part):
+            w = folded(m.group())
+            if len(w) <= 24:
+                out.add(w + "\0")
             out.update(w[:k] for k in range(3, min(len(w), 12) + 1))
     return out
 
@@ -217,8 +243,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.base + self.slope * math.log1p(evidence)))))
 
 
-def _terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: int) -> list[tuple[str, bool, float]]:
-    """Beginnings with at least ``least`` toxic texts that are PURITY times as common there as in clean ones.
+def _terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
+    """Beginnings with at least ``LEAST`` toxic texts that are PURITY times as common there as in clean ones.
+
+    Their odds' lower confidence bound, exact and at the level 1 - CHANCE, is above even:
+    where one text in nine is toxic, six toxic texts and no clean one are enough.
 
     Of the beginnings of one kind the longest that keeps 19 in 20 of the shortest's texts
     is taken; it is a whole word if the word alone keeps them, or several words if they
@@ -228,7 +257,13 @@ def _terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     def odds(t: str) -> float:
         return (toxic[t] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean.get(t, 0) + 0.5)
 
-    good = {t: n for t, n in toxic.items() if n >= least and odds(t) >= PURITY}
+    def chance(t: str) -> float:
+        """How often so many of the texts with a term, or more, would be toxic if it told nothing."""
+        n, p = toxic[t] + clean.get(t, 0), n_toxic / (n_toxic + n_clean)
+        ways = (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(toxic[t], n + 1))
+        return sum(map(math.exp, ways))
+
+    good = {t: n for t, n in toxic.items() if n >= LEAST and odds(t) >= PURITY and chance(t) <= CHANCE}
     follows: dict[str, list[str]] = {}
     for t in good:
         follows.setdefault(t[:-1], []).append(t)
@@ -239,7 +274,7 @@ def _terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
                 words.setdefault(t[:k], []).append(t)
     out: dict[str, bool] = {}
     for t in good:
-        if t[:-1] in good or t.endswith("\0") and t[:12] in good:  # a shorter beginning is as telling
+        if t[:-1] in good or len(t) > 13 and t[:12] in good:  # a shorter beginning is as telling
             continue
         stem, n = t, good[t]
         while longer := [x for x in follows.get(stem, []) if good[x] * 20 >= n * 19]:
@@ -299,10 +334,9 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, limit: int = LABELLED
     n_toxic = size.get(1, 0)
     if not n_toxic or not size.get(0):
         return Model([], [], 1.0, -3.0)
-    least = max(3, n_toxic // 50)
-    toxic = {r["term"]: r["t"] for r in _counts(once.filter("toxic = 1"), "t", None).filter(F.col("t") >= least).collect()}
+    toxic = {r["term"]: r["t"] for r in _counts(once.filter("toxic = 1"), "t", None).filter(F.col("t") >= LEAST).collect()}
     clean = {r["term"]: r["c"] for r in _counts(once.filter("toxic = 0"), "c", set(toxic)).collect()}
-    terms = _terms(toxic, clean, n_toxic, size[0], least)
+    terms = _terms(toxic, clean, n_toxic, size[0])
     lexicon = Lexicon(terms)
 
     def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,4 @@
-from tapewright.llm.toxicity import Lexicon, Scorer, accepted, fit, score, toxicity
+from tapewright.llm.toxicity import Lexicon, Scorer, _beginnings, _terms, accepted, fit, score, toxicity
 
 from .conftest import PROSE, documents
 
@@ -57,6 +57,21 @@ def test_held_out_rows(spark):
     assert better >= 0.95 * len(low) * len(high)
 
 
+def test_support_does_not_grow_with_the_table():
+    for n in (400, 4000):
+        toxic = {"rare\0": 8, "vile\0": n // 2, "odd\0": 4}
+        assert {x for x, _, _ in _terms(toxic, {}, n, 8 * n)} == {"rare", "vile"}
+    assert _terms({"mixed\0": 8}, {"mixed\0": 3}, 400, 3200) == []
+
+
+def test_scripts_without_spaces_and_short_words(spark):
+    assert {"傻逼", "逼了"} <= _beginnings("你是傻逼了") and {"un\0"} <= _beginnings("un café") and "a" * 12 in _beginnings("a" * 40)
+    rows = [(i, ("他说你真是傻逼啊" if i % 8 == 0 else "今天天气很好我们去") + chr(0x4E00 + i) + "。") for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, int(i % 8 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = toxicity(documents(spark, rows), labels).collect()
+    assert all(r.predicted == (r.doc_id % 8 == 0) for r in out)
+
+
 def test_messy_rows(spark, messy, messy_rows, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (None, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     out = toxicity(messy, labels).collect()
