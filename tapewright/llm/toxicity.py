@@ -21,7 +21,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -41,13 +41,16 @@ LEAST, CHANCE = 5, 1e-5
 #: Letters of scripts without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), and lengths of the runs of them that may be terms.
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+)")
 GRAMS = (2, 3, 4)
-_WORD = re.compile(r"[^\W_](?:[\w*@$!’'-]*[\w*@$])?")
+_WORD = re.compile(r"(?:[^\W_]|[@$!]+(?=[^\W_]))(?:[\w*@$!’'-]*[\w*@$])?")
 #: Characters that stand for letters, quotation marks, reporting words.
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+_SIGNS = "@$!"
 _QUOTES = "\"“”„«»‘‹›"
 _REPORTING = frozenset("said says wrote writes called calls quoted quote reported claimed dit écrit sagte schrieb dijo escribió".split())
 #: Words on either side of a hit that belong to its context.
 WINDOW = 8
+#: A term of so many letters may have its first letter edited too.
+LONG = 9
 WEIGHT = {"exact": 1.0, "misspelled": 0.6}
 QUOTED = 0.25
 _MISS: tuple[str, float] = ("", 0.0)
@@ -64,17 +67,27 @@ class Node:
     whole: bool = True  # the word must end here too
 
 
+def _trie(rows: Iterable[tuple[str, str, bool]]) -> Node:
+    """A trie of (letters, term that ends there, whole word)."""
+    root = Node()
+    for letters, term, whole in rows:
+        node = root
+        for c in letters:
+            node = node.children.setdefault(c, Node())
+        # of terms that differ in the first letter alone a beginning takes the words too
+        if not node.term or node.whole:
+            node.term, node.whole = term, whole
+    return root
+
+
 class Lexicon:
     """Terms in a trie, as (term, whole word, weight).  ``clean`` are words of clean texts that no automaton may take for a term."""
 
     def __init__(self, terms: list[tuple[str, bool, float]], clean: set[str] | None = None):
-        self.root, self.terms, self.clean = Node(), terms, clean or set()
+        self.terms, self.clean = terms, clean or set()
         self.weight = {term: w for term, _, w in terms}
-        for term, whole, _ in terms:
-            node = self.root
-            for c in term:
-                node = node.children.setdefault(c, Node())
-            node.term, node.whole = term, whole
+        self.root = _trie((term, term, whole) for term, whole, _ in terms)
+        self.tails = _trie((term[1:], term, whole) for term, whole, _ in terms if len(term) >= LONG)
 
     def exact(self, word: str) -> str:
         """The term that a word is, or begins with."""
@@ -97,18 +110,35 @@ class Lexicon:
         return out
 
     def within(self, word: str, most: int) -> str:
-        """A whole-word term at most ``most`` edits (insertion, deletion, change, swap of neighbours) away.
+        """A term at most ``most`` edits (insertion, deletion, change, swap of neighbours) away from the word, or for a word beginning from one of the word's.
+
+        Misspellings rarely touch the first letter: only in terms of ``LONG`` letters it
+        may be one of the edits, and so may the last letter of a word beginning, without
+        which a short one would be a shorter one.  A beginning needs five letters for each
+        edit, a whole word four.
+        """
+        found, best = self._walk(self.root, word, most)
+        if best > 1 and len(word) >= LONG - 1:
+            swapped = word[1] + word[0] + word[2:]
+            for root, rest in ((self.tails, word[1:]), (self.tails, word), (self.root, word[1:]), (self.root, swapped)):
+                if best > 1:
+                    term, edits = self._walk(root, rest, min(most, best - 1) - 1, 1)
+                    if term and len(term) >= LONG:
+                        found, best = term, edits
+        return found
+
+    @staticmethod
+    def _walk(root: Node, word: str, most: int, spent: int = 0) -> tuple[str, int]:
+        """The nearest term with the word's first letter, at most ``most`` edits away, and its edits with those ``spent`` before.
 
         The automaton's state is the row of distances between the term so far and each
-        beginning of the word.  The first letter must agree: misspellings rarely touch it.
+        beginning of the word: a whole word ends with the row, a beginning anywhere in it.
         """
         n = len(word)
         found, best = "", most + 1
 
         def walk(node: Node, last: str, row: list[int], before: list[int] | None, depth: int) -> None:
             nonlocal found, best
-            if node.term and node.whole and row[n] < best and len(node.term) > 3 * row[n]:
-                found, best = node.term, row[n]
             for c, child in node.children.items():
                 if depth == 0 and c != word[0]:
                     continue
@@ -118,23 +148,47 @@ class Lexicon:
                     if before is not None and j > 1 and c == word[j - 2] and last == word[j - 1]:
                         d = min(d, before[j - 2] + 1)
                     new.append(d)
+                if child.term:
+                    if child.whole:
+                        d = new[n]
+                    elif len(child.term) >= LONG:
+                        d = min(new)
+                    else:
+                        d = min((new[j] for j in range(1, n + 1) if c == word[j - 1] or j > 1 and c == word[j - 2] and last == word[j - 1]), default=best)
+                    if d < best and len(child.term) > (3 if child.whole else 4) * (d + spent):
+                        found, best = child.term, d
                 if min(new) < best:
                     walk(child, c, new, row, depth + 1)
 
-        if n:
-            walk(self.root, "", list(range(n + 1)), None, 0)
-        return found
+        if n and most > 0:
+            walk(root, "", list(range(n + 1)), None, 0)
+        elif n and not most:
+            node = root
+            for i, c in enumerate(word):
+                node = node.children.get(c)
+                if node is None:
+                    break
+                if node.term and (not node.whole or i + 1 == n) and len(node.term) > (3 if node.whole else 4) * spent:
+                    found, best = node.term, 0
+                    break
+        return found, best + spent
 
     def hit(self, word: str) -> tuple[str, float]:
         """How a folded word matches: the kind of hit and its weight, or ("", 0)."""
         if term := self.exact(word):
             return "exact", WEIGHT["exact"] * self.weight[term]
-        plain = word.translate(_LOOKALIKE) if not word.isalpha() else word
-        plain = "".join(c for c in plain if c.isalpha())
-        if plain != word and (term := self.exact(plain)) and any(c.isalpha() for c in word):
-            return "misspelled", WEIGHT["misspelled"] * self.weight[term]
-        if 4 <= len(plain) <= 24 and word not in self.clean and plain not in self.clean and (term := self.within(plain, 1 if len(plain) < 9 else 2)):
-            return "misspelled", WEIGHT["misspelled"] * self.weight[term]
+        bare = word.lstrip(_SIGNS)
+        if bare != word and (term := self.exact(bare)):
+            return "exact", WEIGHT["exact"] * self.weight[term]
+        if not any(c.isalpha() for c in word):
+            return _MISS
+        for form in dict.fromkeys((bare, word)):
+            plain = form.translate(_LOOKALIKE) if not form.isalpha() else form
+            plain = "".join(c for c in plain if c.isalpha())
+            if plain != form and (term := self.exact(plain)):
+                return "misspelled", WEIGHT["misspelled"] * self.weight[term]
+            if 4 <= len(plain) <= 24 and word not in self.clean and plain not in self.clean and (term := self.within(plain, 1 if len(plain) < 9 else 2)):
+                return "misspelled", WEIGHT["misspelled"] * self.weight[term]
         return _MISS
 
 
@@ -205,7 +259,7 @@ def _beginnings(text: str) -> set[str]:
             out.update(run[i : i + k] for k in GRAMS for i in range(len(run) - k + 1))
             continue
         for m in _WORD.finditer(part):
-            w = folded(m.group())
+            w = folded(m.group()).lstrip(_SIGNS)
             if len(w) <= 24:
                 out.add(w + "\0")
             out.update(w[:k] for k in range(3, min(len(w), 12) + 1))

@@ -72,6 +72,15 @@ def test_scripts_without_spaces_and_short_words(spark):
     assert all(r.predicted == (r.doc_id % 8 == 0) for r in out)
 
 
+def test_edits_of_beginnings_signs_and_first_letters():
+    scorer = Scorer(Lexicon([("idiot", False, 1.0), ("stupid", True, 1.0), ("disgusting", True, 1.0), ("blockhead", False, 1.0)]))
+    kinds = lambda text: scorer.evidence(text)[1:]
+    for word in ("idoits", "idoitic", "$tupid", "$tupd", "blokcheads", "disgustign", "tisgusting", "isgusting", "xdisgusting", "idsgusting", "vlockheads", "lockheads"):
+        assert kinds(f"you {word} !") == (0, 1, 0), word
+    assert kinds("@stupid, @idiots") == (2, 0, 0)
+    assert kinds("idea ideal $1000 1500 studio headblock @") == (0, 0, 0)
+
+
 def test_messy_rows(spark, messy, messy_rows, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (None, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
     out = toxicity(messy, labels).collect()
