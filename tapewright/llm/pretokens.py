@@ -53,7 +53,7 @@ class PartCache:
         character); a part that begins a line has the line break before it; what is left
         out before every other part is one space.
         """
-        if _OTHER_SPACE.search(text):
+        if "\0" in text or _OTHER_SPACE.search(text):
             return None
         parts = text.replace("\n", " \n").split(" ")
         if "" in parts or "\n" in parts:  # two side by side, or one at an end

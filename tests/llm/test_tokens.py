@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tapewright.llm.bpe import Merges, encode_decode
+from tapewright.llm.pretokens import PartCache, as_bytes
 from tapewright.llm.token_files import SELECTORS, pack, read_token_files, token_files, unpack, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -93,3 +94,10 @@ def test_ids_can_be_read(spark, messy, tmp_path):
     write_token_files(messy, PATH, str(tmp_path / "files"), 2, shards=3)
     rows = read_token_files(spark, str(tmp_path / "files")).filter("doc_id = 13").collect()
     assert [list(r.ids) for r in rows] == [[*encoded("<|endoftext|> special <|endoftext|>x"), 2]]
+
+
+def test_texts_with_nul_are_not_cut():
+    ids = lambda text: as_bytes(list(text.encode()))
+    cache = PartCache(lambda parts: list(map(ids, parts)), ids)
+    for text in ("ab \0cd", "\0cd", "ab cd"):
+        assert cache.encode_batch([text]) == [ids(text)]
