@@ -5,9 +5,10 @@ first) the words, and word beginnings, that occur in toxic texts and hardly ever
 clean ones become terms, each the longest beginning that keeps the support of its
 shortest one.  They form a trie.
 
-Scoring: each distinct word of a text is run through the trie together with a
-Levenshtein automaton whose states are rows of edit distances, so shared beginnings are
-walked once and a branch ends when no state can still accept.  Exact hits, misspelled
+Scoring: the distinct words of a batch are run through the trie together, level by level,
+each with the state of a Levenshtein automaton; the automaton is the same for all words,
+as its input is which letters near the current place equal the trie's letter, and a
+branch ends when no state can still accept.  Exact hits, misspelled
 hits (``id1ot``, ``moroon``) and hits within quotation (quotation marks around, or a
 reporting word shortly before) have different weights; the weighted count of hits gives
 the score by a logistic curve fitted on the same labelled rows.
@@ -22,8 +23,9 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,6 @@ from .storage import written
 
 #: At most so many labelled rows are learned from.
 LABELLED = 20_000
-#: At most so many terms; the best-supported ones stay.
-TERMS = 2_000
 #: A term is at least so many times as common in toxic texts as in clean ones; at SUREST times its weight is 1.
 PURITY, SUREST = 20, 200
 #: A term occurs in at least so many toxic texts, in a sample of any size, and would be as toxic by chance at most so often.
@@ -49,147 +49,268 @@ _QUOTES = "\"“”„«»‘‹›"
 _REPORTING = frozenset("said says wrote writes called calls quoted quote reported claimed dit écrit sagte schrieb dijo escribió".split())
 #: Words on either side of a hit that belong to its context.
 WINDOW = 8
+#: Letters of the word beginnings that may be terms; words may have any length.
+BEGINNINGS = 3, 12
 #: A term of so many letters may have its first letter edited too.
 LONG = 9
 WEIGHT = {"exact": 1.0, "misspelled": 0.6}
 QUOTED = 0.25
 _MISS: tuple[str, float] = ("", 0.0)
+_NOTHING: tuple[str, float, int] = ("", 0.0, 1)
 
 
 def folded(word: str) -> str:
-    return unicodedata.normalize("NFC", word).lower()
-
-
-@dataclass
-class Node:
-    children: dict[str, Node] = field(default_factory=dict)
-    term: str = ""  # ends here
-    whole: bool = True  # the word must end here too
-
-
-def _trie(rows: Iterable[tuple[str, str, bool]]) -> Node:
-    """A trie of (letters, term that ends there, whole word)."""
-    root = Node()
-    for letters, term, whole in rows:
-        node = root
-        for c in letters:
-            node = node.children.setdefault(c, Node())
-        # of terms that differ in the first letter alone a beginning takes the words too
-        if not node.term or node.whole:
-            node.term, node.whole = term, whole
-    return root
+    return word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
 
 
 class Lexicon:
-    """Terms in a trie, as (term, whole word, weight).  ``clean`` are words of clean texts that no automaton may take for a term."""
+    """Terms, as (term, whole word, weight).  ``clean`` are words of clean texts that no automaton may take for a term; without ``edits`` none does."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], clean: set[str] | None = None):
+    def __init__(self, terms: list[tuple[str, bool, float]], clean: set[str] | None = None, edits: bool = True):
         self.terms, self.clean = terms, clean or set()
         self.weight = {term: w for term, _, w in terms}
-        self.root = _trie((term, term, whole) for term, whole, _ in terms)
-        self.tails = _trie((term[1:], term, whole) for term, whole, _ in terms if len(term) >= LONG)
+        self.words = {term for term, whole, _ in terms if whole}
+        self.stems = {term for term, whole, _ in terms if not whole}
+        self.lengths = sorted({len(term) for term in self.stems})
+        self.least = self.lengths[0] if self.lengths else 1
+        self.heads = {term[: self.least] for term in self.stems}
+        self.trie = Trie([(term, whole) for term, whole, _ in terms])
+        self.automata = {most: Automaton(most) for most in (1, 2)} if edits else {}
 
     def exact(self, word: str) -> str:
-        """The term that a word is, or begins with."""
-        node = self.root
-        for i, c in enumerate(word):
-            node = node.children.get(c)
-            if node is None:
-                return ""
-            if node.term and (not node.whole or i + 1 == len(word)):
-                return node.term
-        return ""
+        """The term that a word is, or begins with; the shortest of them."""
+        if word[: self.least] in self.heads:
+            for k in self.lengths:
+                if k <= len(word) and word[:k] in self.stems:
+                    return word[:k]
+        return word if word in self.words else ""
 
     def pieces(self, run: str) -> list[str]:
         """The terms in a run without spaces, from left to right, none within another."""
         out, i = [], 0
         while i < len(run):
-            term = self.exact(run[i:])
+            term = next((run[i : i + k] for k in self.lengths if run[i : i + k] in self.stems), "")
             out += [term] if term else []
             i += max(1, len(term))
         return out
 
-    def within(self, word: str, most: int) -> str:
-        """A term at most ``most`` edits (insertion, deletion, change, swap of neighbours) away from the word, or for a word beginning from one of the word's.
+    def within(self, words: list[str], most: int) -> list[str]:
+        """For each word the nearest term at most ``most`` edits (insertion, deletion, change, swap of neighbours) away, or "".
 
-        Misspellings rarely touch the first letter: only in terms of ``LONG`` letters it
-        may be one of the edits, and so may the last letter of a word beginning, without
-        which a short one would be a shorter one.  A beginning needs five letters for each
-        edit, a whole word four.
+        A term that is a word beginning is compared with all beginnings of the word.  Word
+        terms need over three letters for each edit, beginnings over four, and the last
+        letter of a beginning must stand (or be swapped) unless it has ``LONG`` letters.
+        Terms whose first letter isn't the word's need ``LONG`` letters, and the word at
+        most one fewer.  Of equally near terms the first by code points is taken.
         """
-        found, best = self._walk(self.root, word, most)
-        if best > 1 and len(word) >= LONG - 1:
-            swapped = word[1] + word[0] + word[2:]
-            for root, rest in ((self.tails, word[1:]), (self.tails, word), (self.root, word[1:]), (self.root, swapped)):
-                if best > 1:
-                    term, edits = self._walk(root, rest, min(most, best - 1) - 1, 1)
-                    if term and len(term) >= LONG:
-                        found, best = term, edits
-        return found
+        return self.trie.nearest(words, self.automata[most])
+
+    def hits(self, words: list[str]) -> list[tuple[str, float]]:
+        """How folded words match: the kind of hit and its weight, or ("", 0)."""
+        out, near = [_MISS] * len(words), {1: {}, 2: {}}
+        for i, word in enumerate(words):
+            if term := self.exact(word):
+                out[i] = "exact", WEIGHT["exact"] * self.weight[term]
+                continue
+            forms = (word,)
+            if not word.isalpha():
+                bare = word.lstrip(_SIGNS)
+                if bare != word and (term := self.exact(bare)):
+                    out[i] = "exact", WEIGHT["exact"] * self.weight[term]
+                    continue
+                if not any(map(str.isalpha, word)):
+                    continue
+                forms = (bare, word) if bare != word else (word,)
+            for form in forms:
+                plain = form if form.isalpha() else "".join(filter(str.isalpha, form.translate(_LOOKALIKE)))
+                if plain != form and (term := self.exact(plain)):
+                    out[i] = "misspelled", WEIGHT["misspelled"] * self.weight[term]
+                    break
+                if len(plain) >= 4 and word not in self.clean and plain not in self.clean:
+                    near[1 if len(plain) < LONG else 2].setdefault(plain, []).append(i)
+        for most, forms in near.items() if self.automata else ():
+            for form, term in zip(forms, self.within(list(forms), most), strict=True):
+                if term:
+                    for i in forms[form]:
+                        if out[i] is _MISS:
+                            out[i] = "misspelled", WEIGHT["misspelled"] * self.weight[term]
+        return out
 
-    @staticmethod
-    def _walk(root: Node, word: str, most: int, spent: int = 0) -> tuple[str, int]:
-        """The nearest term with the word's first letter, at most ``most`` edits away, and its edits with those ``spent`` before.
 
-        The automaton's state is the row of distances between the term so far and each
-        beginning of the word: a whole word ends with the row, a beginning anywhere in it.
-        """
-        n = len(word)
-        found, best = "", most + 1
+class Automaton:
+    """The Levenshtein automaton for up to ``most`` edits, the same one for all words.
 
-        def walk(node: Node, last: str, row: list[int], before: list[int] | None, depth: int) -> None:
-            nonlocal found, best
-            for c, child in node.children.items():
-                if depth == 0 and c != word[0]:
-                    continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    d = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (c != word[j - 1]))
-                    if before is not None and j > 1 and c == word[j - 2] and last == word[j - 1]:
-                        d = min(d, before[j - 2] + 1)
-                    new.append(d)
-                if child.term:
-                    if child.whole:
-                        d = new[n]
-                    elif len(child.term) >= LONG:
-                        d = min(new)
-                    else:
-                        d = min((new[j] for j in range(1, n + 1) if c == word[j - 1] or j > 1 and c == word[j - 2] and last == word[j - 1]), default=best)
-                    if d < best and len(child.term) > (3 if child.whole else 4) * (d + spent):
-                        found, best = child.term, d
-                if min(new) < best:
-                    walk(child, c, new, row, depth + 1)
-
-        if n and most > 0:
-            walk(root, "", list(range(n + 1)), None, 0)
-        elif n and not most:
+    Along a term, depth i, a state holds for each number of edits the positions i - 2 .. i + 2
+    of the word that can be reached, as bits, and those behind the first letter of a swap.
+    What a letter does depends on the state and on which of the word's letters i - 3 .. i + 3
+    equal it; transitions are computed once and kept in a table.  State 0 is dead.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.states: list[tuple[int, ...]] = [(0, 0, 0, 0, 0)]
+        self.number = {self.states[0]: 0}
+        self.table = np.full((64, 128), -1, np.int32)
+        self.edits = np.full((64, 5), 9, np.int8)  # least edits at each position
+        self.table[0] = 0
+        self.start = self._state((4, 8, 16 if most > 1 else 0, 0, 0))
+
+    def _state(self, s: tuple[int, ...]) -> int:
+        n = self.number.get(s)
+        if n is None:
+            n = self.number[s] = len(self.states)
+            self.states.append(s)
+            if n == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.edits = np.concatenate([self.edits, np.full_like(self.edits, 9)])
+            for e in (2, 1, 0):
+                self.edits[n, [k for k in range(5) if s[e] >> k & 1]] = e
+        return n
+
+    def _next(self, state: int, same: int) -> int:
+        r0, r1, r2, t1, t2 = self.states[state]
+        kept = same >> 1
+        a = r0 & kept
+        b = (r1 & kept | r0 >> 1 | r0 | a << 1 | t1 & same) & 31 & ~a
+        c = (r2 & kept | r1 >> 1 | r1 | b << 1 | a << 1 | t2 & same) & 31 & ~a & ~b if self.most > 1 else 0
+        if not a | b | c:
+            return 0
+        swap = same >> 2
+        return self._state((a, b, c, r0 & swap, r1 & swap & ~r0 if self.most > 1 else 0))
+
+    def step(self, states: np.ndarray, same: np.ndarray) -> np.ndarray:
+        out = self.table[states, same]
+        missing = out < 0
+        if missing.any():
+            for s, x in set(zip(states[missing].tolist(), same[missing].tolist(), strict=True)):
+                n = self._next(s, x)
+                self.table[s, x] = n
+            out = self.table[states, same]
+        return out
+
+
+_FAR = 1 << 20
+#: Words that go through the trie together.
+TOGETHER = 4096
+
+
+class Trie:
+    """Terms as a trie in arrays; the children of a node are neighbours."""
+
+    def __init__(self, terms: list[tuple[str, bool]]):
+        root: dict = {}
+        for term, whole in sorted(terms, key=lambda t: (not t[1], t[0])):
             node = root
-            for i, c in enumerate(word):
-                node = node.children.get(c)
-                if node is None:
-                    break
-                if node.term and (not node.whole or i + 1 == n) and len(node.term) > (3 if node.whole else 4) * spent:
-                    found, best = node.term, 0
-                    break
-        return found, best + spent
-
-    def hit(self, word: str) -> tuple[str, float]:
-        """How a folded word matches: the kind of hit and its weight, or ("", 0)."""
-        if term := self.exact(word):
-            return "exact", WEIGHT["exact"] * self.weight[term]
-        bare = word.lstrip(_SIGNS)
-        if bare != word and (term := self.exact(bare)):
-            return "exact", WEIGHT["exact"] * self.weight[term]
-        if not any(c.isalpha() for c in word):
-            return _MISS
-        for form in dict.fromkeys((bare, word)):
-            plain = form.translate(_LOOKALIKE) if not form.isalpha() else form
-            plain = "".join(c for c in plain if c.isalpha())
-            if plain != form and (term := self.exact(plain)):
-                return "misspelled", WEIGHT["misspelled"] * self.weight[term]
-            if 4 <= len(plain) <= 24 and word not in self.clean and plain not in self.clean and (term := self.within(plain, 1 if len(plain) < 9 else 2)):
-                return "misspelled", WEIGHT["misspelled"] * self.weight[term]
-        return _MISS
+            for c in term:
+                node = node.setdefault(c, {})
+            node[""] = (term, whole)  # a beginning takes the word too
+        self.terms = sorted({t for t, _ in terms})
+        place = {t: i for i, t in enumerate(self.terms)}
+        nodes: list[tuple[dict, int, int, int]] = [(root, 0, 0, 0)]  # with letter, first letter, letter before
+        begin, end, term, whole = [], [], [], []
+        for node, letter, first, _ in nodes:
+            begin.append(len(nodes))
+            for c in sorted(x for x in node if x):
+                nodes.append((node[c], ord(c), first or ord(c), letter))
+            end.append(len(nodes))
+            t = node.get("", ("", False))
+            term.append(place[t[0]] if t[0] else -1)
+            whole.append(t[1])
+        self.begin, self.end, self.term, self.whole = np.array(begin), np.array(end), np.array(term), np.array(whole, bool)
+        self.letter, self.first, self.before = (np.array([n[i] for n in nodes], np.int32) for i in (1, 2, 3))
+        # of the terms at and below a node: shortest and longest word, shortest beginning, longest of all
+        low, high, short, long = (np.full(len(nodes), x) for x in (_FAR, -_FAR, _FAR, 0))
+        for i in range(len(nodes) - 1, -1, -1):
+            below = slice(self.begin[i], self.end[i])
+            low[i], high[i] = low[below].min(initial=_FAR), high[below].max(initial=-_FAR)
+            short[i], long[i] = short[below].min(initial=_FAR), long[below].max(initial=0)
+            if term[i] >= 0:
+                n = len(self.terms[term[i]])
+                long[i] = max(long[i], n)
+                if whole[i]:
+                    low[i], high[i] = min(low[i], n), max(high[i], n)
+                else:
+                    short[i] = n
+        self.low, self.high, self.short, self.long = low, high, short, long
+
+    def nearest(self, words: list[str], automaton: Automaton) -> list[str]:
+        out = [""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
+            # words of about one length; very long ones fewer at a time
+            block = order[at : at + max(1, min(TOGETHER, (1 << 20) // (len(words[order[at]]) + 8)))]
+            at += len(block)
+            for i, t in zip(block, self._nearest([words[i] for i in block], automaton), strict=True):
+                out[i] = self.terms[t] if t >= 0 else ""
+        return out
+
+    def _nearest(self, words: list[str], automaton: Automaton) -> np.ndarray:
+        size = np.array([len(w) for w in words])
+        width = int(size.max())
+        # three places before each word and beyond it hold no letter
+        letters = np.full((len(words), width + 9), -1, np.int32)
+        letters[:, 3 : 3 + width] = np.frombuffer("".join([w.ljust(width) for w in words]).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(words), width)
+        letters[:, 3 : 3 + width][np.arange(width) >= size[:, None]] = -1
+        best = np.full(len(words), _FAR)  # edits, then number of the term
+        found = np.full(len(words), _FAR * 9)
+        word, node = np.arange(len(words)), np.zeros(len(words), np.int64)
+        state, depth = np.full(len(words), automaton.start, np.int32), 0
+        powers = (1 << np.arange(7)).astype(np.int32)
+        while len(word):
+            if depth:
+                counts = self.end[node] - self.begin[node]
+                up = np.repeat(np.arange(len(word)), counts)
+                child = np.arange(len(up)) - np.repeat(np.cumsum(counts) - counts, counts) + self.begin[node[up]]
+            else:
+                up, child = self._first(size, letters[:, 3])
+            w, n = word[up], size[word[up]]
+            other = self.first[child] != letters[w, 3]
+            fits = ((self.low[child] <= n + automaton.most) & (self.high[child] >= n - automaton.most)) | (self.short[child] <= n + automaton.most)
+            fits &= ~other | (self.long[child] >= LONG) & (n >= LONG - 1)
+            up, child, w, n, other = up[fits], child[fits], w[fits], n[fits], other[fits]
+            if depth + 7 > letters.shape[1]:
+                letters = np.pad(letters, ((0, 0), (0, 8)), constant_values=-1)
+            same = (letters[:, depth : depth + 7][w] == self.letter[child][:, None]) @ powers
+            new = automaton.step(state[up], same)
+            depth += 1
+            alive = new > 0
+            word, node, state, n, other = w[alive], child[alive], new[alive], n[alive], other[alive]
+            ends = np.flatnonzero((self.term[node] >= 0) & (~other | (depth >= LONG)))
+            if len(ends):
+                self._accept(automaton, depth, word[ends], node[ends], state[ends], n[ends], letters, found)
+        got = found < _FAR * 9
+        best[got] = found[got] % _FAR
+        return np.where(got, best, -1)
+
+    def _first(self, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words with the children of the root that may follow: their own first letter's, and for long words those of long terms."""
+        top = np.arange(self.begin[0], self.end[0])
+        if not len(top):
+            return top, top
+        at = np.minimum(np.searchsorted(self.letter[top], first), len(top) - 1)
+        own = np.flatnonzero(self.letter[top[at]] == first)
+        long = np.flatnonzero(size >= LONG - 1)
+        far = top[self.long[top] >= LONG]
+        up, child = np.repeat(long, len(far)), np.tile(far, len(long))
+        other = self.letter[child] != first[up]
+        return np.concatenate([own, up[other]]), np.concatenate([top[at[own]], child[other]])
+
+    def _accept(self, automaton: Automaton, depth: int, word: np.ndarray, node: np.ndarray, state: np.ndarray, n: np.ndarray, letters: np.ndarray, found: np.ndarray) -> None:
+        edits = automaton.edits[state].astype(np.int64)
+        at = depth - 2 + np.arange(5)  # positions in the word
+        ok = at == n[:, None]
+        stem = np.flatnonzero(~self.whole[node])
+        if len(stem):
+            held = at <= n[stem, None]
+            if depth < LONG:
+                c, p = self.letter[node[stem]][:, None], self.before[node[stem]][:, None]
+                last, prior = (letters[word[stem][:, None], np.clip(at + 2 - back, 0, letters.shape[1] - 1)[None, :]] for back in (0, 1))
+                held &= (last == c) | (prior == c) & (last == p)
+            ok[stem] = held
+        least = np.where(ok, edits, 9).min(axis=1)
+        good = (least <= automaton.most) & (depth > np.where(self.whole[node], 3, 4) * least)
+        np.minimum.at(found, word[good], least[good] * _FAR + self.term[node[good]])
 
 
 class Scorer:
@@ -199,41 +320,68 @@ class Scorer:
         self.lexicon, self.kept = lexicon, kept
         self.known: dict[str, tuple[str, float, int]] = {}
 
-    def _hit(self, chunk: str) -> tuple[str, float, int]:
-        """The best hit of a run of characters without white space, and 1; of a script without spaces the sum of its hits, and their number."""
-        got = self.known.get(chunk)
-        if got is None:
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            parts = _UNSPACED.split(chunk) if _UNSPACED.search(chunk) else [chunk]
-            words = (m.group() for part in parts[::2] for m in _WORD.finditer(part))
-            got = (*max((self.lexicon.hit(folded(w)) for w in words), key=lambda x: x[1], default=_MISS), 1)
-            if found := [t for run in parts[1::2] for t in self.lexicon.pieces(folded(run))]:
-                got = ("exact", got[1] + WEIGHT["exact"] * sum(self.lexicon.weight[t] for t in found), len(found) + (got[1] > 0))
-            self.known[chunk] = got
-        return got
+    def chunks(self, new: Iterable[str]) -> dict[str, tuple[str, float, int]]:
+        """For each run of characters without white space its best hit, and 1; with parts in a script without spaces the sum of hits, and their number."""
+        known = self.known
+        out = {c: known[c] for c in new if c in known}
+        fresh = [c for c in new if c not in out]
+        words: dict[str, tuple[str, float]] = {}
+        split = []
+        for c in fresh:
+            runs: list[str] = []
+            if c.isascii():
+                found = [c.lower()] if c.isalpha() else _WORD.findall(c.lower())
+            else:
+                parts = _UNSPACED.split(c) if _UNSPACED.search(c) else [c]
+                found, runs = [folded(x) for part in parts[::2] for x in _WORD.findall(part)], parts[1::2]
+            for w in found:
+                words[w] = _MISS
+            split.append((found, runs))
+        words = dict(zip(words, self.lexicon.hits(list(words)), strict=True))
+        got = {}
+        for c, (found, runs) in zip(fresh, split, strict=True):
+            kind, weight = words[found[0]] if len(found) == 1 else max((words[w] for w in found), key=lambda x: x[1], default=_MISS)
+            if runs and (terms := [t for run in runs for t in self.lexicon.pieces(folded(run))]):
+                got[c] = ("exact", weight + WEIGHT["exact"] * sum(self.lexicon.weight[t] for t in terms), len(terms) + (weight > 0))
+            else:
+                got[c] = (kind, weight, 1) if weight else _NOTHING
+        if len(known) + len(got) > self.kept:
+            known.clear()
+        if len(got) <= self.kept:
+            known.update(got)
+        return out | got
+
+    def all_evidence(self, texts: Iterable[str | None]) -> Iterator[tuple[float, int, int, int]]:
+        """Weighted sum, and numbers of exact, misspelled and quoted hits, of each text; texts share lookups up to some size."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(text.split() if text else [])
+            size += len(held[-1])
+            if size > 200_000:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
 
     def evidence(self, text: str | None) -> tuple[float, int, int, int]:
-        """Weighted sum, and numbers of exact, misspelled and quoted hits."""
-        if not text:
-            return 0.0, 0, 0, 0
-        chunks = text.split()
-        known = self.known
-        for c in set(chunks).difference(known):
-            self._hit(c)
-        # words that the last ones drove out of the memory are looked up again below
-        hits = [c for c in set(chunks) if (known.get(c) or self._hit(c))[1]]
-        if not hits:
-            return 0.0, 0, 0, 0
-        bad, total, kinds = set(hits), 0.0, Counter()
-        for i, c in enumerate(chunks):
-            if c in bad:
-                kind, weight, n = self._hit(c)
-                if self._quoted(chunks, i):
-                    kind, weight = "quoted", weight * QUOTED
-                kinds[kind] += n
-                total += weight
-        return total, kinds["exact"], kinds["misspelled"], kinds["quoted"]
+        return next(self.all_evidence([text]))
+
+    def _together(self, held: list[list[str]]) -> Iterator[tuple[float, int, int, int]]:
+        found = self.chunks(set().union(*held))
+        bad = {c for c, x in found.items() if x[1]}
+        for chunks in held:
+            if bad.isdisjoint(chunks):
+                yield 0.0, 0, 0, 0
+                continue
+            total, kinds = 0.0, Counter()
+            for i, c in enumerate(chunks):
+                if c in bad:
+                    kind, weight, n = found[c]
+                    if self._quoted(chunks, i):
+                        kind, weight = "quoted", weight * QUOTED
+                    kinds[kind] += n
+                    total += weight
+            yield total, kinds["exact"], kinds["misspelled"], kinds["quoted"]
 
     @staticmethod
     def _quoted(chunks: list[str], i: int) -> bool:
@@ -247,22 +395,39 @@ class Scorer:
         return reported and (opened or closed)
 
 
-def _beginnings(text: str) -> set[str]:
-    """Words of a text, each with a NUL behind it, and their beginnings of three letters or more.
+def _beginnings(text: str, wanted: set[str] | None = None) -> set[str]:
+    """Words of a text, each with a NUL behind it, and their beginnings of ``BEGINNINGS`` letters.
 
-    Of a run in a script without spaces all its pieces of ``GRAMS`` letters.
+    Of a run in a script without spaces all its pieces of ``GRAMS`` letters.  Only those in
+    ``wanted`` are returned, if given; it holds the shorter beginnings of those it holds.
     """
-    out = set()
-    for part in _UNSPACED.split(text) if _UNSPACED.search(text) else [text]:
-        if part and _UNSPACED.match(part):
-            run = folded(part)
-            out.update(run[i : i + k] for k in GRAMS for i in range(len(run) - k + 1))
+    out: set[str] = set()
+    words: set[str] = set()
+    for chunk in set(text.split()):
+        if chunk.isascii():
+            words.update([chunk.lower()] if chunk.isalpha() else _WORD.findall(chunk.lower()))
+            continue
+        for part in _UNSPACED.split(chunk) if _UNSPACED.search(chunk) else [chunk]:
+            if part and _UNSPACED.match(part):
+                run = folded(part)
+                out.update(run[i : i + k] for k in GRAMS for i in range(len(run) - k + 1))
+            else:
+                words.update(folded(x) for x in _WORD.findall(part))
+    if wanted is not None:
+        out &= wanted
+    least, most = BEGINNINGS
+    for w in words:
+        w = w.lstrip(_SIGNS)
+        if wanted is None:
+            out.add(w + "\0")
+            out.update([w[:k] for k in range(least, min(len(w), most) + 1)])
             continue
-        for m in _WORD.finditer(part):
-            w = folded(m.group()).lstrip(_SIGNS)
-            if len(w) <= 24:
-                out.add(w + "\0")
-            out.update(w[:k] for k in range(3, min(len(w), 12) + 1))
+        if w + "\0" in wanted:
+            out.add(w + "\0")
+        for k in range(least, min(len(w), most) + 1):
+            if w[:k] not in wanted:
+                break
+            out.add(w[:k])
     return out
 
 
@@ -273,8 +438,7 @@ def _counts(rows: DataFrame, column: str, wanted: set[str] | None, words_only: b
         n: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text"]:
-                found = _beginnings(text) if isinstance(text, str) else set()
-                n.update(found & wanted if wanted is not None else found)
+                n.update(_beginnings(text, wanted) if isinstance(text, str) else ())
                 if len(n) > 500_000:
                     yield pd.DataFrame({"term": list(n), column: list(n.values())})
                     n.clear()
@@ -328,7 +492,7 @@ def _terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
                 words.setdefault(t[:k], []).append(t)
     out: dict[str, bool] = {}
     for t in good:
-        if t[:-1] in good or len(t) > 13 and t[:12] in good:  # a shorter beginning is as telling
+        if t[:-1] in good or t[: BEGINNINGS[1]] in good and len(t) > BEGINNINGS[1] + 1:  # a shorter beginning is as telling
             continue
         stem, n = t, good[t]
         while longer := [x for x in follows.get(stem, []) if good[x] * 20 >= n * 19]:
@@ -339,8 +503,7 @@ def _terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         else:
             out[stem.rstrip("\0")] = stem.endswith("\0")
     weight = {t: min(1.0, math.log(odds(t + "\0" if whole else t)) / math.log(SUREST)) for t, whole in out.items()}
-    best = sorted(out, key=lambda t: (-weight[t], -toxic[t + "\0" if out[t] else t], t))[:TERMS]
-    return [(t, out[t], round(weight[t], 2)) for t in best]
+    return [(t, out[t], round(weight[t], 2)) for t in sorted(out)]
 
 
 def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -395,22 +558,24 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 5, limit: int = LABELLED
 
     def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Words of clean texts that the automata would take for terms."""
-        scorer, found = Scorer(lexicon), Counter()
+        scorer, found = Scorer(lexicon), set()
         for batch in batches:
             for text in batch["text"]:
-                for chunk in set(text.split()):
-                    if scorer._hit(chunk)[0] == "misspelled":
-                        found.update({folded(m.group()) for m in _WORD.finditer(chunk)})
-        yield pd.DataFrame({"term": list(found), "c": list(found.values())}).astype({"term": object, "c": "int64"})
+                hits = scorer.chunks(set(text.split()))
+                found.update(folded(x) for chunk, hit in hits.items() if hit[0] == "misspelled" for x in _WORD.findall(chunk))
+        yield pd.DataFrame({"term": list(found)}, dtype=object)
 
-    spare = once.filter("toxic = 0").select("text").mapInPandas(taken, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
-    ordinary = [r["term"] for r in spare.orderBy(F.desc("c"), "term").limit(50_000).collect()]
+    # words of the bounded sample
+    ordinary = [r["term"] for r in once.filter("toxic = 0").select("text").mapInPandas(taken, "term string").distinct().collect()]
     model = Model(terms, ordinary, 1.0, 0.0)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = model.scorer()
+        # of clean texts all words that an automaton takes for terms are ordinary by now
+        scorers = {1: model.scorer(), 0: Scorer(Lexicon(model.terms, set(model.clean), edits=False))}
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "e": [round(min(50.0, scorer.evidence(x)[0]), 1) for x in batch["text"]]})
+            for toxic, scorer in scorers.items():
+                texts = batch["text"][batch["toxic"] == toxic]
+                yield pd.DataFrame({"toxic": toxic, "e": [round(e[0], 1) for e in scorer.all_evidence(texts)]})
 
     curve = once.select("toxic", "text").mapInPandas(weigh, "toxic int, e double").groupBy("e").agg(F.count_if(F.col("toxic") == 0).alias("c"), F.count_if(F.col("toxic") == 1).alias("t"))
     model.slope, model.base = _logistic([(r["e"], r["c"], r["t"]) for r in curve.collect()])
@@ -430,7 +595,7 @@ def scoring(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
         model = told.value
         scorer = model.scorer()
         for texts in batches:
-            found = [scorer.evidence(x if isinstance(x, str) else None) for x in texts]
+            found = list(scorer.all_evidence(x if isinstance(x, str) else None for x in texts))
             p = [model.score(e[0]) for e in found]
             kinds = {k: [e[i] for e in found] for i, k in ((1, "exact_hits"), (2, "misspelled_hits"), (3, "quoted_hits"))}
             yield pd.DataFrame({"score": p, "predicted": [int(x >= 0.5) for x in p]} | kinds)
