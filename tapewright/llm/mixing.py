@@ -7,22 +7,25 @@ own siblings get the rest.  Each leaf then takes a prefix of its documents in a
 order that differs from epoch to epoch; whole epochs come first.
 
 Only DataFrame and SQL functions are used.  A leaf's order is by hash, so a leaf is cut by
-summing tokens over hash ranges first; only the documents of the one range in which the
-budget ends are ordered, whatever the size of the leaf.
+summing tokens over hash ranges first; only the rows of the one range in which the budget
+ends are ordered, whatever the size of the leaf.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import deleted, new_path, written
+
 LEAF = ("domain", "language", "origin")
 #: The domains to which sources belong, by the number that ends their name.
 DOMAINS = ("web", "books", "code", "forum")
-#: Parts into which each leaf's rows are dealt where they meet their budget.
-SALTS = 64
+#: Up to so many leaves are broadcast; so many rows of a leaf or fewer are ordered at once.
+FEW, RANGE = 100_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -93,43 +96,92 @@ def leaf_budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     return shared_out(leaves, ["domain", "language"], "origin").select(*LEAF, "tokens", "n", "given")
 
 
-def mix(docs: DataFrame, plan: Plan, keep: list[str]) -> DataFrame:
+def _beside(table: DataFrame, few: bool) -> DataFrame:
+    """A table with a row for each leaf, broadcast if there are few enough; AQE splits hot leaves otherwise."""
+    return F.broadcast(table) if few else table
+
+
+def _cuts(ordered: DataFrame, budgets: DataFrame, most: int, few: bool) -> DataFrame:
+    """Where each leaf's budget ends in its order: ``budgets`` with cut, cut_tokens and k.
+
+    Rows with (order, tokens) before (cut, cut_tokens) are taken, and ``k`` of those equal to
+    it; cut is null if the budget covers the leaf.  Tokens are summed over ranges of the order,
+    each of which is split into 4096 until one holds few of the largest leaf's ``most`` rows.
+    """
+    at = budgets.withColumn("prefix", F.lit("")).withColumn("start", F.lit(0).cast("long"))
+    digits, size = 0, most
+    along = Window.partitionBy(*LEAF)
+    while True:
+        rows = ordered.join(_beside(at.select(*LEAF, "prefix"), few), [*LEAF]).filter(F.substring("order", 1, digits) == F.col("prefix")).drop("prefix")
+        last = size <= RANGE
+        digits += 3
+        keys = ["order", "tokens"] if last else [F.substring("order", 1, digits).alias("order"), F.lit(0).alias("tokens")]
+        sums = rows.groupBy(*LEAF, *keys).agg(F.sum(rows["tokens"]).alias("sum"))
+        sums = sums.withColumn("end", F.sum("sum").over(along.orderBy("order", "tokens")))
+        over = sums.join(_beside(at.select(*LEAF, "left", "start"), few), [*LEAF]).filter(F.col("start") + F.col("end") > F.col("left"))
+        first = over.groupBy(*LEAF).agg(F.min(F.struct("order", "tokens", "sum", "end")).alias("x")).select(*LEAF, "x.*")
+        at = at.join(_beside(first, few), [*LEAF], "left").withColumn("before", F.col("start") + F.col("end") - F.col("sum"))
+        if last:
+            k = F.when(F.col("tokens") > 0, F.floor((F.col("left") - F.col("before")) / F.col("tokens"))).otherwise(0).cast("long")
+            return at.select(*budgets.columns, F.col("order").alias("cut"), F.col("tokens").alias("cut_tokens"), k.alias("k"))
+        # a leaf that is covered has no prefix any more and no rows from here on
+        at = written(at.select(*budgets.columns, F.col("order").alias("prefix"), F.coalesce("before", "start").alias("start")), "mixing-ranges")
+        size //= 4096
+
+
+def mix(docs: DataFrame, plan: Plan, keep: list[str], domain: Callable[[Column], Column] = domain_of, tokens: Callable[[Column], Column] = n_tokens) -> DataFrame:
     """The documents that the plan takes: columns ``keep`` with domain, tokens and epoch.
 
+    ``domain`` gives a source's domain and ``tokens`` a text's tokens, by default by words.
     A row is taken once an epoch: in each whole epoch that its leaf's budget covers, and in
     the next one if it lies in the seeded prefix whose tokens fit what is left.  A null lang
     or source is a leaf of its own; documents without text cost nothing and are taken while
     their leaf's prefix lasts; repeated rows stand side by side in the order and count each.
     Rows that share a doc_id are ordered by tokens.  An empty table gives an empty result.
+
+    Documents don't move: they are read twice, once for a narrow table from which each leaf's
+    end is found, and once to be filtered by it.
     """
-    named = [domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("-")).alias("language"), F.coalesce("source", F.lit("-")).alias("origin")]
-    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col("doc_id").cast("string").alias("id"), *named, n_tokens(F.col("text")).alias("tokens"))
-    leaves = rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    spark = docs.sparkSession
+    named = [domain(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("-")).alias("language"), F.coalesce("source", F.lit("-")).alias("origin")]
+    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col("doc_id").cast("string").alias("id"), *named, tokens(F.col("text")).alias("tokens"))
+    where = new_path(spark, "mixing-rows")
+    rows.select(*LEAF, "id", "tokens").write.parquet(where)
+    narrow = spark.read.parquet(where)
+    leaves = narrow.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     budgets = leaf_budgets(leaves, plan)
     whole = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(0).cast("int")
-    budgets = budgets.select(*LEAF, whole.alias("whole"), (F.col("given") - whole * F.col("tokens")).alias("left"), F.ceil(F.sqrt("n") / 4).cast("long").alias("ranges"), ((F.col("given") > 0) | (F.col("tokens") == 0)).alias("any"))
-    # salted, so that a hot leaf's rows neither meet in one task here nor stay together for what follows
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id", "tokens"), F.lit(SALTS)).cast("int"))
-    dealt = dealt.join(budgets.filter("any").select("*", salts), [*LEAF, "salt"]).drop("salt")
-    order = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.coalesce("id", F.lit("-"))))
-    dealt = dealt.withColumn("order", order)
-    partial = F.col("whole") < plan.epochs
-    place = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
-    dealt = dealt.withColumn("range", F.shiftright(place * F.col("ranges"), 32))
-    summed = dealt.filter(partial).groupBy(*LEAF, "range").agg(F.sum("tokens").alias("in_range"), F.first("left").alias("left"))
-    along = Window.partitionBy(*LEAF).orderBy("range")
-    summed = summed.withColumn("end", F.sum("in_range").over(along)).withColumn("start", F.col("end") - F.col("in_range"))
-    state = F.when(F.col("end") <= F.col("left"), "all").when(F.col("start") <= F.col("left"), "cut")
-    ends = summed.withColumn("state", state).filter("state is not null").select(*LEAF, "range", "state", F.col("start").alias("start"))
-    out = [F.col(f"keep_{c}").alias(c) for c in keep]
-    full = dealt.filter("whole > 0").select(*out, "domain", "tokens", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"))
-    # the range where the budget ends is the first that isn't taken whole
-    last = ends.filter("state = 'cut'").groupBy(*LEAF).agg(F.min(F.struct("range", "start")).alias("x")).select(*LEAF, F.col("x.range").alias("range"), F.col("x.start").alias("start"))
-    taken = dealt.filter(partial).join(ends.filter("state = 'all'").drop("state", "start"), [*LEAF, "range"]).select(*out, "domain", "tokens", F.col("whole").alias("epoch"))
-    within = Window.partitionBy(*LEAF).orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = dealt.join(last, [*LEAF, "range"]).withColumn("end", F.col("start") + F.sum("tokens").over(within)).filter(F.col("end") <= F.col("left"))
-    return full.unionByName(taken).unionByName(cut.select(*out, "domain", "tokens", F.col("whole").alias("epoch")))
+    budgets = budgets.filter((F.col("given") > 0) | (F.col("tokens") == 0)).select(*LEAF, "n", whole.alias("whole"), (F.col("given") - whole * F.col("tokens")).alias("left"))
+    budgets = written(budgets, "mixing-budgets")
+    size = budgets.agg(F.count(F.lit(1)).alias("leaves"), F.max("n").alias("n")).first()
+    few = size["leaves"] <= FEW
+
+    def ordered(some: DataFrame, ends: DataFrame) -> DataFrame:
+        order = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.coalesce("id", F.lit("-"))))
+        return some.join(_beside(ends, few), [*LEAF]).withColumn("order", order)
+
+    partial = budgets.filter(F.col("whole") < plan.epochs)
+    lined = ordered(narrow, partial.select(*LEAF, "whole")).select(*LEAF, "order", "tokens")
+    cuts = _cuts(lined, partial, size["n"] or 0, few).select(*LEAF, "cut", "cut_tokens", "k")
+    ends = written(budgets.join(_beside(cuts, few), [*LEAF], "left"), "mixing-ends")
+    deleted(spark, where)
+
+    out = [*(F.col(f"keep_{c}").alias(c) for c in keep), "domain", "tokens"]
+    placed = ordered(rows, ends)
+    before = F.col("cut").isNull() | (F.col("order") < F.col("cut")) | (F.col("order") == F.col("cut")) & (F.col("tokens") < F.col("cut_tokens"))
+    first = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
+    epochs = F.concat(first, F.when((F.col("whole") < plan.epochs) & before, F.array("whole")).otherwise(F.array().cast("array<int>")))
+    taken = placed.select(*out, F.explode(epochs).alias("epoch"))
+    if ends.filter("k > 0").isEmpty():
+        return taken
+    # some, not all, of rows that are alike to the order: so many of each partition's
+    alike = placed.filter((F.col("order") == F.col("cut")) & (F.col("tokens") == F.col("cut_tokens")) & (F.col("k") > 0)).withColumn("part", F.spark_partition_id())
+    parts = alike.groupBy(*LEAF, "part").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"))
+    earlier = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("part")) - F.col("n")
+    parts = parts.select(*LEAF, "part", (F.col("k") - earlier).alias("most")).filter("most > 0")
+    numbered = alike.withColumn("number", F.row_number().over(Window.partitionBy(*LEAF, "part").orderBy("id")))
+    some = numbered.join(parts, [*LEAF, "part"]).filter("number <= most").select(*out, F.col("whole").alias("epoch"))
+    return taken.unionByName(some)
 
 
 def mix_sql(plan: Plan) -> str:

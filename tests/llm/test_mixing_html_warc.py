@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tapewright.llm.html_text import extract, main_text
 from tapewright.llm.mixing import Plan, mix, mix_sql
@@ -12,9 +13,10 @@ from .conftest import documents
 
 
 def by_sql(docs, plan, tmp_path):
-    docs.select("doc_id", "text", "lang", "source").toPandas().to_parquet(tmp_path / "documents.parquet")
+    # not through pandas: a null would turn the ids into floats
+    docs.select("doc_id", "text", "lang", "source").write.mode("overwrite").parquet(f"file://{tmp_path}/documents")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
     return sorted(con.execute(mix_sql(plan)).fetchall(), key=str)
 
 
@@ -33,6 +35,23 @@ def test_mixing_messy_rows(spark, messy, empty, tmp_path):
     assert mix(empty, MIX, ["doc_id"]).collect() == [] and mix(messy, MIX, ["doc_id"]).count() > 0
 
 
+def test_mixing_repeated_rows_and_ranges(spark, monkeypatch, tmp_path):
+    """A third of the rows are one row, and leaves are cut in several rounds of ranges."""
+    from tapewright.llm import mixing
+
+    monkeypatch.setattr(mixing, "RANGE", 1)
+    rows = [(7, "the same words again", "en", "s1")] * 200 + [(None, "no id here", "en", "s1")] * 50 + [(i, "word " * (i % 40 + 1), "en", f"s{i % 2}") for i in range(400)]
+    docs = documents(spark, rows).repartition(5)
+    for plan in (Plan(budget=0.5, epochs=1), Plan(budget=1.3, epochs=2, seed=4), Plan(budget=0.2, epochs=1, seed=9)):
+        assert sorted((tuple(r) for r in mix(docs, plan, ["doc_id"]).collect()), key=str) == by_sql(docs, plan, tmp_path)
+
+
+def test_mixing_by_given_domains_and_tokens(spark):
+    rows = [(i, "a b c d", "en", f"s{i % 4}") for i in range(40)]
+    out = mix(documents(spark, rows), Plan({"x": 3.0}, budget=0.5, epochs=1), ["doc_id"], lambda s: F.when(s == "s0", "x").otherwise("y"), lambda t: F.lit(10).cast("long")).collect()
+    assert {r.tokens for r in out} == {10} and {r.domain for r in out} <= {"x", "y"} and sum(r.domain == "x" for r in out) == 10
+
+
 ARTICLE = "The first paragraph of the story is long enough to be text &amp; more."
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{color:red}}</style><script>var a = "<p>no</p>";</script></head><body>
 <header>Site name</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
