@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         # a table rather than a checkpoint: plans over checkpoints carry all earlier rounds' constraints along
         new = written(lower.join(jump, "label").select("node", "was", F.least("label", "next").alias("label")), "labels")
+        dropped(labels)
         labels = new.select("node", "label")
         if new.filter("label <> was").isEmpty():
+            dropped(both)
             return labels

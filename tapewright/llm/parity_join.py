@@ -12,18 +12,20 @@ suffice.  The order puts values that many documents hold last, so common passage
 cause candidates.  N depends on the size band [2^k, 2^(k+1)); a document also joins the
 band below if a similar smaller document may be there.
 
-Copies have one class (equal sets).  In each bucket the classes are linked in a chain;
-the links are checked (dense parity sketch first, then whole sets) and give components;
-then, in rounds, all classes of a bucket that holds several components are checked against
-its hub, the class with most links so far, which is the original among its near copies;
-then all pairs of classes that share a bucket and are still in different components are
-checked, those of large buckets as matrices of sketches, block by block, so that only
-pairs whose sketches allow a link are ever rows.  So no link between components is lost.
+Copies have one class (equal sets); a task names the buckets of a class once, however many
+copies it reads, and buckets of very frequent values are salted.  In each bucket the classes
+are linked in a chain; the links are checked (dense parity sketch first, then whole sets)
+and give components.  Buckets that then still hold several components are compared within
+tasks, those with the same members once, large ones in pairs of blocks: sketches tell which
+members have any partner in another component, whole sets of these members which links are
+true, and of the true ones a task returns a spanning forest, so no more rows than members
+leave it.  So no link between components is lost, and no pairs of a group are listed.
+Whole sets are compared as 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mix, shingle_set
-from .storage import deleted, new_path, shared_dir, small_batches, written
+from .storage import deleted, dropped, new_path, shared_dir, small_batches, written
 
 #: Segments per shingle of a band's largest set, so that many more nonempty segments exist than are needed
 #: and those that many documents hold can be left out.
@@ -40,11 +42,12 @@ SEGMENTS = 0.8
 #: Values held by fewer documents than this within one input split aren't reported as frequent.
 FREQUENT = 3
 #: At most so many frequent values are told to all tasks (12 bytes each); the order of the others is by hash.
+#: The order decides how many candidates there are, never which links are found.
 TOLD = 500_000
-#: Members of a bucket that are joined with each other; of larger buckets, members in a block.
-SMALL, BLOCK = 64, 2048
-#: Rounds in which buckets are checked against their hubs.
-HUBS = 2
+#: Documents with one value that meet in one task; values of more documents are salted.
+SALTED = 20_000
+#: Shingles that a block of a large bucket holds together, about.
+BLOCK = 1 << 19
 #: Ids of candidates are broadcast up to this count, else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -123,56 +126,74 @@ def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _signatures(rule: Rule, frequent: tuple[np.ndarray, np.ndarray]):
+def _members(rule: Rule):
+    """Sizes, names and sketches of sets; the values that are frequent in a task are rows of their own."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def close() -> pd.DataFrame:
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            often = count >= FREQUENT
+            return pd.DataFrame({"value": value[often], "times": count[often]}).reindex(columns=["doc_id", "row_key", "n", "fp", "sketch", "value", "times"]).astype({"value": "Int64", "times": "Int64"})
+
         for batch in batches:
             rows = []
             for doc_id, row_key, text in zip(batch["doc_id"], batch["row_key"], batch["text"], strict=True):
                 x = shingle_set(text if isinstance(text, str) else None, rule.width)
                 doc = None if pd.isna(doc_id) else int(doc_id)
+                rows.append((doc, row_key, len(x), fingerprint(x) if len(x) else None, rule.sketch(x) if len(x) else b""))
                 if len(x):
-                    fp = fingerprint(x)
-                    rows.append((doc, row_key, len(x), fp, rule.keys(x, frequent), rule.sketch(x)))
-                else:
-                    rows.append((doc, row_key, 0, None, [], b""))
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            doc, key, n, fp, keys, sketch = map(list, columns)
+                    held.append(rule.keys(x, None))
+                    size += len(held[-1])
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            doc, key, n, fp, sketch = map(list, columns)
             # nulls must not turn long integers into floats
-            yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "row_key": key, "n": n, "fp": pd.array(fp, "Int64"), "keys": keys, "sketch": sketch})
+            yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "row_key": key, "n": n, "fp": pd.array(fp, "Int64"), "sketch": sketch}).assign(value=pd.NA, times=pd.NA)
+            if size > 4_000_000:
+                yield close()
+                held, size = [], 0
+        if held:
+            yield close()
 
     return run
 
 
-def _frequent_here(rule: Rule):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def close() -> pd.DataFrame:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"key": value[count >= FREQUENT], "n": count[count >= FREQUENT]})
+def _entries(rule: Rule, frequent: tuple[np.ndarray, np.ndarray]):
+    """(key, salt, fp) for each bucket of a text's class, once a task however many copies it holds."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        known, count = frequent
         for batch in batches:
+            keys, names = [], []
             for text in batch["text"]:
                 x = shingle_set(text if isinstance(text, str) else None, rule.width)
-                if len(x):
-                    held.append(rule.keys(x, None))
-                    size += len(held[-1])
-                    if size > 4_000_000:
-                        yield close()
-                        held, size = [], 0
-        if held:
-            yield close()
+                fp = fingerprint(x) if len(x) else None
+                if fp is not None and fp not in seen:
+                    seen.add(fp)
+                    keys.append(np.unique(rule.keys(x, frequent)))
+                    names.append(fp)
+            if not keys:
+                continue
+            fp = np.repeat(np.array(names, np.int64), [len(k) for k in keys])
+            key = np.concatenate(keys)
+            salts = np.ones(len(key), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                salts += np.where(known[at] == key, count[at], 0) // SALTED
+            yield pd.DataFrame({"key": key, "salt": np.where(salts > 1, 1 + fp % salts, 0).astype(np.int32), "fp": fp})
 
     return run
 
 
-def frequent_values(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+def frequent_values(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent segment values over all documents, by value; at most TOLD of them.
 
     They only set the order in which a document's segments are taken, never a result.
     """
-    found = docs.select("text").mapInPandas(_frequent_here(rule), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = signed.filter("value is not null").groupBy(F.col("value").alias("key")).agg(F.sum("times").alias("n"))
     top = found.orderBy(F.desc("n"), "key").limit(TOLD).toPandas().sort_values("key")
     return top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
@@ -196,36 +217,45 @@ def _similar_sketches(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataF
     return joined.filter(fits).filter(near("sketch_a", "sketch_b", "n_a", "n_b"))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets are similar enough: exact."""
-    num, den, width = rule.num, rule.den, rule.width
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(fp, shingles) of the classes ``wanted`` (distinct fp): each one's text is read again once."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(fp, shingle_set(t, width)) for fp, t in zip(batch["fp"], batch["text"], strict=True) if t]
+            found = [(fp, shingle_set(t, rule.width)) for fp, t in zip(batch["fp"], batch["text"], strict=True) if t]
             found = [(fp, x.tobytes()) for fp, x in found if len(x) and fingerprint(x) == fp]
             yield pd.DataFrame(found, columns=["fp", "shingles"]).astype({"fp": "int64"})
 
-    @F.pandas_udf("boolean")
-    def linked(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = np.zeros(len(xs), bool)
-        for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([p, q]))
-            common = int((both[1:] == both[:-1]).sum())
-            out[i] = common * den >= num * (len(p) + len(q) - common)
-        return pd.Series(out)
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "row_key"), "fp")
-    wanted = written(wanted, "wanted")
+    wanted = written(wanted.join(classes.select("fp", "row_key"), "fp"), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     # other texts may share a row_key: their fingerprints tell them apart
     texts = docs.select("row_key", "text").join(F.broadcast(wanted) if few else wanted, "row_key").select("fp", "text")
-    found = texts.mapInPandas(sets, "fp long, shingles binary").dropDuplicates(["fp"])
+    return texts.mapInPandas(sets, "fp long, shingles binary").dropDuplicates(["fp"])
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Of pairs (a, b) those whose whole sets are similar enough: exact."""
+    num, den = rule.num, rule.den
+
+    @F.pandas_udf("boolean")
+    def linked(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        found = (_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(xs, ys, strict=True))
+        return pd.Series(np.fromiter(found, bool, len(xs)))
+
+    found = _sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), classes, docs, rule)
     a, b = (found.select(F.col("fp").alias(s), F.col("shingles").alias(f"x{s}")) for s in "ab")
     return pairs.select("a", "b").join(a, "a").join(b, "b").filter(linked("xa", "xb")).select("a", "b")
 
 
+def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common * den >= num * (len(x) + len(y) - common)
+
+
 def near_duplicates(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5) -> DataFrame:
     """Components of documents linked by Jaccard similarity >= num/den of their word shingles.
 
@@ -250,44 +280,38 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
-    told = spark.sparkContext.broadcast(frequent_values(docs, rule))
-
-    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _signatures(rule, told.value)(batches)
-
     where = new_path(spark, "signatures")
-    docs.mapInPandas(signatures, "doc_id long, row_key long, n int, fp long, keys array<long>, sketch binary").write.parquet(where)
+    docs.mapInPandas(_members(rule), "doc_id long, row_key long, n int, fp long, sketch binary, value long, times long").write.parquet(where)
     signed = spark.read.parquet(where)
-
-    # buckets with more than one class; window rows stream, so a hot value needs no memory
-    order = Window.partitionBy("key").orderBy("fp")
-    entries = signed.filter("n > 0").select("fp", "n", F.explode("keys").alias("key")).withColumn("before", F.lag("fp").over(order)).withColumn("n_before", F.lag("n").over(order))
-    once = entries.filter("before is null or before <> fp").withColumn("after", F.lead("fp").over(order))
-    shared = written(once.filter("before is not null or after is not null").select("key", "fp", "n", "before", "n_before"), "buckets")
-    members = written(signed.select("doc_id", "row_key", "n", "fp", "sketch"), "members")
-    deleted(spark, where)
-    joined = members.filter("n > 0").join(shared.select("fp").distinct(), "fp", "left_semi")
+    told = spark.sparkContext.broadcast(frequent_values(signed))
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _entries(rule, told.value)(batches)
+
+    # buckets with more than one class; window rows stream, so a bucket needs no memory
+    order = Window.partitionBy("key", "salt").orderBy("fp")
+    rows = docs.select("text").mapInPandas(entries, "key long, salt int, fp long").withColumn("before", F.lag("fp").over(order))
+    once = rows.filter("before is null or before <> fp").withColumn("after", F.lead("fp").over(order))
+    shared = written(once.filter("before is not null or after is not null or salt > 0").select("key", "fp", "before"), "buckets")
+    members = written(signed.filter("row_key is not null").select("doc_id", "row_key", "n", "fp"), "members")
+    joined = signed.filter("n > 0").join(shared.select("fp").distinct(), "fp", "left_semi")
     classes = written(joined.groupBy("fp").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    deleted(spark, where)
 
     # first the neighbour with which a class shares most buckets, next all neighbours, last all that share a bucket
-    fits = F.least("n", "n_before") * rule.den >= F.greatest("n", "n_before") * rule.num
-    chained = shared.filter(F.col("before").isNotNull() & fits).groupBy(F.col("before").alias("a"), F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    chained = shared.filter("before is not null").groupBy(F.col("before").alias("a"), F.col("fp").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     near = written(_similar_sketches(chained, classes, rule).select("a", "b", "times"), "neighbours")
     ends = near.select("a", "b", "times", F.explode(F.array("a", "b")).alias("fp"))
     best = ends.groupBy("fp").agg(F.max(F.struct("times", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     links = written(_linked(best, classes, docs, rule), "links")
     labels = components(links)
-    for step in ("neighbours", *["hubs"] * HUBS, "all"):
-        if step == "neighbours":
-            pairs = near
-        else:
-            mixed = _mixed(shared, labels)
-            known = near.select("a", "b").union(links)
-            pairs = _similar_sketches(_to_hubs(mixed, known, rule), classes, rule) if step == "hubs" else _across(mixed, classes, rule)
-        rest = written(_apart(pairs, labels), "apart")
-        if not rest.isEmpty():
-            links = written(links.union(_linked(rest, classes, docs, rule)), "links")
+    for step in (lambda: _linked(written(_apart(near.select("a", "b"), labels), "apart"), classes, docs, rule), lambda: _across(shared, labels, classes, docs, rule)):
+        found = written(step(), "links")
+        if not found.isEmpty():
+            links = links.union(found)
             labels = components(links)
+    for table in (shared, near, links):
+        dropped(table)
 
     named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     lowest = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min("row_key").alias("any_key"))
@@ -303,58 +327,136 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, fp, n, label) of the buckets that hold more than one component."""
-    rows = shared.select("key", "fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    return written(rows.join(mixed, "key", "left_semi"), "mixed")
+def _mixed(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (key, fp, n, label) of the buckets that hold more than one component; of buckets with the same members one."""
+    named = classes.select("fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rows = shared.select("key", "fp").join(named, "fp")
+    of = [F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("fp")).alias("h"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("g"), F.sum(F.col("n").cast("long")).alias("shingles")]
+    mixed = rows.groupBy("key").agg(*of).filter("x <> y").groupBy("members", "h", "g").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
+    return rows.join(mixed.select("key", "shingles"), "key")
+
+
+def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between classes that share a bucket but no component; of those within one pair of blocks a spanning forest."""
+    many = _mixed(shared, labels, classes).withColumn("blocks", F.ceil(F.col("shingles") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    many = many.select("key", "fp", "n", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    many = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "n", "label")
+
+    def candidates(rows: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        """Members with a partner that the sketches allow."""
+        keep, sketch = np.zeros(len(rows), bool), rows["sketch"].tolist()
 
+        def dense(some: np.ndarray) -> np.ndarray:
+            size = min(len(sketch[k]) for k in some)
+            # folding keeps the bound: halves of a parity sketch XOR together
+            return np.stack([folded(np.frombuffer(sketch[k], np.uint8), np.zeros(size, np.uint8))[0] for k in some])
 
-def _to_hubs(mixed: DataFrame, known: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs of a bucket's hub with each class of another component, of sizes that allow a link."""
-    degree = known.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("degree"))
-    rows = mixed.join(degree, "fp", "left")
-    hubs = rows.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "fp", "n", "label")).alias("hub"))
-    fits = F.least("n", "hub.n") * rule.den >= F.greatest("n", "hub.n") * rule.num
-    pairs = mixed.join(hubs, "key").filter((F.col("label") != F.col("hub.label")) & fits)
-    return pairs.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
+        for x, y, _ in _allowed(rows, groups, dense, rule):
+            keep[x] = keep[y] = True
+        return rows[keep].drop(columns="sketch")
 
+    def forest(rows: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+        sets, fp, label, out = [np.frombuffer(x, np.uint64) for x in rows["shingles"]], rows["fp"].tolist(), rows["label"].tolist(), []
 
-def _across(mixed: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs of classes that share a bucket but no component, of sizes and dense sketches that allow a link.
+        def dense(some: np.ndarray) -> np.ndarray:
+            wide = max(64, 16 << (max(len(sets[k]) for k in some).bit_length() - 1))
+            return np.stack([np.packbits((np.bincount((mix(sets[k]) & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)) for k in some])
 
-    Members of small buckets are joined.  Large buckets are cut into blocks of about ``BLOCK``
-    members; each pair of blocks is one group, whose sketches are compared as matrices, so
-    that only pairs which pass leave the task.
+        for x, y, apart in _allowed(rows, groups, dense, rule):
+            root: dict[int, int] = {}
+
+            def top(label: int, root: dict[int, int] = root) -> int:
+                while (up := root.get(label, label)) != label:
+                    root[label] = label = root.get(up, up)
+                return label
+
+            for at in np.argsort(apart, kind="stable").tolist():
+                a, b = int(x[at]), int(y[at])
+                la, lb = top(label[a]), top(label[b])
+                if la != lb and _alike(sets[a], sets[b], rule.num, rule.den):
+                    root[la] = lb
+                    out.append((fp[a], fp[b]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    kind = "key long, i int, j int, own int, fp long, n int, label long"
+    left = written(_in_groups(many.join(classes.select("fp", "sketch"), "fp"), candidates, kind), "candidates")
+    sets = _sets(left.select("fp").distinct(), classes, docs, rule)
+    return _in_groups(left.join(sets, "fp"), forest, "a long, b long").distinct()
+
+
+def _allowed(rows: pd.DataFrame, groups: list[tuple[int, int]], dense: Callable[[np.ndarray], np.ndarray], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group of rows (start, end) with any: places of pairs, one from each block, of different labels, with sizes and sketches that allow a link, and the sketches' distances.
+
+    ``dense`` gives the sketches of some rows, of one length.
     """
-    members = mixed.join(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
-    few = members.filter(F.col("members") <= SMALL)
-    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "label"))) for s in "ab")
-    fits = F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("fp_a") < F.col("fp_b")) & (F.col("label_a") != F.col("label_b")) & fits)
-    joined = _similar_sketches(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct(), classes, rule).select("a", "b")
-
-    many = members.filter(F.col("members") > SMALL).join(classes.select("fp", "sketch"), "fp")
-    many = many.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    many = many.select("key", "fp", "n", "label", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = many.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-
-    def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        size = min(map(len, rows["sketch"]))
-        # folding keeps the bound: halves of a parity sketch XOR together
-        sketch = np.stack([folded(np.frombuffer(x, np.uint8), np.zeros(size, np.uint8))[0] for x in rows["sketch"]]).view(np.uint64)
-        fp, n, label, own = (rows[c].to_numpy() for c in ("fp", "n", "label", "own"))
-        left, right = np.flatnonzero(own == rows["i"].iloc[0]), np.flatnonzero(own == rows["j"].iloc[0])
-        step, out = max(1, (1 << 23) // max(1, len(right) * size)), [np.empty((0, 2), np.int64)]
+    size, label, own, i, j = (rows[c].to_numpy() for c in ("n", "label", "own", "i", "j"))
+    size = size.astype(np.int64)
+    num, den = rule.num, rule.den
+    for start, end in groups:
+        n, mark, of = size[start:end], label[start:end], own[start:end]
+        if n.min() * den >= n.max() * num:
+            near = None
+        else:
+            # members without any partner of a fitting size need no sketch
+            ordered = np.sort(n)
+            low, high = np.searchsorted(ordered, -(-n * num // den), "left"), np.searchsorted(ordered, n * den // num, "right")
+            near = np.flatnonzero(high - low > 1)
+            if len(near) < 2:
+                continue
+        if near is not None:
+            n, mark, of = n[near], mark[near], of[near]
+        if (mark == mark[0]).all():
+            continue
+        one = i[start] == j[start]
+        left, right = (np.arange(len(n)),) * 2 if one else (np.flatnonzero(of == i[start]), np.flatnonzero(of == j[start]))
+        if not len(left) or not len(right):
+            continue
+        place = start + (near if near is not None else np.arange(len(n)))
+        sketch = dense(place)
+        sketch = sketch.view(np.uint64) if sketch.shape[1] % 8 == 0 else sketch
+        step, out = max(1, (1 << 23) // (len(right) * sketch.shape[1] * sketch.itemsize)), []
         for at in range(0, len(left), step):
             p = left[at : at + step, None]
-            apart = np.bitwise_count(sketch[p[:, 0]][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int64)
-            low, high = np.minimum(n[p], n[right]).astype(np.int64), np.maximum(n[p], n[right]).astype(np.int64)
-            ok = (apart <= (low + high) * (rule.den - rule.num) // (rule.den + rule.num)) & (label[p] != label[right]) & (low * rule.den >= high * rule.num)
+            low, high = np.minimum(n[p], n[right]), np.maximum(n[p], n[right])
+            ok = (mark[p] != mark[right]) & (low * den >= high * num)
+            if one:
+                ok &= p < right
             x, y = np.nonzero(ok)
-            found = np.sort(np.stack([fp[p[x, 0]], fp[right[y]]], axis=1), axis=1)
-            out.append(np.unique(found, axis=0))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+            if not len(x):
+                continue
+            x, y = p[x, 0], right[y]
+            apart = np.concatenate([np.bitwise_count(sketch[x[k : k + (1 << 18)]] ^ sketch[y[k : k + (1 << 18)]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 1 << 18)])
+            ok = apart <= (n[x] + n[y]) * (den - num) // (den + num)
+            out.append((place[x[ok]], place[y[ok]], apart[ok]))
+        if out and sum(len(x[0]) for x in out):
+            yield tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def _in_groups(rows: DataFrame, work: Callable[[pd.DataFrame, list[tuple[int, int]]], pd.DataFrame], kind: str) -> DataFrame:
+    """``work`` on rows that hold whole groups (key, i, j); groups are small and many, so a task takes them from its sorted rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+
+        def whole() -> pd.DataFrame:
+            table = pd.concat(held, ignore_index=True)
+            group = table[["key", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(table)]
+            return work(table, list(zip(cuts[:-1], cuts[1:], strict=True)))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            group = batch[["key", "i", "j"]].to_numpy()
+            first = int(np.argmax((group == group[-1]).all(axis=1)))  # of the last group, which may go on
+            if first or last is not None and (last != group[0]).any():
+                held.append(batch.iloc[:first])
+                yield whole()
+                held = []
+            held.append(batch.iloc[first:])
+            last = group[-1]
+        if held:
+            yield whole()
 
-    in_blocks = many.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long")
-    return joined.union(in_blocks).distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, kind)

@@ -40,6 +40,13 @@ def deleted(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove the written tables that these rows come from; nothing may read them any more."""
+    for table in tables:
+        for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            deleted(table.sparkSession, path)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Python workers get at most so many rows at once in the jobs run meanwhile: rows that hold whole texts or sets are large."""

@@ -69,8 +69,8 @@ def test_chains_of_edits(spark):
 
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """Variants of one text without an original, each near to few others, in buckets of several blocks."""
-    monkeypatch.setattr(parity_join, "SMALL", 4)
-    monkeypatch.setattr(parity_join, "BLOCK", 30)
+    monkeypatch.setattr(parity_join, "SALTED", 5)
+    monkeypatch.setattr(parity_join, "BLOCK", 400)
     rng, base = np.random.default_rng(5), [f"b{i}" for i in range(60)]
     rows = []
     for i in range(150):
