@@ -151,7 +151,7 @@ def _members(rule: Rule):
             doc, key, n, fp, sketch = map(list, columns)
             # nulls must not turn long integers into floats
             yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "row_key": key, "n": n, "fp": pd.array(fp, "Int64"), "sketch": sketch}).assign(value=pd.NA, times=pd.NA)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield close()
                 held, size = [], 0
         if held:
@@ -161,13 +161,13 @@ def _members(rule: Rule):
 
 
 def _entries(rule: Rule, frequent: tuple[np.ndarray, np.ndarray]):
-    """(key, salt, fp) for each bucket of a text's class, once a task however many copies it holds."""
+    """(key, size, fp) for each bucket of a text's class, once a task however many copies it holds; size is n + 2^32 salt."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         known, count = frequent
         for batch in batches:
-            keys, names = [], []
+            keys, names, sizes = [], [], []
             for text in batch["text"]:
                 x = shingle_set(text if isinstance(text, str) else None, rule.width)
                 fp = fingerprint(x) if len(x) else None
@@ -175,15 +175,17 @@ def _entries(rule: Rule, frequent: tuple[np.ndarray, np.ndarray]):
                     seen.add(fp)
                     keys.append(np.unique(rule.keys(x, frequent)))
                     names.append(fp)
+                    sizes.append(len(x))
             if not keys:
                 continue
-            fp = np.repeat(np.array(names, np.int64), [len(k) for k in keys])
+            each = [len(k) for k in keys]
+            fp, size = np.repeat(np.array(names, np.int64), each), np.repeat(np.array(sizes, np.int64), each)
             key = np.concatenate(keys)
             salts = np.ones(len(key), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 salts += np.where(known[at] == key, count[at], 0) // SALTED
-            yield pd.DataFrame({"key": key, "salt": np.where(salts > 1, 1 + fp % salts, 0).astype(np.int32), "fp": fp})
+            yield pd.DataFrame({"key": key, "size": size + (np.where(salts > 1, 1 + fp % salts, 0) << 32), "fp": fp})
 
     return run
 
@@ -288,11 +290,19 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _entries(rule, told.value)(batches)
 
-    # buckets with more than one class; window rows stream, so a bucket needs no memory
-    order = Window.partitionBy("key", "salt").orderBy("fp")
-    rows = docs.select("text").mapInPandas(entries, "key long, salt int, fp long").withColumn("before", F.lag("fp").over(order))
-    once = rows.filter("before is null or before <> fp").withColumn("after", F.lead("fp").over(order))
-    shared = written(once.filter("before is not null or after is not null or salt > 0").select("key", "fp", "before"), "buckets")
+    # buckets by size, cut where sizes allow no link any more; window rows stream, so a bucket needs no memory
+    by_size = Window.partitionBy("key", "salt").orderBy("n", "fp")
+    rows = docs.select("text").mapInPandas(entries, "key long, size long, fp long").select("key", F.shiftright("size", 32).alias("salt"), F.expr("size & 4294967295").alias("n"), "fp")
+    rows = rows.withColumn("last", F.lag("fp").over(by_size)).withColumn("n_last", F.lag("n").over(by_size)).filter("last is null or last <> fp")
+    gap = F.when(F.col("n_last") * rule.den < F.col("n") * rule.num, 1).otherwise(0)
+    rows = rows.withColumn("part", F.sum(gap).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy("key", "salt", "part").orderBy("n", "fp")
+    sides = {name: F.lag("fp", k).over(order) for name, k in (("before", 1), ("before2", 2), ("after", -1), ("after2", -2))}
+    rows = rows.select("key", "salt", "part", "fp", *(c.alias(name) for name, c in sides.items())).filter("before is not null or after is not null or salt > 0")
+    # the chain settles buckets of two
+    wide = "salt > 0 or before2 is not null or after2 is not null or before is not null and after is not null"
+    key = F.when(F.col("salt") > 0, F.col("key")).otherwise(F.xxhash64("key", "part"))
+    shared = written(rows.select(key.alias("key"), "fp", "before", F.expr(wide).alias("wide")), "buckets")
     members = written(signed.filter("row_key is not null").select("doc_id", "row_key", "n", "fp"), "members")
     joined = signed.filter("n > 0").join(shared.select("fp").distinct(), "fp", "left_semi")
     classes = written(joined.groupBy("fp").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
@@ -330,7 +340,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _mixed(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (key, fp, n, label) of the buckets that hold more than one component; of buckets with the same members one."""
     named = classes.select("fp", "n").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    rows = shared.select("key", "fp").join(named, "fp")
+    rows = shared.filter("wide").select("key", "fp").join(named, "fp")
     of = [F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("fp")).alias("h"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("g"), F.sum(F.col("n").cast("long")).alias("shingles")]
     mixed = rows.groupBy("key").agg(*of).filter("x <> y").groupBy("members", "h", "g").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
     return rows.join(mixed.select("key", "shingles"), "key")

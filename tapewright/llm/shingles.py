@@ -26,7 +26,7 @@ class _Words(dict):
 
 
 _words = _Words()
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 
 
 def word_hashes(text: str | None) -> np.ndarray:

@@ -316,7 +316,7 @@ class Trie:
 class Scorer:
     """Weighted hits of whole texts.  Words met are remembered up to a bound; results don't depend on it."""
 
-    def __init__(self, lexicon: Lexicon, kept: int = 500_000):
+    def __init__(self, lexicon: Lexicon, kept: int = 100_000):
         self.lexicon, self.kept = lexicon, kept
         self.known: dict[str, tuple[str, float, int]] = {}
 
@@ -358,7 +358,7 @@ class Scorer:
         for text in texts:
             held.append(text.split() if text else [])
             size += len(held[-1])
-            if size > 200_000:
+            if size > 60_000:
                 yield from self._together(held)
                 held, size = [], 0
         yield from self._together(held)
@@ -439,7 +439,7 @@ def _counts(rows: DataFrame, column: str, wanted: set[str] | None, words_only: b
         for batch in batches:
             for text in batch["text"]:
                 n.update(_beginnings(text, wanted) if isinstance(text, str) else ())
-                if len(n) > 500_000:
+                if len(n) > 200_000:
                     yield pd.DataFrame({"term": list(n), column: list(n.values())})
                     n.clear()
         yield pd.DataFrame({"term": list(n), column: list(n.values())}).astype({"term": object, column: "int64"})
