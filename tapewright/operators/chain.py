@@ -6,7 +6,7 @@ import datetime as dt
 import decimal
 import hashlib
 import json
-import math
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,7 +18,12 @@ from pyspark.sql import types as T
 from ..contracts import DOMAINS
 
 #: The fields of an audit event that its digest covers.
-EVENT_FIELDS = ("id", "event_type", "entity_type", "entity_id", "loan_key", "actor_id", "actor_type", "before_value", "after_value", "reason", "ai_metadata", "created_at")
+EVENT_FIELDS = ("id", "event_type", "entity_type", "entity_id", "loan_id", "actor_id", "actor_type", "before_value", "after_value", "reason", "ai_metadata", "created_at")
+#: Those of them that hold JSON, and the name under which the digest covers the previous one.
+EVENT_JSON = ("before_value", "after_value", "ai_metadata")
+PREV = "prev_event_hash"
+#: Numbers of a chain's order that are compared in one task.
+RANGE = 1 << 16
 
 
 def plain_value(x: Any) -> Any:
@@ -31,11 +36,11 @@ def plain_value(x: Any) -> Any:
         return (x.replace(tzinfo=dt.UTC) if x.tzinfo is None else x.astimezone(dt.UTC)).isoformat()
     if isinstance(x, dt.date):
         return x.isoformat()
-    if isinstance(x, decimal.Decimal):
+    if isinstance(x, (decimal.Decimal, uuid.UUID)):
         return str(x)
-    if isinstance(x, float) and not math.isfinite(x):
-        return None
-    return x if x is None or isinstance(x, (str, int, float, bool)) else str(x)
+    if x is None or isinstance(x, (str, int, float, bool)):
+        return x
+    raise TypeError(f"no canonical form for {type(x).__name__}")
 
 
 def canonical_json(x: Any) -> str:
@@ -50,25 +55,37 @@ def canonical_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda s: None if s is None else canonical_json(json.loads(s)))
 
 
-def digest(fields: list[str], prev: Column) -> Column:
-    """SHA-256 of the canonical JSON of string columns and the previous digest."""
-    keys = sorted([*fields, "prev"])
+def event_time(at: Column) -> Column:
+    """A timestamp (of a session in UTC) as the digest's text: microseconds only if there are any."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.unix_micros(at.cast("timestamp")) % 1_000_000
+    return F.concat(whole, F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
+def digest(fields: list[str], prev: Column, nested: tuple[str, ...] = ()) -> Column:
+    """SHA-256 of the canonical JSON of string columns, ``nested`` ones of JSON text, and the previous digest."""
+    keys = sorted([*fields, PREV])
     quoted = lambda c: F.coalesce(F.to_json(F.array(c.cast("string"))), F.lit("[null]"))
-    item = lambda k: F.regexp_extract(quoted(prev if k == "prev" else F.col(k)), r"(?s)^\[(.*)\]$", 1)
+    text = lambda k: F.regexp_extract(quoted(prev if k == PREV else F.col(k)), r"(?s)^\[(.*)\]$", 1)
+    item = lambda k: F.coalesce(canonical_text(F.col(k)), F.lit("null")) if k in nested else text(k)
     body = F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), item(k)) for k in keys))
     return F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256)
 
 
-def appended(events: DataFrame, chain: list[str], order: list[str], fields: list[str], tips: DataFrame | None = None) -> DataFrame:
+def appended(events: DataFrame, chain: list[str], order: list[str], fields: list[str], tips: DataFrame | None = None, nested: tuple[str, ...] = ()) -> DataFrame:
     """``events`` with prev_hash and hash, linked in ``order`` within each ``chain``.
 
     Linking is sequential by nature: each chain is folded in order by one task, which keeps
     nothing but the last digest.  ``tips`` (chain, hash) are the ends of existing chains;
-    without one a chain's first event has no previous digest.
+    without one a chain's first event has no previous digest.  One global chain is one task's
+    work.  Events with an unknown type or actor end the job.
     """
+    if {"event_type", "actor_type"} <= set(fields):
+        named = F.col("event_type").isin(*DOMAINS["event_type"]) & F.col("actor_type").isin(*DOMAINS["actor_type"])
+        events = events.filter(F.when(named, True).otherwise(F.raise_error(F.lit("unknown event type or actor type"))))
     rows = events.join(tips.withColumnRenamed("hash", "_tip"), chain, "left") if tips is not None else events.withColumn("_tip", F.lit(None).cast("string"))
     ordered = rows.repartition(*chain).sortWithinPartitions(*chain, *order)
-    keys, names = sorted([*fields, "prev"]), events.columns
+    keys, names = sorted([*fields, PREV]), events.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes) + ", prev_hash string, hash string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,9 +97,10 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
             for i, who in enumerate(zip(*(batch[c] for c in chain), strict=True)):
                 if who != at:
                     at, last = who, batch["_tip"].iloc[i]
-                record = {f: columns[f].iloc[i] for f in fields} | {"prev": last}
+                record = {f: columns[f].iloc[i] for f in fields} | {PREV: last}
+                record |= {f: None if record[f] is None else plain_value(json.loads(record[f])) for f in nested}
                 prevs.append(last)
-                last = hashlib.sha256(json.dumps({k: record[k] for k in keys}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+                last = hashlib.sha256(json.dumps({k: record[k] for k in keys}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
                 hashes.append(last)
             yield batch[names].assign(prev_hash=prevs, hash=hashes)
 
@@ -90,20 +108,32 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
     return texts.mapInPandas(run, schema)
 
 
-def checked(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash") -> DataFrame:
+def checked(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = ()) -> DataFrame:
     """``events`` with ``problem``: "broken link", "hash mismatch" or null.
 
     Digests are recomputed from the stored previous one, so rows are checked in parallel;
-    only the comparison with the row before needs an order.
+    only the comparison with the row before needs an order.  A chain ordered by one whole
+    number is cut into ranges of it, whose last digests are handed on.
     """
-    before = F.lag(own).over(Window.partitionBy(*chain).orderBy(*order))
-    problem = F.when(~F.col(prev).eqNullSafe(before), "broken link").when(F.col(own) != digest(fields, F.col(prev)), "hash mismatch")
-    return events.withColumn("problem", problem)
-
-
-def first_break(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash") -> DataFrame:
+    ranged = len(order) == 1 and dict(events.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
+    part = F.floor(F.col(order[0]) / RANGE) if ranged else F.lit(0)
+    rows = events.withColumn("_part", part)
+    before = F.lag(own).over(Window.partitionBy(*chain, "_part").orderBy(*order))
+    rows = rows.withColumn("_before", before).withColumn("_first", F.row_number().over(Window.partitionBy(*chain, "_part").orderBy(*order)) == 1)
+    ends = rows.groupBy(*chain, "_part").agg(F.max_by(own, F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_tip", F.lag("_end").over(Window.partitionBy(*chain).orderBy("_part")))
+    ends = ends.select(*(F.col(c).alias(f"_at_{c}") for c in chain), F.col("_part").alias("_at"), "_tip")
+    same = F.col("_part") == F.col("_at")
+    for c in chain:
+        same &= F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    linked = rows.join(ends, same, "left").withColumn("_before", F.when(F.col("_first"), F.col("_tip")).otherwise(F.col("_before")))
+    problem = F.when(~F.col(prev).eqNullSafe(F.col("_before")), "broken link").when(~F.col(own).eqNullSafe(digest(fields, F.col(prev), nested)), "hash mismatch")
+    return linked.withColumn("problem", problem).select(*events.columns, "problem")
+
+
+def first_break(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = ()) -> DataFrame:
     """The first problem of each chain that has one."""
-    bad = checked(events, chain, order, fields, prev, own).filter("problem is not null")
+    bad = checked(events, chain, order, fields, prev, own, nested).filter("problem is not null")
     return bad.groupBy(*chain).agg(F.min_by(F.struct(*order, "problem"), F.struct(*order)).alias("x")).select(*chain, "x.*")
 
 
@@ -111,6 +141,6 @@ def intact(events: DataFrame, chain: list[str], order: list[str], fields: list[s
     return first_break(events, chain, order, fields).isEmpty()
 
 
-def known_events(events: DataFrame) -> DataFrame:
+def unknown_events(events: DataFrame) -> DataFrame:
     """Events whose type or actor is not in the vocabulary: an append refuses them."""
     return events.filter(~F.col("event_type").isin(*DOMAINS["event_type"]) | ~F.col("actor_type").isin(*DOMAINS["actor_type"]))

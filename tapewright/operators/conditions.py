@@ -257,7 +257,7 @@ class Compiler:
         if {a.kind, b.kind} - {"num", "bool", "null"}:
             raise ValueError("arithmetic needs numbers")
         x, y = (c.value.cast("double") if op == "/" or c.kind == "null" else c.value.cast("int") if c.kind == "bool" else c.value for c in (a, b))
-        value = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y)}[op]()
+        value = {"+": lambda: F.try_add(x, y), "-": lambda: F.try_subtract(x, y), "*": lambda: F.try_multiply(x, y), "/": lambda: F.try_divide(x, y)}[op]()
         return Compiled(value, "num", _union([a, b]))
 
     def _not(self, node: dict) -> Compiled:

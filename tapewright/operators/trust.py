@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import FILE_SOURCES, HUMAN, SEVERITY_RANK
+from ..contracts import FILE_SOURCES, HUMAN
 
 #: Weights of the four factors, of severities, and the cap without evidence.
 FACTORS = {"validation": 0.40, "exceptions": 0.30, "coverage": 0.15, "source_trust": 0.15}
@@ -73,7 +73,7 @@ def bucket(score: Column) -> Column:
 
 def eligible(canonical: DataFrame, exceptions: DataFrame, key: str) -> DataFrame:
     """Entities with a canonical row and no open blocking exception."""
-    blocked = exceptions.filter("status in ('open', 'in_review') and is_blocking").select(key).distinct()
+    blocked = exceptions.filter("status = 'open' and is_blocking").select(key).distinct()
     return canonical.join(blocked, key, "left_anti")
 
 
@@ -96,7 +96,7 @@ def new_versions(snapshots: DataFrame, verified: DataFrame | None, key: str) ->
 
 def verification_summary(canonical: DataFrame, exceptions: DataFrame, verified: DataFrame, key: str) -> DataFrame:
     """How many entities are verified, blocked, or left over."""
-    blocked = exceptions.filter("status in ('open', 'in_review') and is_blocking").select(key).distinct().withColumn("_b", F.lit(True))
+    blocked = exceptions.filter("status = 'open' and is_blocking").select(key).distinct().withColumn("_b", F.lit(True))
     done = verified.select(key).distinct().withColumn("_v", F.lit(True))
     joined = canonical.select(key).distinct().join(blocked, key, "left").join(done, key, "left")
     state = F.when(F.col("_v"), "verified").when(F.col("_b"), "blocked").otherwise("eligible")
@@ -108,5 +108,3 @@ def source_files(records: DataFrame, raw: DataFrame, files: DataFrame, key: str)
     walk = records.select(key, "raw_record_id").join(raw.select("raw_record_id", "raw_file_id"), "raw_record_id").join(files.select("raw_file_id", "sha256"), "raw_file_id")
     return walk.select(key, "raw_file_id", "sha256").distinct()
 
-
-SEVERITIES = tuple(SEVERITY_RANK)

@@ -114,10 +114,15 @@ def apply_check(rows: DataFrame, check: dict) -> DataFrame:
 
 
 def exceptions_of(results: DataFrame, per: str) -> DataFrame:
-    """validation_failure exceptions of failed results; ``per`` is raw_record_id or loan_id."""
+    """validation_failure exceptions of failed results, one for each rule and ``per`` (raw_record_id, or loan_id for dataset rules)."""
     bad = results.filter("result = 'fail'")
+    if per == "loan_id":
+        first = F.min(F.struct("raw_record_id", "rule_version", "field_name", "severity", "message")).alias("x")
+        alone = F.when(F.col("loan_id").isNull(), F.col("raw_record_id"))
+        bad = bad.groupBy("rule_code", "loan_id", alone.alias("_alone")).agg(first).select("rule_code", "loan_id", "x.*")
+    other = "loan_id" if per == "raw_record_id" else "raw_record_id"
     return bad.select(
-        F.sha2(F.concat_ws("|", F.lit("validation_failure"), "rule_code", F.col("rule_version").cast("string"), F.coalesce("raw_record_id", "loan_id")), 256).alias("exception_id"),
+        F.sha2(F.concat_ws("|", F.lit("validation_failure"), "rule_code", F.col("rule_version").cast("string"), F.coalesce(per, other)), 256).alias("exception_id"),
         "loan_id",
         "raw_record_id",
         F.lit("validation_failure").alias("exception_type"),

@@ -51,9 +51,17 @@ def verify(
     rules = contracts.seed_rules() if rules is None else rules
     results = validate.validate_records(records, rules, at)
     dataset = validate.validate_dataset(records, rules)
-    fresh = validate.exceptions_of(results, "raw_record_id").unionByName(validate.exceptions_of(dataset, "loan_id"))
-    found = fresh.unionByName(detect.source_conflicts(records), allowMissingColumns=True)
-    found = validate.rerun(previous, found, ["exception_id"])
+    found = None if previous is None else previous.filter("status <> 'open'")
+    # what was decided stays decided: a row rule's by record, a dataset rule's by loan, a conflict's by loan and field
+    kinds = (
+        (validate.exceptions_of(results, "raw_record_id"), ["rule_code", "raw_record_id"]),
+        (validate.exceptions_of(dataset, "loan_id"), ["rule_code", "loan_id"]),
+        (detect.source_conflicts(records), ["exception_type", "loan_id", "field_name"]),
+    )
+    for fresh, keys in kinds:
+        if previous is not None:
+            fresh = fresh.join(previous.filter("status <> 'open'").select(*keys).distinct(), keys, "left_anti")
+        found = fresh if found is None else found.unionByName(fresh, allowMissingColumns=True)
     if import_errors is not None:
         found = found.unionByName(import_errors, allowMissingColumns=True)
     exceptions, clusters = resolve.assign_clusters(found)
