@@ -10,64 +10,56 @@ product, promising pairs go first, and leaves hold up to ``LEAF`` points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .vectors import search, usable
+from .vectors import Method, search, usable
 
-LEAF = 96
+#: Rows of one group, about, and of the smallest inner node.
+GROUP, LEAF = 2048, 16
+#: After so many centres in a row that cover only themselves the other points are taken for such too.
+ALONE = 24
 #: Products of larger bounds are computed with exact integers instead of doubles.
 EXACT = 2.0**52
 
 
 @dataclass
 class Node:
+    """Rows within ``radius`` of ``centre``: those of the children, and single ones."""
+
     centre: np.ndarray
     radius: float
-    norm: float
-    rows: np.ndarray  # all rows below
+    rows: np.ndarray
     children: list[Node] = field(default_factory=list)
-
-    def stacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not hasattr(self, "_stacked"):
-            nodes = self.children or [self]
-            self._stacked = np.stack([c.centre for c in nodes]), np.array([c.radius for c in nodes]), np.array([c.norm for c in nodes])
-        return self._stacked
+    single: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
 
-def _node(x: np.ndarray, rows: np.ndarray) -> tuple[Node, np.ndarray]:
+def cover_tree(x: np.ndarray, rows: np.ndarray) -> Node:
+    """A cover tree: the first child's centre is the node's own, and centres are over half the node's radius apart."""
     centre = x[rows[0]]
-    far = np.sqrt(((x[rows] - centre) ** 2).sum(axis=1))
+    dist = np.sqrt(((x[rows] - centre) ** 2).sum(axis=1))
     # rounding must not shrink a covering radius
-    return Node(centre, float(far.max()) * (1 + 1e-9), float(np.sqrt((centre**2).sum())) * (1 + 1e-9), rows), far
-
-
-def cover_tree(x: np.ndarray, rows: np.ndarray) -> Node:
-    """A cover tree of the given rows; small children are gathered in leaves."""
-    node, far = _node(x, rows)
+    node = Node(centre, float(dist.max()) * (1 + 1e-9), rows)
     if len(rows) <= LEAF or node.radius == 0:
+        node.single = rows
         return node
-    half, rest, dist, parts = node.radius / 2, rows, far, []
-    while len(rest):
-        near = dist <= half
-        parts.append(rest[near])
+    rest, single, alone = rows, [], 0
+    while len(rest) and alone < ALONE:
+        near = dist <= node.radius / 2
+        if near.sum() > 1:
+            node.children.append(cover_tree(x, rest[near]))
+            alone = 0
+        else:
+            single.append(rest[near])
+            alone += 1
         rest = rest[~near]
         if len(rest):
             dist = np.sqrt(((x[rest] - x[rest[0]]) ** 2).sum(axis=1))
-    small: list[np.ndarray] = []
-    for part in sorted(parts, key=len):
-        if len(part) > LEAF:
-            node.children.append(cover_tree(x, part))
-            continue
-        if small and sum(map(len, small)) + len(part) > LEAF:
-            node.children.append(_node(x, np.concatenate(small))[0])
-            small = []
-        small.append(part)
-    if small:
-        node.children.append(_node(x, np.concatenate(small))[0])
+    node.single = np.concatenate([*single, rest])
     return node
 
 
@@ -84,46 +76,74 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class _Best:
     """The k best (score, vec_id) of each query so far, ties to the smaller vec_id."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, bound: np.ndarray):
         self.k = k
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
+        self.score = np.full((n, k), _LOW)
         self.vec = np.full((n, k), np.iinfo(np.int64).max)
+        self.bound = bound
+
+    def least(self, rows: np.ndarray) -> np.ndarray:
+        """What a score must reach to count."""
+        return np.maximum(self.score[rows, self.k - 1].astype(float), self.bound[rows])
 
     def take(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        score = np.hstack([self.score[rows], score])
-        ids = np.hstack([self.vec[rows], np.where(score[:, self.k :] == np.iinfo(np.int64).min, np.iinfo(np.int64).max, ids[None, :])])
-        order = np.lexsort((ids, ~score))[:, : self.k]
-        self.score[rows], self.vec[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        if score.shape[1] > self.k:
+            kth = np.partition(score, -self.k, axis=1)[:, -self.k]
+        else:
+            kth = score.min(axis=1)
+        at, column = np.nonzero((score >= np.maximum(kth, self.score[rows, self.k - 1])[:, None]) & (score > _LOW))
+        for i in np.unique(at):
+            mine = column[at == i] if len(rows) < 64 else column[np.searchsorted(at, i) : np.searchsorted(at, i, "right")]
+            row = rows[i]
+            s, v = np.concatenate([self.score[row], score[i, mine]]), np.concatenate([self.vec[row], ids[mine]])
+            order = np.lexsort((v, ~s))[: self.k]
+            self.score[row], self.vec[row] = s[order], v[order]
+
+
+_LOW = np.iinfo(np.int64).min
 
 
-def in_pair(k: int):
-    def run(query_ids: np.ndarray, q: np.ndarray, data_ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        q, x = np.floor(256.0 * q), np.floor(256.0 * x)
-        best = _Best(len(q), k)
+def in_pair(k: int, count: Callable[[int], None] = lambda n: None):
+    """``count`` is told how many products each comparison computes, those with centres included."""
+
+    def run(query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, data_ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        best = _Best(len(q), k, bound)
         stack = [(np.inf, cover_tree(q, np.arange(len(q))), cover_tree(x, np.arange(len(x))))]
         while stack:
-            bound, a, b = stack.pop()
+            top, a, b = stack.pop()
             # equal scores may still win by a smaller vec_id, so only worse bounds go
-            if bound < best.score[a.rows, k - 1].min():
+            if top < best.least(a.rows).min():
                 continue
+            if len(a.single) and len(b.single):
+                s = _products(q[a.single], x[b.single])
+                count(s.size)
+                s[query_ids[a.single][:, None] == data_ids[b.single][None, :]] = _LOW
+                best.take(a.single, s, data_ids[b.single])
+            left, right = ([*n.children, *([Node(n.centre, n.radius, n.single, single=n.single)] if len(n.single) and n.children else [])] or [n] for n in (a, b))
             if not a.children and not b.children:
-                s = _products(q[a.rows], x[b.rows])
-                s[query_ids[a.rows][:, None] == data_ids[b.rows][None, :]] = np.iinfo(np.int64).min
-                best.take(a.rows, s, data_ids[b.rows])
                 continue
-            (ca, ra, na), (cb, rb, nb) = a.stacked(), b.stacked()
+            ca, cb = np.stack([n.centre for n in left]), np.stack([n.centre for n in right])
+            ra, rb = np.array([n.radius for n in left]), np.array([n.radius for n in right])
+            na, nb = np.sqrt((ca**2).sum(axis=1)), np.sqrt((cb**2).sum(axis=1))
             bounds = ca @ cb.T + na[:, None] * rb + ra[:, None] * nb + ra[:, None] * rb
+            count(bounds.size)
             bounds += np.abs(bounds) * 1e-9 + 1e-6
-            pairs = [(float(bounds[i, j]), u, v) for i, u in enumerate(a.children or [a]) for j, v in enumerate(b.children or [b])]
+            least = np.array([best.least(n.rows).min() for n in left])
+            pairs = [(float(bounds[i, j]), left[i], right[j]) for i, j in zip(*np.nonzero(bounds >= least[:, None]), strict=True) if left[i].rows is not a.single or right[j].rows is not b.single]
             stack += sorted(pairs, key=lambda p: p[0])
         for i, query in enumerate(query_ids.tolist()):
-            got = best.vec[i] != np.iinfo(np.int64).max
+            got = (best.vec[i] != np.iinfo(np.int64).max) & (best.score[i] >= bound[i])
             if got.any():
                 yield query, best.vec[i][got], best.score[i][got]
 
     return run
 
 
+def reaches(q: np.ndarray, bound: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+    high = q @ centre + np.sqrt((q**2).sum(axis=1)) * radius
+    return high + np.abs(high) * 1e-9 + 1e-6 >= bound
+
+
 def top_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The ``k`` rows of highest integer inner product for each query (vec_id divisible by ``every``).
 
@@ -133,4 +153,5 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     length are compared; rows that share a vec_id count once; other columns are not read.
     An empty table gives an empty result.
     """
-    return search(usable(vectors), every, k, in_pair, "long", largest=True)
+    whole = usable(vectors).select("vec_id", F.transform("embedding", lambda v: F.floor(v * 256.0).cast("double")).alias("embedding"))
+    return search(whole, every, k, Method(in_pair, reaches, "long", True, GROUP))

@@ -1,22 +1,26 @@
-"""Stated queries against all vectors, in pairs of groups of bounded size.
+"""Stated queries against all vectors, in groups of bounded size around pivots.
 
-Rows are dealt by hash to data groups, queries to query groups, and each pair of groups is
-an ordinary key on which both sides meet.  The numbers of groups follow the numbers of
-rows, so a task holds one pair of bounded size at a time, whatever the table's size; each
-query's best rows of each pair are merged by rank afterwards.
+Rows are dealt to the nearest of a bounded number of pivots, and the rows of a pivot by hash
+to groups of bounded size.  Each query first searches one group of its own pivot; with the
+k-th score found there it then goes to the groups of those pivots alone whose centre and
+radius allow a better one.  Queries go in blocks of bounded size too, so a task holds one
+pair at a time, whatever the table's size; each query's best rows are merged by rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a data group and in a query group, about.
-DATA_GROUP, QUERY_GROUP = 2048, 2048
+from .storage import written
+
+#: Queries in a block, about; pivots at most (a bounded sample by hash; every row is dealt).
+QUERY_GROUP, PIVOTS = 8192, 256
 
 
 def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
@@ -32,41 +36,106 @@ def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
     return rows.filter(F.exists("embedding", lambda v: v != 0)) if nonzero else rows
 
 
-#: In one pair of groups: (query ids, queries, data ids, data) to (query id, ids, scores) of its best rows.
-InPair = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
+@dataclass(frozen=True)
+class Method:
+    """How a group is searched: ``in_pair(k)`` takes query ids, queries, the scores to beat, data ids and data, and yields
+    (query id, ids, scores) of rows at least that good, k at most; ``reaches`` says whether rows within a radius of a centre can be."""
+
+    in_pair: Callable[[int], Callable[..., Iterator[tuple[int, np.ndarray, np.ndarray]]]]
+    reaches: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    kind: str
+    largest: bool
+    group: int
+
+
+def _dealt(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``rows`` with the nearest pivot of their length and the distance to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell, far = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            for dim, some in batch.groupby("dim"):
+                p, x = pivots.get(int(dim)), np.stack(some["embedding"])
+                if p is None or not dim:  # no pivot is that long: one cell around 0
+                    far[some.index] = np.sqrt((x**2).sum(axis=1))
+                    continue
+                d = (x**2).sum(axis=1)[:, None] - 2 * x @ p.T + (p**2).sum(axis=1)
+                cell[some.index] = d.argmin(axis=1)
+                far[some.index] = np.sqrt(((x - p[cell[some.index]]) ** 2).sum(axis=1))
+            yield batch.assign(cell=cell, far=far)
+
+    return rows.mapInPandas(run, "vec_id long, embedding array<double>, dim int, h long, cell int, far double")
 
 
-def search(rows: DataFrame, every: int, k: int, in_pair: Callable[[int], InPair], kind: str, largest: bool) -> DataFrame:
+def search(rows: DataFrame, every: int, k: int, method: Method) -> DataFrame:
     """The ``k`` best rows for each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score.
 
-    ``in_pair(k)`` finds a pair's ``k`` best rows and leaves out those with the query's own
-    vec_id.  Only vectors of one length are compared.  Rows that share a vec_id count once,
-    with the best of their scores: repeated rows go first, and a pair whose data hold a
-    vec_id up to m times gives its ``k * m`` best rows.
+    Only vectors of one length are compared.  Rows that share a vec_id count once, with the
+    best of their scores: repeated rows go first, and a group that holds a vec_id up to m
+    times gives its ``k * m`` best rows.
     """
-    rows = rows.dropDuplicates(["vec_id", "embedding"])
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("dim", F.size("embedding")).withColumn("h", F.xxhash64("vec_id", "embedding"))
+    sample: dict[int, list] = {}
+    for r in rows.orderBy("h").limit(PIVOTS).collect():
+        sample.setdefault(r["dim"], []).append(r["embedding"])
+    pivots = {dim: np.array(x) for dim, x in sample.items()}
+    dealt = written(_dealt(rows, pivots), "vectors")
     is_query = F.col("vec_id") % every == 0
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    data_groups, query_groups = (max(1, -(-sizes["n"] // DATA_GROUP)), max(1, -(-sizes["q"] // QUERY_GROUP)))
-    dealt = rows.withColumn("dim", F.size("embedding")).withColumn("h", F.xxhash64("vec_id", "embedding"))
-    everyone = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = dealt.select("vec_id", "embedding", "dim", F.pmod("h", F.lit(data_groups)).cast("int").alias("d"), everyone(query_groups).alias("q"))
-    queries = dealt.filter(is_query).select("vec_id", "embedding", "dim", F.pmod(F.shiftright("h", 20), F.lit(query_groups)).cast("int").alias("q"), everyone(data_groups).alias("d"))
-    key = ["q", "d", "dim"]
+    # a row for each pivot and length of vectors
+    stats = dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max("far").alias("radius"))
+    cells = {}
+    for r in stats.collect():
+        own = pivots.get(r["dim"])
+        centre = own[r["cell"]] if own is not None and r["dim"] else np.zeros(r["dim"])
+        cells.setdefault(r["dim"], []).append((r["cell"], max(1, -(-r["n"] // method.group)), r["radius"] * (1 + 1e-9), centre, r["q"]))
+    blocks = max(1, -(-sum(c[4] for some in cells.values() for c in some) // QUERY_GROUP))
+    groups = spark.createDataFrame([(dim, c[0], c[1]) for dim, some in cells.items() for c in some], "dim int, cell int, groups int")
+    placed = dealt.drop("far").join(F.broadcast(groups), ["dim", "cell"])
+    everyone = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    data = placed.select("vec_id", "embedding", "dim", "cell", F.pmod("h", "groups").cast("int").alias("part"), everyone.alias("block"))
+    asked = placed.filter(is_query).select("vec_id", "embedding", "dim", "cell", F.pmod(F.shiftright("h", 20), "groups").cast("int").alias("part"), F.pmod(F.shiftright("h", 40), F.lit(blocks)).cast("int").alias("block"))
+    worst = -np.inf if method.largest else np.inf
+    key = ["dim", "cell", "part", "block"]
 
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(d):
             q, d = q.sort_values("vec_id"), d.sort_values("vec_id")
             m = int(d["vec_id"].value_counts().max())
-            out = list(in_pair(k * m)(q["vec_id"].to_numpy(), np.stack(q["embedding"]), d["vec_id"].to_numpy(), np.stack(d["embedding"])))
+            out = list(method.in_pair(k * m)(q["vec_id"].to_numpy(), np.stack(q["embedding"]), q["bound"].to_numpy(float), d["vec_id"].to_numpy(), np.stack(d["embedding"])))
         if not out:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, rows, scores = zip(*out, strict=True)
-        return pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x in rows]), "vec_id": np.concatenate(rows), "score": np.concatenate(scores)})
-
-    found = queries.groupBy(*key).cogroup(data.groupBy(*key)).applyInPandas(run, f"query_id long, vec_id long, score {kind}")
-    best = F.max("score") if largest else F.min("score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.asc("score"), "vec_id")
-    ranked = found.groupBy("query_id", "vec_id").agg(best.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        ids, found, scores = zip(*out, strict=True)
+        return pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x in found]), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+
+    def searched(queries: DataFrame) -> DataFrame:
+        # both come from one table: new columns tell the sides apart
+        mine, others = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)).toDF(*df.columns) for side, df in (("q", queries), ("d", data)))
+        return mine.groupBy(*key).cogroup(others.groupBy(*key)).applyInPandas(run, f"query_id long, vec_id long, score {method.kind}")
+
+    best = F.max("score") if method.largest else F.min("score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score") if method.largest else F.asc("score"), "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.groupBy("query_id", "vec_id").agg(best.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    at_home = written(searched(asked.withColumn("bound", F.lit(worst))), "vectors-home")
+    bounds = ranked(at_home).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
+    told = spark.sparkContext.broadcast(cells)
+
+    def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, some in batch.groupby("dim"):
+                q, bound = np.stack(some["embedding"]), some["bound"].to_numpy(float)
+                own, part = some["cell"].to_numpy(), some["part"].to_numpy()
+                for cell, n, radius, centre, _ in told.value[int(dim)]:
+                    near = method.reaches(q, bound, centre, radius)
+                    for g in range(n):
+                        go = near & ~((own == cell) & (part == g))
+                        if go.any():
+                            yield some[go].assign(cell=np.int32(cell), part=np.int32(g))
+
+    rest = asked.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(worst)))
+    rest = rest.select("vec_id", "embedding", "dim", "cell", "part", "block", "bound").mapInPandas(elsewhere, "vec_id long, embedding array<double>, dim int, cell int, part int, block int, bound double")
+    return ranked(at_home.union(searched(rest))).select("query_id", "rank", "vec_id", "score")

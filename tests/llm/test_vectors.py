@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tapewright.llm.collision import nearest
-from tapewright.llm.cover_tree import top_products
+from tapewright.llm.cover_tree import in_pair, top_products
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, d string, q string, rank string, dim string"
 
@@ -69,6 +69,26 @@ def test_neighbours_find_nine_in_ten(spark, small, odd):
             ranks[r.query_id] = (r.rank, r.score, r.vec_id)
 
 
+def test_recall_on_the_larger_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    true = {(r[0], r[2]) for r in plain(rows, 100, 10, False)}
+    assert sum((r.query_id, r.vec_id) in true for r in nearest(df, 100, 10).collect()) >= 0.9 * len(true)
+
+
+def test_dual_trees_prune_groups_and_stay_exact():
+    """On rows in clusters most pairs are skipped; vectors without any structure leave nothing to skip."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-3000, 3000, (40, 16))
+    x = (centres[rng.integers(0, 40, 3000)] + rng.integers(-20, 20, (3000, 16))).astype(float)
+    ids, q, computed = np.arange(3000), np.arange(0, 3000, 50), []
+    got = {i: list(zip(v.tolist(), s.tolist(), strict=True)) for i, v, s in in_pair(5, computed.append)(ids[q], x[q], np.full(len(q), -np.inf), ids, x)}
+    for i in q.tolist():
+        s = (x @ x[i]).astype(int)
+        assert got[i] == [(int(j), int(s[j])) for j in np.lexsort((ids, -s)) if j != i][:5]
+    assert sum(computed) < 0.5 * len(q) * len(x)
+
+
 def test_few_and_no_rows(spark):
     for search in (top_products, nearest):
         assert search(frame(spark, []), 50, 5).collect() == []
