@@ -103,6 +103,13 @@ def cluster_summaries(members: DataFrame, key: str = "cluster_id") -> DataFrame:
     return both.withColumn("summary", text).withColumn("confidence", F.lit(CLUSTER_CONFIDENCE))
 
 
+def newest_usable(recommendations: DataFrame) -> DataFrame:
+    """Of each exception the newest recommendation that proposes a value for a field; ties to the larger recommendation_id."""
+    usable = recommendations.filter("suggested_field <> '' and suggested_value <> ''")
+    newest = F.max_by(F.struct(*recommendations.columns), F.struct("created_at", "recommendation_id")).alias("x")
+    return usable.groupBy("exception_id").agg(newest).select("x.*")
+
+
 def newest_recommendation(recommendations: DataFrame) -> DataFrame:
     """The newest recommendation of each kind for an exception, and how many came before it."""
     from .canonical import newest_versions

@@ -44,6 +44,24 @@ def explained(extras: DataFrame, engine: DataFrame, injected: DataFrame, key: st
     return extras.join(other, key, "left").join(twice, key, "left").withColumn("bucket", bucket).drop("_co", "_n")
 
 
+def recovered_sources(exceptions: DataFrame, rules: DataFrame, raw: DataFrame, files: DataFrame) -> DataFrame:
+    """Validation failures by rule and kind of file; those without a raw row come from people's edits."""
+    found = exceptions.filter("exception_type = 'validation_failure'").join(rules.select("rule_code").distinct(), "rule_code")
+    placed = found.join(raw.select("raw_record_id", "raw_file_id"), "raw_record_id", "left").join(files.select("raw_file_id", "file_kind"), "raw_file_id", "left")
+    return placed.groupBy("rule_code", F.coalesce("file_kind", F.lit("human_edit")).alias("src")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def conflict_keys(exceptions: DataFrame, loans: DataFrame) -> DataFrame:
+    """Source conflicts by a loan's business id and field."""
+    found = exceptions.filter("exception_type = 'source_conflict'").join(loans.select("loan_id", "business_id"), "loan_id")
+    return found.groupBy("business_id", "field_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bad_numerics(exceptions: DataFrame, loans: DataFrame) -> DataFrame:
+    """Loans of which a number can't be read, so that comparisons skip them."""
+    return exceptions.filter("rule_code = 'INVALID_NUMERIC_FORMAT'").join(loans.select("loan_id", "business_id"), "loan_id").select("business_id").distinct()
+
+
 def contract_gaps(codes: DataFrame, covered: DataFrame, column: str) -> DataFrame:
     """Codes that only one side has."""
     a, b = codes.select(column).distinct(), covered.select(column).distinct()

@@ -137,6 +137,11 @@ def exceptions_of(results: DataFrame, per: str) -> DataFrame:
     )
 
 
+def out_of_scope(touched: Column, scope: Column) -> Column:
+    """Fields that a rule touched although the record's source doesn't supply them."""
+    return F.array_sort(F.array_except(touched, scope))
+
+
 def tally(results: DataFrame) -> DataFrame:
     """Counts of verdicts by rule."""
     n = lambda s: F.count_if(F.col("result") == s).alias(s)

@@ -137,6 +137,13 @@ def exceptions_list(
     return out.orderBy(severity_rank(F.col("severity")).desc(), "exception_id")
 
 
+def enriched(exceptions: DataFrame, loans_: DataFrame, rules: DataFrame, users: DataFrame) -> DataFrame:
+    """A page of exceptions with the borrower's id, the rule's explanation and the assignee's name; none of them need exist."""
+    out = exceptions.join(loans_.select("loan_id", "borrower_id"), "loan_id", "left")
+    out = out.join(rules.select("rule_code", "explanation"), "rule_code", "left")
+    return out.join(users.select(F.col("user_id").alias("assigned_to"), F.col("name").alias("assignee")), "assigned_to", "left")
+
+
 def exception_detail(exception_id: str, exceptions: DataFrame, results: DataFrame, recommendations: DataFrame) -> dict[str, DataFrame]:
     """An exception with the newest result of its rule on its record, and its recommendations."""
     one = exceptions.filter(F.col("exception_id") == exception_id)
