@@ -1,3 +1,5 @@
+import random
+
 from tapewright.llm.toxicity import Lexicon, Scorer, _beginnings, _terms, accepted, fit, score, toxicity
 
 from .conftest import PROSE, documents
@@ -27,6 +29,36 @@ def test_automaton_finds_what_the_table_finds():
                 assert bool(found) == bool(near) and (not found or edits(found, w) == min(edits(t, w) for t in near))
 
 
+def nearest_by_table(terms, word, most):
+    """What ``Lexicon.within`` says it finds, by the full table of each term."""
+    found = []
+    for term, whole, _ in terms:
+        ends = range(len(word) + 1) if not whole else [len(word)]
+        if not whole and len(term) < 9:
+            ends = [j for j in ends if j and (word[j - 1] == term[-1] or j > 1 and word[j - 2] == term[-1] and word[j - 1] == term[-2])]
+        d = min((edits(term, word[:j]) for j in ends), default=99)
+        if d <= most and len(term) > (3 if whole else 4) * d and (term[0] == word[0] or len(term) >= 9 and len(word) >= 8):
+            found.append((d, term))
+    return min(found)[1] if found else ""
+
+
+def test_trie_and_automaton_equal_the_tables_of_all_terms():
+    rng = random.Random(5)
+    for letters in ("ab", "abcdef"):
+        made = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 13))): rng.random() < 0.5 for _ in range(40)}
+        terms = [(t, whole, 1.0) for t, whole in made.items()]
+        words = []
+        for _ in range(150):
+            w = [*rng.choice(terms)[0], *(rng.choice(letters) for _ in range(rng.randint(0, 4)))]
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(w))
+                w[i : i + 1] = rng.choice([[], [rng.choice(letters)], [w[i], rng.choice(letters)]]) if len(w) > 1 else [w[i]]
+            words.append("".join(w))
+        words.append("ab" * 200)
+        for most in (1, 2):
+            assert Lexicon(terms).within(words, most) == [nearest_by_table(terms, w, most) for w in words]
+
+
 def test_hits_by_kind():
     scorer = Scorer(Lexicon(TERMS, {"motor"}))
     kinds = lambda text: scorer.evidence(text)[1:]
