@@ -62,11 +62,11 @@ def event_time(at: Column) -> Column:
     return F.concat(whole, F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
 
 
-def digest(fields: list[str], prev: Column, nested: tuple[str, ...] = ()) -> Column:
-    """SHA-256 of the canonical JSON of string columns, ``nested`` ones of JSON text, and the previous digest."""
-    keys = sorted([*fields, PREV])
+def digest(fields: list[str], prev: Column, nested: tuple[str, ...] = (), named: str = PREV) -> Column:
+    """SHA-256 of the canonical JSON of string columns, ``nested`` ones of JSON text, and the previous digest under the name ``named``."""
+    keys = sorted([*fields, named])
     quoted = lambda c: F.coalesce(F.to_json(F.array(c.cast("string"))), F.lit("[null]"))
-    text = lambda k: F.regexp_extract(quoted(prev if k == PREV else F.col(k)), r"(?s)^\[(.*)\]$", 1)
+    text = lambda k: F.regexp_extract(quoted(prev if k == named else F.col(k)), r"(?s)^\[(.*)\]$", 1)
     item = lambda k: F.coalesce(canonical_text(F.col(k)), F.lit("null")) if k in nested else text(k)
     body = F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), item(k)) for k in keys))
     return F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256)
@@ -108,7 +108,7 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
     return texts.mapInPandas(run, schema)
 
 
-def checked(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = ()) -> DataFrame:
+def checked(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = (), named: str = PREV) -> DataFrame:
     """``events`` with ``problem``: "broken link", "hash mismatch" or null.
 
     Digests are recomputed from the stored previous one, so rows are checked in parallel;
@@ -127,7 +127,7 @@ def checked(events: DataFrame, chain: list[str], order: list[str], fields: list[
     for c in chain:
         same &= F.col(c).eqNullSafe(F.col(f"_at_{c}"))
     linked = rows.join(ends, same, "left").withColumn("_before", F.when(F.col("_first"), F.col("_tip")).otherwise(F.col("_before")))
-    problem = F.when(~F.col(prev).eqNullSafe(F.col("_before")), "broken link").when(~F.col(own).eqNullSafe(digest(fields, F.col(prev), nested)), "hash mismatch")
+    problem = F.when(~F.col(prev).eqNullSafe(F.col("_before")), "broken link").when(~F.col(own).eqNullSafe(digest(fields, F.col(prev), nested, named)), "hash mismatch")
     return linked.withColumn("problem", problem).select(*events.columns, "problem")
 
 

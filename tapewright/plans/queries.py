@@ -431,7 +431,7 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
     """Events with digests of their own content, linked by the row before; every 97th link is cut."""
     from pyspark.sql import Window
 
-    own = chain.digest(["event_id", "event_type"], F.lit(None).cast("string"))
+    own = chain.digest(["event_id", "event_type"], F.lit(None).cast("string"), named="prev")
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type").withColumn("hash", own)
     before = F.lag("hash").over(Window.partitionBy("user_id").orderBy("event_id"))
     return rows.withColumn("prev_hash", F.when(F.col("event_id") % 97 != 0, before))
@@ -439,13 +439,13 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"SELECT event_id, prev_hash IS NOT DISTINCT FROM before AS linked, hash FROM ({_LINKED_SQL})")
 def hash_chain_links(spark: SparkSession, d: str) -> DataFrame:
-    out = chain.checked(_linked(spark, d), ["user_id"], ["event_id"], ["event_id", "event_type"])
+    out = chain.checked(_linked(spark, d), ["user_id"], ["event_id"], ["event_id", "event_type"], named="prev")
     return out.select("event_id", (~F.col("problem").eqNullSafe("broken link")).alias("linked"), "hash")
 
 
 @register(f"SELECT user_id, min(event_id) AS event_id FROM ({_LINKED_SQL}) WHERE prev_hash IS DISTINCT FROM before GROUP BY user_id")
 def tamper_first_break(spark: SparkSession, d: str) -> DataFrame:
-    out = chain.checked(_linked(spark, d), ["user_id"], ["event_id"], ["event_id", "event_type"])
+    out = chain.checked(_linked(spark, d), ["user_id"], ["event_id"], ["event_id", "event_type"], named="prev")
     return out.filter("problem = 'broken link'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
 
 
