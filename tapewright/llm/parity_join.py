@@ -353,8 +353,9 @@ def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
     many = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "n", "label")
 
     def candidates(rows: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
-        """Members with a partner that the sketches allow."""
-        keep, sketch = np.zeros(len(rows), bool), rows["sketch"].tolist()
+        """Members with a partner that the sketches allow; groups that keep the same members get the same key, i and j."""
+        kept, sketch, fp = [], rows["sketch"].tolist(), rows["fp"].to_numpy(np.int64).view(np.uint64)
+        i, j, own = (rows[c].to_numpy() for c in ("i", "j", "own"))
 
         def dense(some: np.ndarray) -> np.ndarray:
             size = min(len(sketch[k]) for k in some)
@@ -362,8 +363,14 @@ def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
             return np.stack([folded(np.frombuffer(sketch[k], np.uint8), np.zeros(size, np.uint8))[0] for k in some])
 
         for x, y, _ in _allowed(rows, groups, dense, rule):
-            keep[x] = keep[y] = True
-        return rows[keep].drop(columns="sketch")
+            at = np.union1d(x, y)
+            right = (own[at] == j[at]) & (i[at] != j[at])
+            name = np.bitwise_xor.reduce(mix(mix(fp[at]) ^ right.astype(np.uint64))).view(np.int64)
+            kept.append((at, np.full(len(at), name), (i[at] != j[at]).astype(int), right.astype(int)))
+        if not kept:
+            return rows.iloc[:0].drop(columns="sketch")
+        at, key, two, right = map(np.concatenate, zip(*kept, strict=True))
+        return rows.iloc[at].drop(columns="sketch").assign(key=key, i=0, j=two, own=right)
 
     def forest(rows: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
         sets, fp, label, out = [np.frombuffer(x, np.uint64) for x in rows["shingles"]], rows["fp"].tolist(), rows["label"].tolist(), []
@@ -389,7 +396,8 @@ def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     kind = "key long, i int, j int, own int, fp long, n int, label long"
-    left = written(_in_groups(many.join(classes.select("fp", "sketch"), "fp"), candidates, kind), "candidates")
+    # one passage fills many buckets, in which the same few members are left
+    left = written(_in_groups(many.join(classes.select("fp", "sketch"), "fp"), candidates, kind).dropDuplicates(["key", "i", "j", "own", "fp"]), "candidates")
     sets = _sets(left.select("fp").distinct(), classes, docs, rule)
     return _in_groups(left.join(sets, "fp"), forest, "a long, b long").distinct()
 
