@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..contracts import HUMAN, SEVERITY_RANK
+from ..contracts import FIELD_TYPES, HUMAN, SEVERITY_RANK
+from ..sources.tapes import ERRORS, SPARK_TYPES, coerced
 
 #: Clusters of exceptions that no rule found.
 RULELESS = {"source_conflict": "Source conflicts", "import_error": "Import errors"}
@@ -60,6 +61,31 @@ def edit_effects(decisions: DataFrame, canonical: DataFrame, key: str) -> tuple[
     return last, changes
 
 
+def human_records(edits: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """A record for each deciding edit, with nothing but the edited fields, to be validated like an imported one.
+
+    ``edits``: loan_id, decision_id, decided_at, field_name, value (text).  Versions go on from the
+    loan's human records in ``records``; a field given twice in one decision takes its greater value.
+    ``validate.validate_records(..., origins=("human_edit",))`` runs the rules on them.
+    """
+    cells = edits.groupBy("loan_id", "decision_id", "field_name").agg(F.max("value").alias("value"), F.max("decided_at").alias("decided_at"))
+    pairs = F.collect_list(F.struct("field_name", "value"))
+    one = cells.groupBy("loan_id", "decision_id").agg(F.map_from_entries(pairs).alias("payload"), F.max("decided_at").alias("effective_at"))
+    typed = {f: coerced(f, F.try_element_at("payload", F.lit(f))) for f in FIELD_TYPES}
+    data = F.struct(*((F.col("loan_id").cast("string") if f == "loan_id" else value.cast(SPARK_TYPES[FIELD_TYPES[f]])).alias(f) for f, (value, _) in typed.items()))
+    bad = [F.when(wrong, F.struct(F.lit(f).alias("key"), F.struct(F.try_element_at("payload", F.lit(f)).alias("raw"), F.lit(FIELD_TYPES[f]).alias("expected")).alias("value"))) for f, (_, wrong) in typed.items()]
+    number = F.row_number().over(Window.partitionBy("loan_id").orderBy("effective_at", "decision_id"))
+    out = one.select(
+        "loan_id", "decision_id", F.lit(None).cast("string").alias("raw_record_id"), F.lit(HUMAN).alias("source_system"), number.alias("version"), data.alias("data"),
+        F.map_from_entries(F.filter(F.array(*bad), lambda e: e.isNotNull())).cast(ERRORS).alias("field_errors"),
+        F.array_sort(F.map_keys("payload")).alias("in_scope"), F.lit("human_edit").alias("origin"), "effective_at",
+    )
+    if records is None:
+        return out
+    top = records.filter(F.col("source_system") == HUMAN).groupBy("loan_id").agg(F.max("version").alias("_top"))
+    return out.join(top, "loan_id", "left").withColumn("version", F.col("version") + F.coalesce("_top", F.lit(0))).drop("_top")
+
+
 def agreement(recommendation: Column, action: Column, stated: Column) -> Column:
     """Whether a reviewer agreed with a cited recommendation; accepting or editing without a word is agreement."""
     return F.when(stated.isNotNull(), stated).when(recommendation.isNotNull() & action.isin("accept", "edit"), F.lit(True))

@@ -205,3 +205,24 @@ def english_rules(spark: SparkSession, d: str) -> DataFrame:
         drafted = english.draft(text).condition.to_json().replace("original_principal", "o_totalprice").replace("payment_status", "o_orderstatus")
         rules.append(Rule(f"R{i}", "LOW", "", Condition.from_json(drafted)))
     return _tally(table(spark, d, "orders"), rules)
+
+
+def _edited(spark: SparkSession, d: str) -> DataFrame:
+    """Records of edits over orders: the even ones change the principal, the odd ones the status."""
+    even = F.col("o_orderkey") % 2 == 0
+    edits = table(spark, d, "orders").select(F.col("o_custkey").alias("loan_id"), F.col("o_orderkey").alias("decision_id"), F.col("o_orderkey").alias("decided_at"), F.when(even, "original_principal").otherwise("payment_status").alias("field_name"), F.when(even, F.col("o_totalprice").cast("string")).otherwise("current").alias("value"))
+    before = table(spark, d, "customer").select(F.col("c_custkey").alias("loan_id"), F.when(F.col("c_custkey") % 2 == 0, "human_override").otherwise("loan_tape").alias("source_system"), F.lit(2).alias("version"))
+    return resolve.human_records(edits, before)
+
+
+@register("SELECT o_custkey AS loan_id, o_orderkey AS decision_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 0 END AS version, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS principal FROM orders")
+def human_edit_records(spark: SparkSession, d: str) -> DataFrame:
+    return _edited(spark, d).select("loan_id", "decision_id", "version", F.col("data.original_principal").alias("principal"))
+
+
+@register("SELECT CASE WHEN o_orderkey % 2 = 1 THEN 'not_applicable' WHEN o_totalprice > 150000 THEN 'fail' ELSE 'pass' END AS result, count(*) AS n FROM orders GROUP BY 1")
+def human_edit_revalidated(spark: SparkSession, d: str) -> DataFrame:
+    """The same rules on edited values alone; fields that weren't edited are out of scope."""
+    rule = Rule("R", "LOW", "", english.draft("principal exceeds 150,000").condition)
+    results = validate.validate_records(_edited(spark, d), [rule], "2026-08-28T12:00:00", ("human_edit",))
+    return results.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
