@@ -28,7 +28,8 @@ def column_mapping(headers: list[str]) -> tuple[dict[str, str | None], list[str]
 
 
 def read_lines(spark: SparkSession, path: str, headers: list[str]) -> DataFrame:
-    """A CSV file's rows as text columns, ``_row`` in file order and ``_error`` for ragged rows.
+    """The rows of a CSV file, or of a folder of such files, as text columns; ``_file``, ``_row`` in
+    that file's order and ``_error`` for ragged rows.
 
     Quoted cells may hold line ends; a byte-order mark and blank lines are skipped.  Rows
     with too few or too many cells are kept and marked.
@@ -43,9 +44,9 @@ def read_lines(spark: SparkSession, path: str, headers: list[str]) -> DataFrame:
     # Spark refuses queries that read the raw line alone, as counting errors would: an empty piece of a cell goes along
     error = F.concat(error, F.substring(F.coalesce(F.col(f"`{headers[0]}`"), F.lit("")), 1, 0))
     # one file is read by one task if its cells may hold line ends, so this order is the file's
-    ordered = rows.withColumn("_at", F.monotonically_increasing_id())
-    numbered = ordered.withColumn("_row", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")))
-    return numbered.select("_row", *(F.when(F.col("_raw").isNull(), F.coalesce(F.col(f"`{h}`"), F.lit(""))).otherwise(F.col(f"`{h}`")).alias(h) for h in headers), error.alias("_error"))
+    ordered = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
+    numbered = ordered.withColumn("_row", F.row_number().over(Window.partitionBy("_file").orderBy("_at")))
+    return numbered.select("_file", "_row", *(F.when(F.col("_raw").isNull(), F.coalesce(F.col(f"`{h}`"), F.lit(""))).otherwise(F.col(f"`{h}`")).alias(h) for h in headers), error.alias("_error"))
 
 
 def headers_of(spark: SparkSession, path: str) -> list[str]:
@@ -70,15 +71,19 @@ def latest_upload(registry: DataFrame) -> DataFrame:
     return registry.filter("status <> 'failed'").groupBy("sha256").agg(F.max_by(F.struct("raw_file_id", "status", "uploaded_at"), "uploaded_at").alias("x")).select("sha256", "x.*")
 
 
-def landed(lines: DataFrame, raw_file_id: str, kind: str, headers: list[str]) -> DataFrame:
-    """Raw rows as they are stored: payload by header, error, and their file."""
+def landed(lines: DataFrame, raw_file_id: str, kind: str, headers: list[str], by_file: bool = False) -> DataFrame:
+    """Raw rows as they are stored: payload by header, error, and their file.
+
+    The lines of a folder need ``by_file``: the name of each file then follows ``raw_file_id``.
+    """
     if kind not in contracts.FILE_SOURCES:
         raise ValueError(f"unknown file kind: {kind!r}")
     payload = F.map_from_arrays(F.array(*map(F.lit, headers)), F.array(*(F.col(f"`{h}`") for h in headers)))
+    file = F.concat_ws("#", F.lit(raw_file_id), F.element_at(F.split("_file", "/"), -1)) if by_file else F.lit(raw_file_id)
     return lines.select(
-        F.lit(raw_file_id).alias("raw_file_id"),
+        file.alias("raw_file_id"),
         F.col("_row").alias("row_number"),
-        F.sha2(F.concat_ws("#", F.lit(raw_file_id), "_row"), 256).alias("raw_record_id"),
+        F.sha2(F.concat_ws("#", file, "_row"), 256).alias("raw_record_id"),
         F.lit(contracts.FILE_SOURCES[kind]).alias("source_system"),
         payload.alias("payload"),
         F.col("_error").alias("parse_error"),

@@ -74,6 +74,14 @@ def test_ragged_rows_are_kept_apart(spark, tmp_path):
     assert (c.row_count, c.parsed_count, c.failed_count) == (3, 1, 2)
 
 
+def test_rows_are_numbered_by_file(spark, tmp_path):
+    for name, loans in (("a.csv", "AB"), ("b.csv", "CDE")):
+        (tmp_path / name).write_text("\n".join(["loan_id", *loans]) + "\n")
+    rows = tapes.landed(tapes.read_lines(spark, str(tmp_path), ["loan_id"]), "f", "document_manifest", ["loan_id"], by_file=True).collect()
+    assert sorted((r.raw_file_id, r.row_number, r.payload["loan_id"]) for r in rows) == [("f#a.csv", 1, "A"), ("f#a.csv", 2, "B"), ("f#b.csv", 1, "C"), ("f#b.csv", 2, "D"), ("f#b.csv", 3, "E")]
+    assert len({r.raw_record_id for r in rows}) == 5
+
+
 def test_bursts_equal_brute_force(spark):
     for seed in range(2):
         rng = random.Random(seed)
