@@ -81,6 +81,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .storage import small_batches, written
+    from .token_counts import over, prefix_table
+
+    with small_batches(spark, 2000):
+        table = written(prefix_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")), "prefixes")
+    return table.select("doc_id", "n_bytes", "n_tokens", over(4096).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_cover_tree": op2_cover_tree,
@@ -92,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_collision": op9_collision,
     "op10_bpe": op10_bpe,
+    "op12_prefix_counts": op12_prefix_counts,
 }
 
 _TOP_PRODUCTS = """WITH usable AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
