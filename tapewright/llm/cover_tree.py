@@ -38,20 +38,20 @@ class Node:
     single: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
 
-def cover_tree(x: np.ndarray, rows: np.ndarray) -> Node:
+def cover_tree(x: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
     """A cover tree: the first child's centre is the node's own, and centres are over half the node's radius apart."""
     centre = x[rows[0]]
     dist = np.sqrt(((x[rows] - centre) ** 2).sum(axis=1))
     # rounding must not shrink a covering radius
     node = Node(centre, float(dist.max()) * (1 + 1e-9), rows)
-    if len(rows) <= LEAF or node.radius == 0:
+    if len(rows) <= leaf or node.radius == 0:
         node.single = rows
         return node
     rest, single, alone = rows, [], 0
     while len(rest) and alone < ALONE:
         near = dist <= node.radius / 2
         if near.sum() > 1:
-            node.children.append(cover_tree(x, rest[near]))
+            node.children.append(cover_tree(x, rest[near], leaf))
             alone = 0
         else:
             single.append(rest[near])
