@@ -1,10 +1,11 @@
 """Stated queries against all vectors, in groups of bounded size around pivots.
 
-Rows are dealt to the nearest of a bounded number of pivots, and the rows of a pivot by hash
-to groups of bounded size.  Each query first searches one group of its own pivot; with the
-k-th score found there it then goes to the groups of those pivots alone whose centre and
-radius allow a better one.  Queries go in blocks of bounded size too, so a task holds one
-pair at a time, whatever the table's size; each query's best rows are merged by rank.
+Rows are dealt to the nearest of some pivots, one for every ``CELL`` rows up to a bounded
+number, and the rows of a pivot by hash to groups of bounded size.  Each query first searches
+one group of the nearest cell that has many rows; with the k-th score found there it then
+goes to the groups of those pivots alone whose centre and radius allow a better one.  A
+group's rows come to a task before its queries, which pass by in blocks: no row is copied,
+and a task holds one group and one block.  Each query's best rows are merged by rank.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import dropped, written
 
-#: Queries in a block, about; pivots at most (a bounded sample by hash; every row is dealt).
-QUERY_GROUP, PIVOTS = 8192, 256
+#: Queries in a block; rows of a cell, about; pivots at most (a bounded sample by hash; every row is dealt).
+QUERY_GROUP, CELL, PIVOTS = 8192, 2048, 256
+#: A cell can give the first k scores if it has so many times k rows (or is the largest).
+MANY = 64
 
 
 def usable(vectors: DataFrame, nonzero: bool = False) -> DataFrame:
@@ -75,44 +78,64 @@ def search(rows: DataFrame, every: int, k: int, method: Method) -> DataFrame:
     times gives its ``k * m`` best rows.
     """
     spark = rows.sparkSession
+    pivot_count = min(PIVOTS, max(1, rows.count() // CELL))
     rows = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("dim", F.size("embedding")).withColumn("h", F.xxhash64("vec_id", "embedding"))
     sample: dict[int, list] = {}
-    for r in rows.orderBy("h").limit(PIVOTS).collect():
+    for r in rows.orderBy("h").limit(pivot_count).collect():
         sample.setdefault(r["dim"], []).append(r["embedding"])
     pivots = {dim: np.array(x) for dim, x in sample.items()}
     dealt = written(_dealt(rows, pivots), "vectors")
-    is_query = F.col("vec_id") % every == 0
     # a row for each pivot and length of vectors
-    stats = dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max("far").alias("radius"))
-    cells = {}
+    stats = dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+    cells: dict[int, list[tuple[int, int, float, np.ndarray, int]]] = {}
     for r in stats.collect():
         own = pivots.get(r["dim"])
         centre = own[r["cell"]] if own is not None and r["dim"] else np.zeros(r["dim"])
-        cells.setdefault(r["dim"], []).append((r["cell"], max(1, -(-r["n"] // method.group)), r["radius"] * (1 + 1e-9), centre, r["q"]))
-    blocks = max(1, -(-sum(c[4] for some in cells.values() for c in some) // QUERY_GROUP))
+        cells.setdefault(r["dim"], []).append((r["cell"], max(1, -(-r["n"] // method.group)), r["radius"] * (1 + 1e-9), centre, r["n"]))
+    # homes of queries: cells with many rows, so that every query gets a k-th score there
+    enough = {dim: min(MANY * k, max(c[4] for c in some)) for dim, some in cells.items()}
+    homes = {dim: [c for c in some if c[4] >= enough[dim]] for dim, some in cells.items()}
     groups = spark.createDataFrame([(dim, c[0], c[1]) for dim, some in cells.items() for c in some], "dim int, cell int, groups int")
-    placed = dealt.drop("far").join(F.broadcast(groups), ["dim", "cell"])
-    everyone = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    data = placed.select("vec_id", "embedding", "dim", "cell", F.pmod("h", "groups").cast("int").alias("part"), everyone.alias("block"))
-    asked = placed.filter(is_query).select("vec_id", "embedding", "dim", "cell", F.pmod(F.shiftright("h", 20), "groups").cast("int").alias("part"), F.pmod(F.shiftright("h", 40), F.lit(blocks)).cast("int").alias("block"))
+    data = dealt.drop("far").join(F.broadcast(groups), ["dim", "cell"]).select("vec_id", "embedding", "dim", "cell", F.pmod("h", "groups").cast("int").alias("part"))
+    names = spark.createDataFrame([(dim, i, c[0], c[1]) for dim, some in homes.items() for i, c in enumerate(some)], "dim int, nearest int, cell int, groups int")
+    asked = _dealt(dealt.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding", "dim", "h"), {dim: np.stack([c[3] for c in some]) for dim, some in homes.items()})
+    asked = asked.withColumnRenamed("cell", "nearest").join(F.broadcast(names), ["dim", "nearest"]).select("vec_id", "embedding", "dim", "cell", F.pmod(F.shiftright("h", 20), "groups").cast("int").alias("part"))
     worst = -np.inf if method.largest else np.inf
-    key = ["dim", "cell", "part", "block"]
-
-    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(d):
-            q, d = q.sort_values("vec_id"), d.sort_values("vec_id")
-            m = int(d["vec_id"].value_counts().max())
-            out = list(method.in_pair(k * m)(q["vec_id"].to_numpy(), np.stack(q["embedding"]), q["bound"].to_numpy(float), d["vec_id"].to_numpy(), np.stack(d["embedding"])))
-        if not out:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, found, scores = zip(*out, strict=True)
-        return pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x in found]), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+    key = ["dim", "cell", "part"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups one after the other, each with its rows first, then its queries."""
+        at: tuple | None = None
+        held: list[pd.DataFrame] = []
+        queries: list[pd.DataFrame] = []
+
+        def answers() -> Iterator[pd.DataFrame]:
+            if held and queries:
+                d, q = pd.concat(held).sort_values("vec_id"), pd.concat(queries).sort_values("vec_id")
+                held[:], m = [d], int(d["vec_id"].value_counts().max())
+                out = list(method.in_pair(k * m)(q["vec_id"].to_numpy(), np.stack(q["embedding"]), q["bound"].to_numpy(float), d["vec_id"].to_numpy(), np.stack(d["embedding"])))
+                if out:
+                    ids, found, scores = zip(*out, strict=True)
+                    yield pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x in found]), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+            queries.clear()
+
+        for batch in batches:
+            begins = (batch[[*key, "asks"]] != batch[[*key, "asks"]].shift()).any(axis=1).cumsum()
+            for _, some in batch.groupby(begins.to_numpy(), sort=False):
+                who = tuple(some[key].iloc[0])
+                if who != at:
+                    yield from answers()
+                    at = who
+                    held.clear()
+                (queries if some["asks"].iloc[0] else held).append(some[["vec_id", "embedding", "bound"]])
+                if sum(map(len, queries)) >= QUERY_GROUP:
+                    yield from answers()
+        yield from answers()
 
     def searched(queries: DataFrame) -> DataFrame:
-        # both come from one table: new columns tell the sides apart
-        mine, others = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)).toDF(*df.columns) for side, df in (("q", queries), ("d", data)))
-        return mine.groupBy(*key).cogroup(others.groupBy(*key)).applyInPandas(run, f"query_id long, vec_id long, score {method.kind}")
+        columns = [*key, "asks", "vec_id", "embedding", "bound"]
+        both = data.withColumn("asks", F.lit(0)).withColumn("bound", F.lit(None).cast("double")).select(*columns).union(queries.withColumn("asks", F.lit(1)).select(*columns))
+        return both.repartition(*key).sortWithinPartitions(*key, "asks").mapInPandas(run, f"query_id long, vec_id long, score {method.kind}")
 
     best = F.max("score") if method.largest else F.min("score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score") if method.largest else F.asc("score"), "vec_id")
@@ -137,5 +160,7 @@ def search(rows: DataFrame, every: int, k: int, method: Method) -> DataFrame:
                             yield some[go].assign(cell=np.int32(cell), part=np.int32(g))
 
     rest = asked.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(worst)))
-    rest = rest.select("vec_id", "embedding", "dim", "cell", "part", "block", "bound").mapInPandas(elsewhere, "vec_id long, embedding array<double>, dim int, cell int, part int, block int, bound double")
-    return ranked(at_home.union(searched(rest))).select("query_id", "rank", "vec_id", "score")
+    rest = rest.select("vec_id", "embedding", *key, "bound").mapInPandas(elsewhere, "vec_id long, embedding array<double>, dim int, cell int, part int, bound double")
+    found = written(ranked(at_home.union(searched(rest))).select("query_id", "rank", "vec_id", "score"), "vectors-best")
+    dropped(dealt, at_home)
+    return found
