@@ -64,11 +64,16 @@ def edit_effects(decisions: DataFrame, canonical: DataFrame, key: str) -> tuple[
 def human_records(edits: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """A record for each deciding edit, with nothing but the edited fields, to be validated like an imported one.
 
-    ``edits``: loan_id, decision_id, decided_at, field_name, value (text).  Versions go on from the
-    loan's human records in ``records``; a field given twice in one decision takes its greater value.
+    ``edits``: loan_id, decision_id, decided_at, field_name, value (text), optionally position (in the
+    decision's list).  Versions go on from the loan's human records in ``records``.  A field given
+    twice in one decision takes the later value; two values at once end the job.
     ``validate.validate_records(..., origins=("human_edit",))`` runs the rules on them.
     """
-    cells = edits.groupBy("loan_id", "decision_id", "field_name").agg(F.max("value").alias("value"), F.max("decided_at").alias("decided_at"))
+    at = ["decided_at", *(["position"] if "position" in edits.columns else [])]
+    shown = F.coalesce("value", F.lit(""))
+    once = edits.groupBy("loan_id", "decision_id", "field_name", *at).agg(F.min("value").alias("value"), F.min(shown).alias("_least"), F.max(shown).alias("_most"))
+    once = once.withColumn("value", F.when(F.col("_least") == F.col("_most"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("two values at once for "), "field_name"))))
+    cells = once.groupBy("loan_id", "decision_id", "field_name").agg(F.max_by("value", F.struct(*at)).alias("value"), F.max("decided_at").alias("decided_at"))
     pairs = F.collect_list(F.struct("field_name", "value"))
     one = cells.groupBy("loan_id", "decision_id").agg(F.map_from_entries(pairs).alias("payload"), F.max("decided_at").alias("effective_at"))
     typed = {f: coerced(f, F.try_element_at("payload", F.lit(f))) for f in FIELD_TYPES}

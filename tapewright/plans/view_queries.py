@@ -10,7 +10,7 @@ from ..operators import assist, chain, english, reconcile, resolve, trust, valid
 from ..operators.conditions import Condition
 from ..sources.tables import table
 from . import views
-from .queries import _EXCEPTIONS_SQL, _exceptions, _scores, _tally, _verdict_sql, register
+from .queries import _EXCEPTIONS_SQL, _exceptions, _tally, _verdict_sql, register
 
 
 def _queue(spark: SparkSession, d: str) -> DataFrame:
@@ -55,12 +55,6 @@ def verify_next(spark: SparkSession, d: str) -> DataFrame:
     return trust.to_verify(loans, _queue(spark, d), loans.filter("loan_id % 3 = 0"), "loan_id", 25)
 
 
-@register("SELECT c_custkey AS k, true AS close FROM customer")
-def trust_score_column(spark: SparkSession, d: str) -> DataFrame:
-    """The function's own column is the weighted sum, capped and rounded."""
-    return _scores(spark, d).select("k", (F.abs(F.col("trust_score") - F.col("_raw")) <= 0.00501).alias("close"))
-
-
 _CHAIN_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, '{"a":{"v":' || event_id || '},"z":1}' AS canon, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
   c AS (SELECT user_id, event_id, rn, CAST(NULL AS VARCHAR) AS prev_hash, sha256('{"after_value":' || canon || ',"event_id":"' || event_id || '","event_type":"' || event_type || '","prev_event_hash":null}') AS hash FROM e WHERE rn = 1
     UNION ALL SELECT e.user_id, e.event_id, e.rn, c.hash, sha256('{"after_value":' || canon || ',"event_id":"' || e.event_id || '","event_type":"' || event_type || '","prev_event_hash":"' || c.hash || '"}') FROM c JOIN e ON e.user_id = c.user_id AND e.rn = c.rn + 1)"""
