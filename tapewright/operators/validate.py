@@ -122,7 +122,7 @@ def exceptions_of(results: DataFrame, per: str) -> DataFrame:
         bad = bad.groupBy("rule_code", "loan_id", alone.alias("_alone")).agg(first).select("rule_code", "loan_id", "x.*")
     other = "loan_id" if per == "raw_record_id" else "raw_record_id"
     return bad.select(
-        F.sha2(F.concat_ws("|", F.lit("validation_failure"), "rule_code", F.col("rule_version").cast("string"), F.coalesce(per, other)), 256).alias("exception_id"),
+        F.sha2(F.concat_ws("|", F.lit("validation_failure"), "rule_code", F.col("rule_version").cast("string"), F.coalesce(F.col(per).cast("string"), F.col(other).cast("string"))), 256).alias("exception_id"),
         "loan_id",
         "raw_record_id",
         F.lit("validation_failure").alias("exception_type"),
