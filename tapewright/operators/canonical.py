@@ -57,11 +57,33 @@ def wide(winners: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return winners.groupBy(key).agg(*values, provenance.alias("provenance"), F.count(F.lit(1)).alias("fields_blended"))
 
 
+def as_maps(winners: DataFrame, key: str) -> DataFrame:
+    """One row per entity with ``data``, ``provenance`` and ``pinned`` (the pins' values) as maps by field."""
+    told = F.struct("source_system", "trust", "pinned")
+    entries = lambda value: F.map_from_entries(F.collect_list(F.struct(F.col("field_name").alias("key"), value.alias("value"))))
+    pins = F.map_from_entries(F.filter(F.collect_list(F.when(F.col("pinned"), F.struct(F.col("field_name").alias("key"), F.col("value").alias("value")))), lambda e: e.isNotNull()))
+    return winners.groupBy(key).agg(entries(F.col("value")).alias("data"), entries(told).alias("provenance"), pins.alias("pinned"))
+
+
 def upserted(previous: DataFrame | None, now: DataFrame, key: str) -> DataFrame:
-    """The new state over the old one: entities without new records stay."""
+    """The new state over the old one, both as ``as_maps`` gives them.
+
+    Entities without new records stay as they are.  Pins of the old row stand over what sources
+    say now, also where they say null or the sources no longer have the field; a pin that
+    ``now`` brings goes before an older one.  Fields of the old row that nothing supports go.
+    """
     if previous is None:
         return now
-    return now.unionByName(previous.join(now.select(key), key, "left_anti"), allowMissingColumns=True)
+    old = previous.select(key, *(F.col(c).alias(f"_{c}") for c in ("data", "provenance", "pinned")))
+    both = now.join(old, key, "full")
+    older, newer = F.col("_pinned"), F.col("pinned")
+    kept = F.when(older.isNull(), newer).when(newer.isNull(), older).otherwise(F.map_zip_with(older, newer, lambda k, a, b: F.when(F.map_contains_key(newer, k), b).otherwise(a)))
+    both = both.withColumn("_pins", kept).withColumn("_new", F.col("data").isNotNull())
+    pin = F.struct(F.lit(HUMAN).alias("source_system"), F.lit(100).alias("trust"), F.lit(True).alias("pinned"))
+    pins = F.col("_pins")
+    data = F.map_zip_with("data", pins, lambda k, v, p: F.when(F.map_contains_key(pins, k), p).otherwise(v))
+    provenance = F.map_zip_with("provenance", pins, lambda k, v, p: F.when(F.map_contains_key(pins, k), pin).otherwise(v))
+    return both.select(key, F.when(F.col("_new"), data).otherwise(F.col("_data")).alias("data"), F.when(F.col("_new"), provenance).otherwise(F.col("_provenance")).alias("provenance"), pins.alias("pinned"))
 
 
 def newest_versions(rows: DataFrame, keys: list[str], order: str, n: int = 1) -> DataFrame:

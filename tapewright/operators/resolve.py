@@ -28,6 +28,36 @@ def assign_clusters(exceptions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.drop("_label"), clusters
 
 
+def carried(clusters: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Clusters of this run and those of earlier ones that have no member left, with 0."""
+    if before is None:
+        return clusters
+    gone = before.join(clusters.select("cluster_id"), "cluster_id", "left_anti")
+    return clusters.unionByName(gone.withColumn("member_count", F.lit(0).cast("long")).select(*clusters.columns))
+
+
+def regrouped(clusters: DataFrame, changed: DataFrame) -> DataFrame:
+    """Standing clusters after a batch of changes, without a look at the exceptions that didn't change.
+
+    ``clusters``: cluster_id, label, member_count.  ``changed``: the exceptions that came, went or
+    were decided, as ``assign_clusters`` takes them, with ``old_status`` and ``old_cluster_id`` (null for
+    new ones).  Each moves the counts of the cluster it leaves and of the one it joins; clusters stay when they are empty.
+    """
+    label = cluster_label(F.col("rule_code"), F.col("rule_version"), F.col("exception_type"))
+    has = F.coalesce("cluster_id", F.when(F.col("status") == "open", F.sha2(label, 256))) if "cluster_id" in changed.columns else F.coalesce("old_cluster_id", F.when(F.col("status") == "open", F.sha2(label, 256)))
+    moves = changed.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("old_cluster_id").alias("cluster_id"), F.lit(None).cast("string").alias("label"), F.when(F.col("old_status") == "open", -1).otherwise(0).alias("n")),
+                F.struct(has.alias("cluster_id"), label.alias("label"), F.when(F.col("status") == "open", 1).otherwise(0).alias("n")),
+            )
+        )
+    ).filter("cluster_id is not null")
+    delta = moves.groupBy("cluster_id").agg(F.max("label").alias("_label"), F.sum("n").alias("_n"))
+    both = clusters.join(delta, "cluster_id", "full")
+    return both.select("cluster_id", F.coalesce("label", "_label").alias("label"), (F.coalesce("member_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("member_count"))
+
+
 def severity_rank(severity: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in SEVERITY_RANK.items() for x in kv)), severity)
 

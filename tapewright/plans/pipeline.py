@@ -43,16 +43,14 @@ def versioned_records(parts: list[DataFrame], base: DataFrame | None = None) ->
     return tapes.versioned(both, ["loan_id", "source_system"], ["file_seq", "row_number"], base).withColumn("origin", F.lit("import"))
 
 
-def verify(
-    records: DataFrame, import_errors: DataFrame | None, trust_policy: DataFrame, at: dt.datetime | str, rules: list[contracts.Rule] | None = None,
-    previous: DataFrame | None = None, pins: DataFrame | None = None, verified: DataFrame | None = None,
-) -> Run:
-    """All stages over versioned records.  ``previous`` exceptions keep their decisions."""
-    rules = contracts.seed_rules() if rules is None else rules
-    results = validate.validate_records(records, rules, at)
-    dataset = validate.validate_dataset(records, rules)
+def _fields() -> list[str]:
+    return [f for f in contracts.FIELD_TYPES if f not in ("source_system", "loan_id")]
+
+
+def exceptions_found(records: DataFrame, results: DataFrame, dataset: DataFrame, import_errors: DataFrame | None, previous: DataFrame | None) -> DataFrame:
+    """Exceptions of rules, dataset checks, conflicts and imports; what was decided in ``previous`` stays decided."""
     found = None if previous is None else previous.filter("status <> 'open'")
-    # what was decided stays decided: a row rule's by record, a dataset rule's by loan, a conflict's by loan and field
+    # a row rule's exception is decided by record, a dataset rule's by loan, a conflict's by loan and field
     kinds = (
         (validate.exceptions_of(results, "raw_record_id"), ["rule_code", "raw_record_id"]),
         (validate.exceptions_of(dataset, "loan_id"), ["rule_code", "loan_id"]),
@@ -63,12 +61,33 @@ def verify(
             fresh = fresh.join(previous.filter("status <> 'open'").select(*keys).distinct(), keys, "left_anti")
         found = fresh if found is None else found.unionByName(fresh, allowMissingColumns=True)
     if import_errors is not None:
+        if previous is not None:
+            import_errors = import_errors.join(previous.filter("status <> 'open'").select("exception_id"), "exception_id", "left_anti")
         found = found.unionByName(import_errors, allowMissingColumns=True)
-    exceptions, clusters = resolve.assign_clusters(found)
-    fields = list(contracts.FIELD_TYPES)
-    flat = records.select("source_system", "version", F.col("raw_record_id").alias("record_id"), *(F.col(f"data.{f}").alias(f"{f}") for f in fields if f != "source_system"))
-    winners = canonical.blend(flat, trust_policy, "loan_id", [f for f in fields if f not in ("source_system", "loan_id")], pins)
-    rows = canonical.wide(winners, "loan_id", [f for f in fields if f not in ("source_system", "loan_id")])
+    return found
+
+
+def blended(records: DataFrame, trust_policy: DataFrame, pins: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(winners, canonical rows) of records."""
+    flat = records.select("source_system", "version", F.col("raw_record_id").alias("record_id"), *(F.col(f"data.{f}").alias(f) for f in contracts.FIELD_TYPES if f != "source_system"))
+    winners = canonical.blend(flat, trust_policy, "loan_id", _fields(), pins)
+    return winners, canonical.wide(winners, "loan_id", _fields())
+
+
+def scored(rows: DataFrame, results: DataFrame, dataset: DataFrame, exceptions: DataFrame, winners: DataFrame) -> DataFrame:
     both = results.select("loan_id", "severity", "result").unionByName(dataset.select("loan_id", "severity", "result"))
-    scores = trust.trust_scores(rows, "loan_id", both, exceptions.filter("loan_id is not null"), winners)
+    return trust.trust_scores(rows, "loan_id", both, exceptions.filter("loan_id is not null"), winners)
+
+
+def verify(
+    records: DataFrame, import_errors: DataFrame | None, trust_policy: DataFrame, at: dt.datetime | str, rules: list[contracts.Rule] | None = None,
+    previous: DataFrame | None = None, pins: DataFrame | None = None, verified: DataFrame | None = None,
+) -> Run:
+    """All stages over versioned records.  ``previous`` exceptions keep their decisions."""
+    rules = contracts.seed_rules() if rules is None else rules
+    results = validate.validate_records(records, rules, at)
+    dataset = validate.validate_dataset(records, rules)
+    exceptions, clusters = resolve.assign_clusters(exceptions_found(records, results, dataset, import_errors, previous))
+    winners, rows = blended(records, trust_policy, pins)
+    scores = scored(rows, results, dataset, exceptions, winners)
     return Run(results, dataset, exceptions, clusters, winners, rows, scores, trust.to_verify(rows, exceptions, verified, "loan_id"))

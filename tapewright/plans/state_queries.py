@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import FIELD_TYPES, Rule, trust_table
-from ..operators import canonical, edits, minting, trust
+from ..operators import canonical, edits, minting, resolve, trust
 from ..operators.conditions import fields
+from ..sources import landing_table
+from ..sources.landing_table import LandingTable, Upload
+from ..sources.shared import new_path, written
 from ..sources.tables import table
 from ..sources.tapes import ERRORS, SPARK_TYPES
+from . import runs
+from .ledger import Ledger
 from .queries import _BLEND_SQL, _EXCEPTIONS_SQL, _TRUST, CLOCK, _exceptions, _scores, _sources, register
 
 f = fields()
@@ -220,8 +225,6 @@ _MINT_SQL = f"""{_EDITS_SQL}, {_RESULTS_SQL}, {_FILES_SQL},
 
 def _minted(spark: SparkSession, d: str) -> DataFrame:
     """A version before a batch of decisions and one after it."""
-    from ..sources.shared import written
-
     state, done = _applied(spark, d)
     snaps = minting.snapshots(state.winners, state.scores, _summaries(spark, d, state))
     first = written(minting.minted(snaps, state.exceptions, None, None, "reviewer", "1998-08-03")[0], "versions")
@@ -238,3 +241,90 @@ def _minted(spark: SparkSession, d: str) -> DataFrame:
 def minted_versions(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots of all loans that nothing blocks, before and after edits: the second only where the content changed."""
     return _minted(spark, d).select("loan_id", "version", "record_hash", "prev_record_hash", F.array_join("decision_ids", ",").alias("decisions"))
+
+
+# --- standing tables --------------------------------------------------------------------------
+
+
+@register(
+    f"""WITH {_BLEND_SQL}, old AS (SELECT c_custkey AS k, 'balance' AS fld, CASE WHEN c_custkey % 11 = 0 THEN '1.00' ELSE CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) END AS v, c_custkey % 11 = 0 AS pinned, 'core' AS src FROM customer
+        UNION ALL SELECT c_custkey, 'segment', CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END, c_custkey % 7 = 0, 'core' FROM customer),
+      new AS (SELECT k, fld, v, src, k % 77 = 0 AND fld = 'segment' AS pinned FROM won WHERE k % 3 <> 0),
+      merged AS (SELECT coalesce(new.k, old.k) AS k, coalesce(new.fld, old.fld) AS fld, CASE WHEN new.pinned THEN 'again' WHEN old.pinned THEN old.v ELSE coalesce(new.v, old.v) END AS v,
+        coalesce(new.pinned, false) OR coalesce(old.pinned, false) AS pinned, coalesce(new.src, old.src) AS src FROM new FULL JOIN old ON old.k = new.k AND old.fld = new.fld)
+      SELECT k, fld AS field_name, v AS value, CASE WHEN pinned THEN 'human_override' ELSE src END AS source_system, pinned FROM merged"""
+)
+def canonical_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """New blends over standing rows, pins among them; a third of the entities has no new records."""
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    pin = lambda rows, name, value: rows.select("k", F.lit(name).alias("field_name"), F.lit(value).cast("string").alias("value"))
+    pins = pin(customers.filter("k % 7 = 0"), "segment", None).unionByName(pin(customers.filter("k % 11 = 0"), "balance", "1.00"))
+    sources, policy = _sources(spark, d), trust_table(spark, _TRUST)
+    before = canonical.blend(sources.filter("source_system = 'core'"), policy, "k", list(_FIELDS), pins)
+    now = canonical.blend(sources.filter("k % 3 <> 0"), policy, "k", list(_FIELDS), pin(customers.filter("k % 77 = 0 and k % 3 <> 0"), "segment", "again"))
+    out = canonical.upserted(canonical.as_maps(before, "k"), canonical.as_maps(now, "k"), "k")
+    cells = out.select("k", F.explode("data").alias("field_name", "value"), "provenance")
+    return cells.select("k", "field_name", "value", F.try_element_at("provenance", F.col("field_name"))["source_system"].alias("source_system"), F.try_element_at("provenance", F.col("field_name"))["pinned"].alias("pinned"))
+
+
+@register(
+    f"""WITH {_EXCEPTIONS_SQL}, named AS (SELECT CASE WHEN rule_code IS NULL THEN 'Source conflicts' ELSE rule_code || ' v1' END AS label, status, id FROM exc),
+      first AS (SELECT label, count(*) FILTER (status = 'open') AS before FROM named WHERE status = 'open' GROUP BY label)
+      SELECT first.label, before, count(id) FILTER (status = 'open' AND NOT (id % 4 = 1 OR first.label = 'RULE_2 v1')) AS after FROM first JOIN named USING (label) GROUP BY ALL
+      UNION ALL SELECT 'LATE v2', 0, count(*) FROM orders WHERE o_orderkey % 1000 = 1"""
+)
+def clusters_carried(spark: SparkSession, d: str) -> DataFrame:
+    """Standing counts moved by a batch of decisions and new exceptions; a cluster that lost all members stays with 0."""
+    marked, before = resolve.assign_clusters(_exceptions(spark, d))
+    gone = marked.filter("status = 'open' and (id % 4 = 1 or rule_code = 'RULE_2')").withColumn("old_status", F.col("status")).withColumn("old_cluster_id", F.col("cluster_id")).withColumn("status", F.lit("resolved"))
+    late = table(spark, d, "orders").filter("o_orderkey % 1000 = 1").select(F.col("o_orderkey").alias("id"), F.lit("LATE").alias("rule_code"), F.lit(2).alias("rule_version"), F.lit("validation_failure").alias("exception_type"), F.lit("open").alias("status"))
+    after = resolve.regrouped(before, gone.unionByName(late, allowMissingColumns=True))
+    return after.select("label", F.col("member_count").alias("after")).join(before.select("label", F.col("member_count").alias("before")), "label", "left").select("label", F.coalesce("before", F.lit(0).cast("long")).alias("before"), "after")
+
+
+# --- files and runs -----------------------------------------------------------------------------
+
+_STAGES = ("land", "records", "validate", "exceptions", "blend", "score")
+#: Which stages work: the first run, its repetition, after decisions, forced.
+_WORK = {1: _STAGES, 2: (), 3: ("score",), 4: _STAGES[1:]}
+_TAPE_RULES = [Rule("PRINCIPAL", "CRITICAL", "principal {original_principal}", f.original_principal >= 0), Rule("BALANCE_CAP", "HIGH", "balance {current_balance}", f.current_balance <= 300000)]
+
+
+def _uploads(spark: SparkSession, d: str, folder: str) -> list[Upload]:
+    """Customers and their largest orders as CSV files of two kinds."""
+    loan = lambda c: F.concat(F.lit("LN-"), F.col(c).cast("string")).alias("loan_id")
+    money = lambda c: c.cast("decimal(12,2)").cast("string")
+    tape = table(spark, d, "customer").select(loan("c_custkey"), F.col("c_nationkey").cast("string").alias("borrower_id"), money(F.col("c_acctbal")).alias("original_principal"))
+    feed = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("most")).select(loan("o_custkey"), money(F.col("most")).alias("current_balance"))
+    out = []
+    for kind, rows in (("loan_tape", tape), ("servicer_update", feed)):
+        path = f"{folder}/{kind}"
+        rows.write.option("header", True).csv(path)
+        out += [Upload(f"{path}/{name}.csv", kind) for name in landing_table.names_in(spark, path, ".csv")]
+    return out
+
+
+@register(
+    " UNION ALL ".join(f"SELECT CAST({run} AS BIGINT) AS run, '{stage}' AS what, CAST({int(stage in work)} AS BIGINT) AS n" for run, work in _WORK.items() for stage in _STAGES)
+    + """ UNION ALL SELECT run, status, n FROM (WITH bad AS (SELECT c_custkey % 5 = 0 AS fifth FROM customer WHERE CAST(c_acctbal AS DECIMAL(12,2)) < 0),
+        cap AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING CAST(max(o_totalprice) AS DECIMAL(12,2)) > 300000)
+      SELECT run, 'open' AS status, (SELECT count(*) FROM cap) + (SELECT count(*) FROM bad WHERE run < 3 OR NOT fifth) AS n FROM range(1, 5) r(run) UNION ALL SELECT run, 'resolved', (SELECT count(*) FROM bad WHERE fifth) FROM range(3, 5) r(run))
+      UNION ALL SELECT CAST(1 AS BIGINT), 'rows', (SELECT count(*) FROM customer) + (SELECT count(DISTINCT o_custkey) FROM orders)"""
+)
+def ledger_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run over files, its repetition, a run after decisions and a forced one: which stages worked, and exceptions by status."""
+    folder = new_path(spark, "runs")
+    uploads = _uploads(spark, d, f"{folder}/files")
+    policy = [("OriginationCore", None, 60), ("ServicerFeed", None, 80)]
+    said, counts = [], None
+    for run in _WORK:
+        if run == 3:
+            found = Ledger(spark, folder).latest("exceptions")["exceptions"].filter("rule_code = 'PRINCIPAL' and cast(substring(loan_id, 4) as long) % 5 = 0")
+            decisions = found.select(F.concat(F.lit("d-"), "loan_id").alias("decision_id"), "exception_id", F.lit("accept").alias("action"), F.lit(1).alias("decided_at"))
+            runs.decided(spark, folder, decisions, _TAPE_RULES, CLOCK)
+        tables, log = runs.verify_folder(spark, folder, uploads, _TAPE_RULES, policy, CLOCK, force=run == 4)
+        said += [(run, stage, int(worked)) for stage, worked in log]
+        one = tables["exceptions"].groupBy(F.col("status").alias("what")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(run).cast("long").alias("run"), "what", "n")
+        counts = one if counts is None else counts.unionByName(one)
+    landed = LandingTable(spark, f"{folder}/raw").manifest().agg(F.sum("row_count").alias("n")).select(F.lit(1).cast("long").alias("run"), F.lit("rows").alias("what"), "n")
+    return spark.createDataFrame(said, "run long, what string, n long").unionByName(counts).unionByName(landed)

@@ -27,8 +27,8 @@ def column_mapping(headers: list[str]) -> tuple[dict[str, str | None], list[str]
     return mapping, [h for h, f in mapping.items() if f is None]
 
 
-def read_lines(spark: SparkSession, path: str, headers: list[str]) -> DataFrame:
-    """The rows of a CSV file, or of a folder of such files, as text columns; ``_file``, ``_row`` in
+def read_lines(spark: SparkSession, path: str | list[str], headers: list[str]) -> DataFrame:
+    """The rows of a CSV file, of a folder or a list of such files, as text columns; ``_file``, ``_row`` in
     that file's order and ``_error`` for ragged rows.
 
     Quoted cells may hold line ends; a byte-order mark and blank lines are skipped.  Rows
@@ -71,15 +71,17 @@ def latest_upload(registry: DataFrame) -> DataFrame:
     return registry.filter("status <> 'failed'").groupBy("sha256").agg(F.max_by(F.struct("raw_file_id", "status", "uploaded_at"), "uploaded_at").alias("x")).select("sha256", "x.*")
 
 
-def landed(lines: DataFrame, raw_file_id: str, kind: str, headers: list[str], by_file: bool = False) -> DataFrame:
+def landed(lines: DataFrame, raw_file_id: str | Column, kind: str, headers: list[str], by_file: bool = False) -> DataFrame:
     """Raw rows as they are stored: payload by header, error, and their file.
 
     The lines of a folder need ``by_file``: the name of each file then follows ``raw_file_id``.
+    A column of ``lines`` may name each row's file instead.
     """
     if kind not in contracts.FILE_SOURCES:
         raise ValueError(f"unknown file kind: {kind!r}")
     payload = F.map_from_arrays(F.array(*map(F.lit, headers)), F.array(*(F.col(f"`{h}`") for h in headers)))
-    file = F.concat_ws("#", F.lit(raw_file_id), F.element_at(F.split("_file", "/"), -1)) if by_file else F.lit(raw_file_id)
+    named = raw_file_id if isinstance(raw_file_id, Column) else F.lit(raw_file_id)
+    file = F.concat_ws("#", named, F.element_at(F.split("_file", "/"), -1)) if by_file else named
     return lines.select(
         file.alias("raw_file_id"),
         F.col("_row").alias("row_number"),
