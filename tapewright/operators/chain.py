@@ -108,13 +108,22 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
     return texts.mapInPandas(run, schema)
 
 
-def checked(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = (), named: str = PREV) -> DataFrame:
+def checked(
+    events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = (), named: str = PREV, marks: DataFrame | None = None,
+) -> DataFrame:
     """``events`` with ``problem``: "broken link", "hash mismatch" or null.
 
     Digests are recomputed from the stored previous one, so rows are checked in parallel;
     only the comparison with the row before needs an order.  A chain ordered by one whole
     number is cut into ranges of it, whose last digests are handed on.
+
+    With ``marks`` (see ``marked``) only what came after a chain's mark is looked at: the first of
+    it must name the marked digest.  Whether what lies before still stands, a check without marks tells.
     """
+    marked_ = F.lit(None).cast("string")
+    if marks is not None:
+        events = events.join(marks.select(*chain, F.col("at").alias("_mark"), F.col("tip").alias("_marked")), chain, "left").filter(F.col("_mark").isNull() | (F.col(order[0]) > F.col("_mark")))
+        marked_ = F.col("_marked")
     ranged = len(order) == 1 and dict(events.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
     part = F.floor(F.col(order[0]) / RANGE) if ranged else F.lit(0)
     rows = events.withColumn("_part", part)
@@ -126,14 +135,42 @@ def checked(events: DataFrame, chain: list[str], order: list[str], fields: list[
     same = F.col("_part") == F.col("_at")
     for c in chain:
         same &= F.col(c).eqNullSafe(F.col(f"_at_{c}"))
-    linked = rows.join(ends, same, "left").withColumn("_before", F.when(F.col("_first"), F.col("_tip")).otherwise(F.col("_before")))
+    linked = rows.join(ends, same, "left").withColumn("_before", F.when(F.col("_first"), F.coalesce("_tip", marked_)).otherwise(F.col("_before")))
     problem = F.when(~F.col(prev).eqNullSafe(F.col("_before")), "broken link").when(~F.col(own).eqNullSafe(digest(fields, F.col(prev), nested, named)), "hash mismatch")
-    return linked.withColumn("problem", problem).select(*events.columns, "problem")
+    return linked.withColumn("problem", problem).select(*(c for c in events.columns if c not in ("_mark", "_marked")), "problem")
+
+
+def marked(events: DataFrame, chain: list[str], order: str, own: str = "hash", problems: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """Marks up to which chains are known to hold: (chain, at, tip, seen).
+
+    ``events`` are those that were checked now, after ``marks`` if there are any.  Chains with one of
+    ``problems`` keep the mark they had.
+    """
+    good = events if problems is None else events.join(problems.select(*chain).distinct(), chain, "left_anti")
+    new = good.groupBy(*chain).agg(F.max(order).alias("at"), F.max_by(own, order).alias("tip"), F.count(F.lit(1)).alias("seen"))
+    if marks is None:
+        return new
+    both = marks.join(new.select(*chain, *(F.col(c).alias(f"_{c}") for c in ("at", "tip", "seen"))), chain, "full")
+    return both.select(*chain, F.coalesce("_at", "at").alias("at"), F.coalesce("_tip", "tip").alias("tip"), (F.coalesce("seen", F.lit(0)) + F.coalesce("_seen", F.lit(0))).alias("seen"))
+
+
+def report(**problems: DataFrame) -> DataFrame:
+    """One row for each named set of checked events: ok, how many problems there are, and the first of them as text.
+
+    Each frame holds ``problem`` and what tells the place; a set is ok if none has a problem.
+    """
+    out = None
+    for name, rows in problems.items():
+        bad = rows.filter("problem is not null")
+        place = F.to_json(F.struct(*bad.columns))
+        one = bad.agg(F.count(F.lit(1)).alias("problems"), F.min(place).alias("first")).select(F.lit(name).alias("chain"), (F.col("problems") == 0).alias("ok"), "problems", "first")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def first_break(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = ()) -> DataFrame:
+def first_break(events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = (), marks: DataFrame | None = None) -> DataFrame:
     """The first problem of each chain that has one."""
-    bad = checked(events, chain, order, fields, prev, own, nested).filter("problem is not null")
+    bad = checked(events, chain, order, fields, prev, own, nested, marks=marks).filter("problem is not null")
     return bad.groupBy(*chain).agg(F.min_by(F.struct(*order, "problem"), F.struct(*order)).alias("x")).select(*chain, "x.*")
 
 

@@ -141,6 +141,8 @@ class Binding:
     malformed: Callable[[str], Column]
     source: Column
     now: Column
+    #: What was given for a malformed field and what was expected: struct<raw, expected>.
+    error: Callable[[str], Column] | None = None
 
 
 def kind_of(t: T.DataType) -> str:

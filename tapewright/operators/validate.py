@@ -22,6 +22,7 @@ def record_binding(records: DataFrame, at: dt.datetime | str) -> Binding:
         lambda f: F.map_contains_key("field_errors", F.lit(f)),
         F.col("source_system"),
         clock(at),
+        lambda f: F.try_element_at("field_errors", F.lit(f)),
     )
 
 
@@ -29,24 +30,43 @@ def _kind(binding: Binding, types: dict[str, str], f: str) -> str:
     return "double" if types.get(f) == "double" else binding.kinds.get(f, "str")
 
 
-def outcome(rule: Rule, binding: Binding, types: dict[str, str]) -> Column:
-    """One rule's result on a row: verdict, fields touched and their values, blamed field, message."""
+#: How much a result tells: the verdict alone; fields, values and message; these with errors and what is out of scope.
+VERDICT, MESSAGE, DETAILS = range(3)
+ERROR = "struct<raw:string,expected:string>"
+
+
+def outcome(rule: Rule, binding: Binding, types: dict[str, str], tells: int = MESSAGE) -> Column:
+    """One rule's result on a row: the verdict and, as far as ``tells`` asks for it, what led to it.
+
+    ``MESSAGE`` adds the fields touched, their values, the blamed field and the message; ``DETAILS``
+    the errors of touched fields and those of them that the record's source doesn't supply.
+    """
     c = Compiler(binding).compile(rule.condition.node)
+    named = (F.lit(rule.code).alias("rule_code"), F.lit(rule.version).alias("rule_version"), F.lit(rule.severity).alias("severity"))
+    if tells == VERDICT:
+        return F.struct(*named, verdict(c).alias("result"))
     value = {f: F.when(binding.in_scope(f) & ~binding.malformed(f), text_of(binding.value(f), _kind(binding, types, f))) for f in _fields(rule.condition.node) if f in binding.kinds}
     touched = F.array_sort(c.touched)
     shown = lambda f: F.when(F.array_contains(touched, f), value[f]) if f in value else F.lit(None).cast("string")
     pairs = [F.struct(F.lit(f).alias("key"), shown(f).alias("value")) for f in sorted(value)]
     values = F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
     result = verdict(c)
+    more = ()
+    if tells == DETAILS:
+        asked = _fields(rule.condition.node)
+        no_error = F.lit(None).cast(ERROR)
+        bad = [F.struct(F.lit(f).alias("key"), F.when(F.array_contains(touched, f) & binding.malformed(f), binding.error(f) if binding.error else no_error).cast(ERROR).alias("value")) for f in sorted(asked) if f in binding.kinds]
+        errors = F.map_from_entries(F.filter(F.array(*bad), lambda e: e["value"].isNotNull())) if bad else F.create_map()
+        scope = F.filter(F.array(*(F.when(binding.in_scope(f), F.lit(f)) for f in asked if f in binding.kinds)), lambda f: f.isNotNull()) if asked else F.array()
+        more = (errors.cast(f"map<string,{ERROR}>").alias("field_errors"), out_of_scope(touched, scope.cast("array<string>")).alias("out_of_scope"))
     return F.struct(
-        F.lit(rule.code).alias("rule_code"),
-        F.lit(rule.version).alias("rule_version"),
-        F.lit(rule.severity).alias("severity"),
+        *named,
         result.alias("result"),
         touched.alias("touched"),
         values.cast("map<string,string>").alias("values"),
         F.when(F.size(touched) == 1, touched[0]).alias("field_name"),
         F.when(result == "fail", rendered(rule.message, shown)).alias("message"),
+        *more,
     )
 
 
@@ -59,22 +79,34 @@ def _fields(node: dict) -> list[str]:
     return list(dict.fromkeys(own + [f for p in parts for f in _fields(p)]))
 
 
-def run_rules(rows: DataFrame, rules: list[Rule], binding: Binding, keep: list[str], types: dict[str, str] | None = None) -> DataFrame:
+def run_rules(rows: DataFrame, rules: list[Rule], binding: Binding, keep: list[str], types: dict[str, str] | None = None, tells: int = MESSAGE) -> DataFrame:
     """A row for each (row, active row rule): ``keep`` and the outcome's columns.
 
     All rules are one projection over one scan; no join with the rules is needed.
     """
     types = types or dict(rows.dtypes)
-    outcomes = [outcome(r, binding, types) for r in sorted(rules, key=lambda r: (r.code, r.version)) if r.active and r.scope == "row"]
+    outcomes = [outcome(r, binding, types, tells) for r in sorted(rules, key=lambda r: (r.code, r.version)) if r.active and r.scope == "row"]
     return rows.select(*keep, F.inline(F.array(*outcomes)))
 
 
-def validate_records(records: DataFrame, rules: list[Rule], at: dt.datetime | str, origins: tuple[str, ...] = ("import",)) -> DataFrame:
+def tallied(rows: DataFrame, rules: list[Rule], binding: Binding) -> DataFrame:
+    """Counts of verdicts by active row rule, as ``tally`` gives them, in one aggregate over the rows: no row is repeated for its rules."""
+    active = [r for r in sorted(rules, key=lambda r: (r.code, r.version)) if r.active and r.scope == "row"]
+    verdicts = [verdict(Compiler(binding).compile(r.condition.node)) for r in active]
+    judged = rows.select(*(v.alias(f"v{i}") for i, v in enumerate(verdicts)))
+    counts = judged.agg(*(F.count_if(F.col(f"v{i}") == s).alias(f"v{i}_{s}") for i in range(len(active)) for s in VERDICTS))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(r.code).alias("rule_code"), F.lit(r.version).alias("rule_version"), *(F.col(f"v{i}_{s}").alias(s) for s in VERDICTS)) for i, r in enumerate(active)))))
+
+
+VERDICTS = ("pass", "fail", "not_applicable")
+
+
+def validate_records(records: DataFrame, rules: list[Rule], at: dt.datetime | str, origins: tuple[str, ...] = ("import",), tells: int = MESSAGE) -> DataFrame:
     """Row-rule results of canonical records; human edits take part only if asked."""
     mine = records.filter(F.col("origin").isin(*origins)) if "origin" in records.columns else records
     types = {f.name: f.dataType.simpleString() for f in records.schema["data"].dataType}
     keep = [c for c in ("raw_record_id", "raw_file_id", "source_system", "version") if c in records.columns]
-    return run_rules(mine, rules, record_binding(records, at), [F.col("data.loan_id").alias("loan_id"), *keep], types)
+    return run_rules(mine, rules, record_binding(records, at), [F.col("data.loan_id").alias("loan_id"), *keep], types, tells)
 
 
 def validate_dataset(records: DataFrame, rules: list[Rule]) -> DataFrame:

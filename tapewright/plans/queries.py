@@ -40,7 +40,9 @@ def _n(df: DataFrame, *by: str) -> DataFrame:
 
 
 def _tally(rows: DataFrame, rules: list[Rule], source: Column | None = None) -> DataFrame:
-    return _n(validate.run_rules(rows, rules, plain(rows, CLOCK, source), []), "rule_code", "result")
+    counts = validate.tallied(rows, rules, plain(rows, CLOCK, source))
+    pairs = F.array(*(F.struct(F.lit(s).alias("result"), F.col(s).alias("n")) for s in validate.VERDICTS))
+    return counts.select("rule_code", F.inline(pairs)).filter("n > 0")
 
 
 def _verdict_sql(rules: dict[str, str], source: str) -> str:

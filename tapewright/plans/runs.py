@@ -39,10 +39,8 @@ def verify_folder(
 
     def records() -> Tables:
         found, errors = landing_table.records(raw)
-        order = ["file_seq", "row_number"]
-        numbers = spark.createDataFrame([(f, i) for i, f in enumerate(_in_order(raw))], "raw_file_id string, file_seq int")
-        numbered = found.join(F.broadcast(numbers), "raw_file_id").withColumn("loan_id", F.col("data.loan_id"))
-        return {"records": tapes.versioned(numbered, ["loan_id", "source_system"], order).withColumn("origin", F.lit("import")), "errors": errors}
+        named = found.withColumn("loan_id", F.col("data.loan_id"))
+        return {"records": tapes.versioned(named, ["loan_id", "source_system"], list(landing_table.ORDER)).withColumn("origin", F.lit("import")), "errors": errors}
 
     one = ledger.once("records", files, records, force)
 
@@ -108,11 +106,6 @@ def decided(spark: SparkSession, folder: str, decisions: DataFrame, rules: list[
     return done
 
 
-def _in_order(raw: LandingTable) -> list[str]:
-    """Ids of files in the order they landed, which never changes: later files get later versions."""
-    return [r[0] for r in raw.manifest().orderBy("batch_no", "file_no").select("raw_file_id").collect()]
-
-
 def _dataset(records: DataFrame, rules: list[contracts.Rule]) -> DataFrame:
     out = validate.validate_dataset(records, rules)
     if out is None:  # no such rules

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import FIELD_TYPES, Rule, trust_table
-from ..operators import canonical, edits, minting, resolve, trust
-from ..operators.conditions import fields
+from ..operators import canonical, chain, edits, minting, resolve, trust, validate
+from ..operators.conditions import all_of, fields
 from ..sources import landing_table
 from ..sources.landing_table import LandingTable, Upload
 from ..sources.shared import new_path, written
@@ -16,6 +16,7 @@ from ..sources.tapes import ERRORS, SPARK_TYPES
 from . import runs
 from .ledger import Ledger
 from .queries import _BLEND_SQL, _EXCEPTIONS_SQL, _TRUST, CLOCK, _exceptions, _scores, _sources, register
+from .view_queries import _CHAIN, _CHAIN_SQL, _chained
 
 f = fields()
 _FIELDS = {"balance": "current_balance", "segment": "property_type"}
@@ -328,3 +329,64 @@ def ledger_runs(spark: SparkSession, d: str) -> DataFrame:
         counts = one if counts is None else counts.unionByName(one)
     landed = LandingTable(spark, f"{folder}/raw").manifest().agg(F.sum("row_count").alias("n")).select(F.lit(1).cast("long").alias("run"), F.lit("rows").alias("what"), "n")
     return spark.createDataFrame(said, "run long, what string, n long").unionByName(counts).unionByName(landed)
+
+
+# --- verdicts in detail, chains on growing logs ---------------------------------------------------
+
+
+def _scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as records: every second source declares no status, every fifth principal is malformed, some are blank."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        k.alias("loan_id"), F.lit("core").alias("source_system"), F.lit(1).alias("version"), F.when((k % 5 != 0) & (k % 7 != 0), F.col("o_totalprice")).alias("original_principal"),
+        (F.col("o_totalprice") / 2).alias("current_balance"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("payment_status"), k.alias("_k"),
+    )
+    records = _as_records(rows)
+    n = F.col("loan_id")
+    wrong = F.create_map(F.lit("original_principal"), F.struct(F.concat(F.lit("x"), n.cast("string")).alias("raw"), F.lit("float").alias("expected")))
+    scope = F.when(n % 2 == 0, F.array(*map(F.lit, ("loan_id", "original_principal", "current_balance", "payment_status")))).otherwise(F.array(*map(F.lit, ("loan_id", "original_principal", "current_balance"))))
+    return records.withColumn("field_errors", F.when(n % 5 == 0, wrong.cast(ERRORS)).otherwise(F.create_map().cast(ERRORS))).withColumn("in_scope", scope)
+
+
+_SCOPED_SQL = """s AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS bad, o_orderkey % 2 = 0 AS declared, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN o_totalprice END AS p, o_totalprice / 2 AS b, o_orderstatus AS st FROM orders),
+  judged AS (SELECT *, p > 100000 AS v1, CASE WHEN declared THEN st <> 'F' END AS v2 FROM s)"""
+
+
+@register(
+    f"""WITH {_SCOPED_SQL} SELECT k AS loan_id, CASE WHEN v1 = false THEN 'fail' WHEN v2 = false THEN 'fail' WHEN v1 AND v2 THEN 'pass' ELSE 'not_applicable' END AS result,
+      CASE WHEN v1 = false THEN 'original_principal' ELSE 'original_principal,payment_status' END AS touched, CASE WHEN bad THEN 'original_principal=x' || k || '/float' ELSE '' END AS field_errors,
+      CASE WHEN (v1 IS NULL OR v1) AND NOT declared THEN 'payment_status' ELSE '' END AS out_of_scope FROM judged"""
+)
+def rule_details(spark: SparkSession, d: str) -> DataFrame:
+    """What led to a verdict on records with gaps: fields that the source doesn't supply, and cells that couldn't be read."""
+    rules = [Rule("R", "HIGH", "", all_of(f.original_principal > 100000, f.payment_status.differs("F")))]
+    out = validate.validate_records(_scoped(spark, d), rules, CLOCK, tells=validate.DETAILS)
+    errors = F.array_join(F.transform(F.map_entries("field_errors"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["raw"], F.lit("/"), e["value"]["expected"])), ",")
+    return out.select(F.col("loan_id").cast("long").alias("loan_id"), "result", F.array_join("touched", ",").alias("touched"), errors.alias("field_errors"), F.array_join("out_of_scope", ",").alias("out_of_scope"))
+
+
+@register(
+    f"""{_CHAIN_SQL}, seen AS (SELECT user_id, count(*) AS seen, max(event_id) AS till FROM c WHERE event_id <= 6000 GROUP BY user_id), bad AS (SELECT user_id, event_id FROM c WHERE event_id % 89 = 0)
+      SELECT 'since' AS part, user_id, min(event_id) AS event_id, 0 AS seen FROM bad WHERE event_id > coalesce((SELECT till FROM seen WHERE seen.user_id = bad.user_id), 0) GROUP BY user_id
+      UNION ALL SELECT 'full', user_id, min(event_id), 0 FROM bad GROUP BY user_id UNION ALL SELECT 'mark', user_id, till, seen FROM seen"""
+)
+def chains_since_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Logs that grew after a check: what came since is checked alone, and forgery before the mark is left to the full check."""
+    whole = _chained(spark, d)
+    before = whole.filter("event_id <= 6000")
+    good = chain.checked(before, *_CHAIN, nested=("after_value",)).filter("problem is not null")
+    marks = written(chain.marked(before, ["user_id"], "event_id", problems=good), "marks")
+    forged = whole.withColumn("event_type", F.when(F.col("event_id") % 89 == 0, "forged").otherwise(F.col("event_type")))
+    none = F.lit(0).cast("long").alias("seen")
+    since = chain.first_break(forged, *_CHAIN, nested=("after_value",), marks=marks).select(F.lit("since").alias("part"), "user_id", "event_id", none)
+    full = chain.first_break(forged, *_CHAIN, nested=("after_value",)).select(F.lit("full").alias("part"), "user_id", "event_id", none)
+    return since.unionByName(full).unionByName(marks.select(F.lit("mark").alias("part"), "user_id", F.col("at").alias("event_id"), "seen"))
+
+
+@register(f"{_CHAIN_SQL} SELECT 'audit' AS chain, false AS ok, count(*) AS problems FROM c WHERE event_id % 89 = 0 UNION ALL SELECT 'records', true, 0")
+def chains_reported(spark: SparkSession, d: str) -> DataFrame:
+    """Audit and record chains in one result: the one forged, the other whole."""
+    audit = _chained(spark, d).withColumn("event_type", F.when(F.col("event_id") % 89 == 0, "forged").otherwise(F.col("event_type")))
+    records = chain.appended(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    whole = chain.checked(records, ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"]).select("o_custkey", "o_orderkey", "problem")
+    return chain.report(audit=chain.checked(audit, *_CHAIN, nested=("after_value",)).select("user_id", "event_id", "problem"), records=whole).select("chain", "ok", "problems")

@@ -173,13 +173,6 @@ def newest_usable_suggestion(spark: SparkSession, d: str) -> DataFrame:
     return assist.newest_usable(rows).select("exception_id", "recommendation_id")
 
 
-@register("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['b'] ELSE ['a', 'b'] END AS out_of_scope FROM orders")
-def out_of_scope_fields(spark: SparkSession, d: str) -> DataFrame:
-    touched = F.array(F.lit("b"), F.lit("a"), F.lit("c"))
-    scope = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("c")))
-    return table(spark, d, "orders").select("o_orderkey", validate.out_of_scope(touched, scope).alias("out_of_scope"))
-
-
 #: English, and the same complaint turned round in SQL, over the columns that stand for the fields.
 _ENGLISH = {
     "principal is missing": "CASE WHEN o_totalprice IS NULL THEN false ELSE true END",

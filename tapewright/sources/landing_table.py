@@ -20,6 +20,9 @@ from .shared import file_system
 
 MANIFEST = "batch string, batch_no long, file_no int, raw_file_id string, sha256 string, file_name string, kind string, source_system string, headers array<string>, row_count long, parsed_count long, failed_count long, status string"
 
+#: The order of rows, which later files never change.
+ORDER = ("batch_no", "file_no", "row_number")
+
 
 @dataclass(frozen=True)
 class Upload:
@@ -74,11 +77,15 @@ class LandingTable:
         return self.spark.read.schema(MANIFEST).json(files) if files else self.spark.createDataFrame([], MANIFEST)
 
     def rows(self) -> DataFrame:
-        """Raw rows of all files that have landed."""
-        folders = [f"{self.path}/data/{b}" for _, b in self.batches()]
+        """Raw rows of all files that have landed, with their place: number of the batch and of the file in it."""
+        folders = [f"{self.path}/data/{n:08d}-{b}" for n, b in self.batches()]
         if not folders:
             return self.spark.createDataFrame([], self._schema())
-        return self.spark.read.schema(self._schema()).option("basePath", f"{self.path}/data").parquet(*folders)
+        return self.spark.read.schema(self._schema()).parquet(*folders)
+
+    def stream(self, batches_at_once: int = 1) -> DataFrame:
+        """Raw rows as they land, as a stream."""
+        return self.spark.readStream.schema(self._schema()).option("maxFilesPerTrigger", 1000 * batches_at_once).parquet(f"{self.path}/data/*")
 
     def digest(self) -> str:
         """Changes with what has landed and with nothing else; no job over the rows."""
@@ -86,7 +93,7 @@ class LandingTable:
 
     @staticmethod
     def _schema() -> str:
-        return "raw_file_id string, row_number int, raw_record_id string, source_system string, payload map<string,string>, parse_error string"
+        return "raw_file_id string, row_number int, raw_record_id string, source_system string, payload map<string,string>, parse_error string, batch_no long, file_no int"
 
     def land(self, uploads: list[Upload], force: bool = False) -> list[dict]:
         """Land those files whose content hasn't landed yet (all of them with ``force``); their manifest rows.
@@ -97,14 +104,15 @@ class LandingTable:
         if not fresh:
             return []
         batch = hashlib.sha256("\n".join(sorted(f["raw_file_id"] for f in fresh)).encode()).hexdigest()[:32]
-        staged, placed = f"{self.path}/staging/{batch}", f"{self.path}/data/{batch}"
-        self._rows_of(fresh).write.mode("overwrite").parquet(staged)
+        number = 1 + max((n for n, _ in self.batches()), default=0)
+        staged, placed = f"{self.path}/staging/{batch}", f"{self.path}/data/{number:08d}-{batch}"
+        self._rows_of(fresh).withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(staged)
         counted = {r["raw_file_id"]: r for r in tapes.counters(self.spark.read.schema(self._schema()).parquet(staged)).collect()}
         fs, where = file_system(self.spark, placed)
         fs.delete(where, True)  # of a run that was killed before its manifest
         renamed(self.spark, staged, placed)
         none = {"row_count": 0, "parsed_count": 0, "failed_count": 0}
-        lines, number = [], 1 + max((n for n, _ in self.batches()), default=0)
+        lines = []
         for i, f in enumerate(fresh):
             n = counted[f["raw_file_id"]].asDict() if f["raw_file_id"] in counted else none
             lines.append({"batch": batch, "batch_no": number, "file_no": i, **{k: f[k] for k in ("raw_file_id", "sha256", "file_name", "kind", "source_system", "headers")}, **{k: n[k] for k in none}, "status": "completed"})
@@ -141,13 +149,14 @@ class LandingTable:
 
     def _rows_of(self, files: list[dict]) -> DataFrame:
         layouts: dict[tuple, list[dict]] = {}
-        for f in files:
+        for i, f in enumerate(files):
+            f = f | {"file_no": i}
             layouts.setdefault((f["kind"], *f["headers"]), []).append(f)
         rows = None
         for (kind, *headers), some in layouts.items():
-            ids = self.spark.createDataFrame([(f["file"], f["raw_file_id"]) for f in some], "_file string, _id string")
+            ids = self.spark.createDataFrame([(f["file"], f["raw_file_id"], f["file_no"]) for f in some], "_file string, _id string, _no int")
             lines = tapes.read_lines(self.spark, [f["path"] for f in some], headers).join(F.broadcast(ids), "_file")
-            part = tapes.landed(lines, F.col("_id"), kind, headers)
+            part = tapes.landed(lines, F.col("_id"), kind, headers, keep={"file_no": F.col("_no")})
             rows = part if rows is None else rows.unionByName(part)
         return rows
 

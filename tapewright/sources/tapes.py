@@ -71,11 +71,11 @@ def latest_upload(registry: DataFrame) -> DataFrame:
     return registry.filter("status <> 'failed'").groupBy("sha256").agg(F.max_by(F.struct("raw_file_id", "status", "uploaded_at"), "uploaded_at").alias("x")).select("sha256", "x.*")
 
 
-def landed(lines: DataFrame, raw_file_id: str | Column, kind: str, headers: list[str], by_file: bool = False) -> DataFrame:
+def landed(lines: DataFrame, raw_file_id: str | Column, kind: str, headers: list[str], by_file: bool = False, keep: dict[str, Column] | None = None) -> DataFrame:
     """Raw rows as they are stored: payload by header, error, and their file.
 
     The lines of a folder need ``by_file``: the name of each file then follows ``raw_file_id``.
-    A column of ``lines`` may name each row's file instead.
+    A column of ``lines`` may name each row's file instead; ``keep`` adds columns.
     """
     if kind not in contracts.FILE_SOURCES:
         raise ValueError(f"unknown file kind: {kind!r}")
@@ -89,6 +89,7 @@ def landed(lines: DataFrame, raw_file_id: str | Column, kind: str, headers: list
         F.lit(contracts.FILE_SOURCES[kind]).alias("source_system"),
         payload.alias("payload"),
         F.col("_error").alias("parse_error"),
+        *(c.alias(name) for name, c in (keep or {}).items()),
     )
 
 
@@ -145,6 +146,7 @@ def normalised(raw: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
         F.coalesce(found.cast(ERRORS), F.create_map().cast(ERRORS)).alias("field_errors"),
         F.array(*map(F.lit, source)).cast("array<string>").alias("in_scope"),
         effective.alias("effective_at"),
+        *(c for c in ("batch_no", "file_no") if c in raw.columns),
     )
 
 

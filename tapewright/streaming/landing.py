@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import contracts
-from ..sources import tapes
+from ..operators import chain
+from ..sources import landing_table, tapes
 
 
 def stream_rows(spark: SparkSession, folder: str, headers: list[str], files_per_batch: int = 100) -> DataFrame:
@@ -40,3 +44,42 @@ def watch(records: DataFrame, checkpoint: str, each: Callable[[DataFrame, int],
 def running_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events a window and key, finished when the watermark has passed."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: What is kept of a loan between micro-batches: the place of its last row, versions by source, number and digest of its last link.
+STATE = "batch_no long, file_no int, row_number int, sources array<string>, versions array<long>, seq long, tip string"
+
+
+def linked_versions(records: DataFrame, fields: list[str]) -> DataFrame:
+    """Streamed records with the ``version`` of their (loan, source) and their link in the loan's chain: seq, prev_hash, hash.
+
+    ``records``: loan_id, source_system, batch_no, file_no, row_number and the text columns ``fields``
+    that the digest covers; other columns are dropped.  Versions and links go on from what earlier
+    micro-batches left in the state, which holds a loan's few sources and no rows.  Rows at or before a
+    loan's last place were counted already (a batch that landed again after a kill) and give nothing.
+    The result is that of the batch functions ``tapes.versioned`` and ``chain.appended`` over all
+    rows in the order of landing, provided that batches arrive in that order.
+    """
+    keep = list(dict.fromkeys(["loan_id", "source_system", *landing_table.ORDER, *fields]))
+    keys = sorted([*fields, chain.PREV])
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(list(landing_table.ORDER))
+        batch_no, file_no, row_number, sources, versions, seq, tip = state.get if state.exists else (-1, -1, -1, [], [], 0, None)
+        place, last = (batch_no, file_no, row_number), dict(zip(sources, versions, strict=True))
+        out = []
+        for r in rows.to_dict("records"):
+            here = tuple(int(r[c]) for c in landing_table.ORDER)
+            if here <= place:
+                continue
+            place, seq = here, seq + 1
+            version = last[r["source_system"]] = last.get(r["source_system"], 0) + 1
+            told = {f: r[f] for f in fields} | {chain.PREV: tip}
+            before, tip = tip, hashlib.sha256(chain.canonical_json({k: told[k] for k in keys}).encode()).hexdigest()
+            out.append((*(r[c] for c in keep), version, seq, before, tip))
+        state.update((*place, list(last), list(last.values()), seq, tip))
+        yield pd.DataFrame(out, columns=[*keep, "version", "seq", "prev_hash", "hash"])
+
+    types = {c: t for c, t in records.dtypes}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", version long, seq long, prev_hash string, hash string"
+    return records.select(*keep).groupBy("loan_id").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
