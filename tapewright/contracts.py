@@ -132,6 +132,7 @@ class Rule:
         return "row" if self.check is None else "dataset"
 
 
+# --- fixed values: codes, severities, messages and settings of the seed rules -----
 def seed_rules() -> list[Rule]:
     """The eighteen seed rules; a condition holds for a record that is fine."""
     f = fields()
@@ -161,6 +162,9 @@ def seed_rules() -> list[Rule]:
     return row + dataset
 
 
+# -----------------------------------------------------------------------------------
+
+
 def trust_table(spark: SparkSession, rows: list[tuple[str, str | None, int]] | None = None) -> DataFrame:
     """(source_system, field_name, trust): a few rows of policy, as data."""
     return spark.createDataFrame(rows or SOURCE_TRUST, "source_system string, field_name string, trust int")
