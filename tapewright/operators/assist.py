@@ -117,5 +117,3 @@ def newest_recommendation(recommendations: DataFrame) -> DataFrame:
     n = recommendations.groupBy("exception_id", "action_type").agg((F.count(F.lit(1)) - 1).alias("earlier_runs"))
     return newest_versions(recommendations, ["exception_id", "action_type"], "created_at").join(n, ["exception_id", "action_type"])
 
-
-RANK = severity_rank

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.canonical import newest_versions
@@ -25,6 +25,13 @@ def page(df: DataFrame, order: list[Column | str], number: int = 1, per_page: in
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def paged(df: DataFrame, order: list[Column | str], number: int = 1, per_page: int = PER_PAGE) -> DataFrame:
+    """A page with ``total_rows`` and ``total_pages`` of all that was filtered; counted apart, so the page stays a top-n."""
+    size = max(1, min(MOST, per_page))
+    total = df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("total_pages", F.ceil(F.col("total_rows") / size))
+    return page(df, order, number, per_page).join(F.broadcast(total), F.lit(True))  # one row
+
+
 def page_count(total: int, per_page: int = PER_PAGE) -> int:
     size = max(1, min(MOST, per_page))
     return -(-total // size)
@@ -71,18 +78,35 @@ def loans(
     return joined.withColumn("open_exceptions", F.coalesce("open_exceptions", F.lit(0)))
 
 
-def loan_detail(loan_id: str, records: DataFrame, exceptions: DataFrame, results: DataFrame, verified: DataFrame) -> dict[str, DataFrame]:
-    """A loan's latest record of each source, exceptions by kind, verdict counts and versions."""
-    mine = lambda df: df.filter(F.col("loan_id") == loan_id)
+def details(records: DataFrame, exceptions: DataFrame, results: DataFrame, verified: DataFrame) -> dict[str, DataFrame]:
+    """Of every loan: the latest record of each source, exceptions by kind, verdict counts and versions."""
     n = lambda s: F.count_if(F.col("result") == s).alias(s)
     return {
-        "records": newest_versions(mine(records), ["source_system"], "version"),
-        "exceptions": mine(exceptions).groupBy("exception_type", "severity", "status").agg(F.count(F.lit(1)).alias("n")),
-        "validation": mine(results).agg(n("pass"), n("fail"), n("not_applicable")),
-        "verified": mine(verified).orderBy(F.desc("version")),
+        "records": newest_versions(records, ["loan_id", "source_system"], "version"),
+        "exceptions": exceptions.groupBy("loan_id", "exception_type", "severity", "status").agg(F.count(F.lit(1)).alias("n")),
+        "validation": results.groupBy("loan_id").agg(n("pass"), n("fail"), n("not_applicable")),
+        "verified": verified,
     }
 
 
+def loan_detail(loan_id: str, records: DataFrame, exceptions: DataFrame, results: DataFrame, verified: DataFrame) -> dict[str, DataFrame]:
+    """``details`` of one loan, its versions newest first."""
+    mine = {name: df.filter(F.col("loan_id") == loan_id) for name, df in details(records, exceptions, results, verified).items()}
+    return mine | {"verified": mine["verified"].orderBy(F.desc("version"))}
+
+
+def timelines(key: str, *streams: tuple[str, DataFrame, str]) -> DataFrame:
+    """``timeline`` of every entity at once, with the ``place`` of each event in its entity's own."""
+    parts = [df.withColumn("kind", F.lit(kind)).withColumn("kind_order", F.lit(i)).withColumn("at", F.col(at)).select(key, "kind", "kind_order", "ref", "at") for i, (kind, df, at) in enumerate(streams)]
+    both = reduce(lambda a, b: a.unionByName(b), parts)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at", "kind_order", "ref")))
+
+
+def by_source(records: DataFrame, key: str, value: str, sources: list[str]) -> DataFrame:
+    """One row per entity with each source's largest value in a column of the source's name, from one pass."""
+    return records.groupBy(key).agg(*(F.max(F.when(F.col("source_system") == s, F.col(value))).alias(s) for s in sources))
+
+
 def timeline(*streams: tuple[str, DataFrame, str]) -> DataFrame:
     """One stream of events in time order: (kind, rows, time column) each; ties by kind and ``ref``."""
     parts = [df.withColumn("kind", F.lit(kind)).withColumn("kind_order", F.lit(i)).withColumn("at", F.col(at)) for i, (kind, df, at) in enumerate(streams)]
@@ -144,11 +168,19 @@ def enriched(exceptions: DataFrame, loans_: DataFrame, rules: DataFrame, users:
     return out.join(users.select(F.col("user_id").alias("assigned_to"), F.col("name").alias("assignee")), "assigned_to", "left")
 
 
+def exception_details(exceptions: DataFrame, results: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """Every exception with the newest verdict of its rule on its loan, and how many recommendations it has."""
+    judged = newest_versions(results, ["loan_id", "rule_code"], "evaluated_at").select("loan_id", "rule_code", F.struct(*(c for c in results.columns if c not in ("loan_id", "rule_code"))).alias("result"))
+    n = recommendations.groupBy("exception_id").agg(F.count(F.lit(1)).alias("recommendations"))
+    return exceptions.join(judged, ["loan_id", "rule_code"], "left").join(n, "exception_id", "left").withColumn("recommendations", F.coalesce("recommendations", F.lit(0).cast("long")))
+
+
 def exception_detail(exception_id: str, exceptions: DataFrame, results: DataFrame, recommendations: DataFrame) -> dict[str, DataFrame]:
-    """An exception with the newest result of its rule on its record, and its recommendations."""
+    """One exception as ``exception_details`` shows it, and its recommendations."""
     one = exceptions.filter(F.col("exception_id") == exception_id)
     judged = results.join(one.select("loan_id", "rule_code"), ["loan_id", "rule_code"], "left_semi")
-    return {"exception": one, "result": newest_versions(judged, ["loan_id", "rule_code"], "evaluated_at"), "recommendations": recommendations.filter(F.col("exception_id") == exception_id)}
+    mine = recommendations.filter(F.col("exception_id") == exception_id)
+    return {"exception": exception_details(one, judged, mine), "recommendations": mine}
 
 
 def clusters(clusters_: DataFrame, exceptions: DataFrame) -> DataFrame:

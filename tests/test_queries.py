@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tapewright.plans import queries as core
-from tapewright.plans import view_queries  # noqa: F401
+from tapewright.plans import state_queries, surface_queries, view_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
