@@ -7,7 +7,8 @@ known pair.  Words are distinct pieces of a batch of texts, so a piece that
 occurs a million times is merged once per cache life.
 
 Results equal those of the ``tokenizers`` library for byte-level BPE files
-without special post-processing; ``tests/llm/test_bpe.py`` compares them.
+without special post-processing; ``tests/llm/test_tokens.py`` compares them.  Words of more
+than ``LONG_WORD`` bytes leave the rounds for a heap of the same merges, with the same ids.
 """
 
 from __future__ import annotations
@@ -20,17 +21,18 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PartCache, as_bytes, text_batches
+from .pretokens import PartCache, as_bytes, slices
 
 _NONE = np.int64(1) << 60
 #: Words of more bytes are merged with a heap: rounds would pass over all their symbols again and again.
 LONG_WORD = 2048
-#: Distinct pieces whose ids a worker keeps; it starts afresh beyond them.
-PIECES = 300_000
+#: Distinct pieces and parts whose ids a worker keeps; it lets go of old ones beyond them.
+PIECES, PARTS = 100_000, 120_000
 
 
 def _byte_letters() -> list[str]:
@@ -182,7 +184,7 @@ def codec(path: str) -> tuple[Merges, PartCache]:
         known.update(zip(fresh, map(as_bytes, merges.merge_words([p.encode() for p in fresh])), strict=True))
         return [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in found]
 
-    return merges, PartCache(pieces, lambda text: pieces([text])[0], merges.special)
+    return merges, PartCache(pieces, lambda text: pieces([text])[0], merges.special, PARTS)
 
 
 def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
@@ -193,19 +195,24 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFra
     repeated rows give repeated results; other columns are not read.  No shuffle.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, cache = codec(path)
         for batch in batches:
-            texts = [x if isinstance(x, str) else "" for x in batch]
-            out = []
-            for some in text_batches(texts):
-                for raw in cache.encode_batch(texts[some]):
-                    ids = np.frombuffer(raw, np.uint32).tolist()
-                    decimal = ",".join(map(merges.decimal.__getitem__, ids))
-                    row = (len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(merges.decode(ids).encode()).hexdigest())
-                    out.append((*row, ids) if keep_ids else row)
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.withColumn("_coded", coded("text")).select("doc_id", "_coded.*")
+            ids_of, texts = batch.column(0), batch.column(1)
+            # texts become Python strings a few at a time: a batch of whole texts is large
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for part in slices(sizes.tolist()):
+                counts, digests, decoded, kept = [], [], [], []
+                for raw in cache.encode_batch(texts[part].to_pylist()):
+                    ids = np.frombuffer(raw, np.uint32)
+                    listed = ids.tolist()
+                    counts.append(len(listed))
+                    digests.append(hashlib.sha256(",".join(map(merges.decimal.__getitem__, listed)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(merges.decode(listed).encode()).hexdigest())
+                    if keep_ids:
+                        kept.append(ids.astype(np.int32))
+                columns = [ids_of[part], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(coded, schema)

@@ -115,12 +115,17 @@ class PartCache:
         return [*out, (text[at:], None)]
 
 
-def text_batches(texts: list[str | None], chars: int = 1_000_000) -> list[slice]:
-    """Slices of a list of texts of about so many characters, one text at least."""
+def slices(sizes: list[int], most: int = 1_000_000) -> list[slice]:
+    """Slices of a list of things of those sizes, of about ``most`` in all, one thing at least."""
     cuts, room = [0], 0
-    for i, x in enumerate(texts):
-        room += len(x or "")
-        if room >= chars and i + 1 < len(texts):
+    for i, size in enumerate(sizes):
+        room += size
+        if room >= most and i + 1 < len(sizes):
             cuts.append(i + 1)
             room = 0
-    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True)]
+    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True)]
+
+
+def text_batches(texts: list[str | None], chars: int = 1_000_000) -> list[slice]:
+    """Slices of a list of texts of about so many characters, one text at least."""
+    return slices([len(x or "") for x in texts], chars)
