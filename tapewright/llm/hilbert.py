@@ -73,8 +73,9 @@ def shards(docs: DataFrame, n: int = 8, bits: int = 5) -> DataFrame:
     """Place every document in one of ``n`` shards, runs of the curve whose row counts differ by one at most.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law ("rows"), shard,
-    slot (from 0 in each shard), grown_shard (null) and curve.  Within a cell, copies of a
-    text lie together.  A null text has size 1 and the checksum of no bytes; a null doc_id,
+    slot (from 0 in each shard), grown_shard (null) and curve.  Within a share of a cell copies of a
+    text lie together; cells of many rows are dealt to shares by doc_id and length, and rows
+    that repeat both share one.  A null text has size 1 and the checksum of no bytes; a null doc_id,
     lang, source or n_chars has a place like any other value; repeated rows get places of
     their own; other columns are not read; an empty table gives an empty result.
     """
@@ -97,11 +98,18 @@ def shards(docs: DataFrame, n: int = 8, bits: int = 5) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, out: str, n: int = 8, bits: int = 5) -> None:
-    """Write whole rows of ``docs`` as one folder a shard, in curve order within each file.
+    """Write whole rows of ``docs`` as one folder a shard, the shards that ``shards`` gives, in curve order within each file.
 
     Files hold neighbouring cells only, so their min and max statistics prune by language,
-    source and length alike.  The curve is recomputed from the row, without moving texts twice.
+    source and length alike.  Rows go to files by ranges of their place on the curve, so a shard
+    may have many files and no task writes a whole one.  Columns of any names are kept; the folders are named
+    shard, with _ behind it until it is no column of ``docs``.
     """
-    dims = [f"_q{i}" for i in range(3)]
-    rows = docs.select("*", *(c.alias(d) for c, d in zip(document_dimensions(bits), dims, strict=True))).withColumn("_curve", hilbert_index(dims, bits)).drop(*dims)
-    rows.repartitionByRange(n, "_curve", F.xxhash64("text")).sortWithinPartitions("_curve").withColumn("_shard", F.spark_partition_id()).drop("_curve").write.partitionBy("_shard").parquet(out)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.array(*document_dimensions(bits)).alias("cell"), F.xxhash64("doc_id", "n_chars").alias("spread"), F.struct(F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("d")).alias("tie"))
+    placed = curve_positions(rows, 3, bits)
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    dealt = placed.select("doc", "position", F.expr(f"position * {n} div total").cast("int").alias("part"))
+    ordered = dealt.repartitionByRange("position").sortWithinPartitions("position")
+    ordered.select("doc.*", F.col("part").alias(name)).write.partitionBy(name).parquet(out)

@@ -174,13 +174,14 @@ def mix(docs: DataFrame, plan: Plan, keep: list[str], domain: Callable[[Column],
     taken = placed.select(*out, F.explode(epochs).alias("epoch"))
     if ends.filter("k > 0").isEmpty():
         return taken
-    # some, not all, of rows that are alike to the order: so many of each partition's
-    alike = placed.filter((F.col("order") == F.col("cut")) & (F.col("tokens") == F.col("cut_tokens")) & (F.col("k") > 0)).withColumn("part", F.spark_partition_id())
-    parts = alike.groupBy(*LEAF, "part").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"))
-    earlier = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("part")) - F.col("n")
-    parts = parts.select(*LEAF, "part", (F.col("k") - earlier).alias("most")).filter("most > 0")
-    numbered = alike.withColumn("number", F.row_number().over(Window.partitionBy(*LEAF, "part").orderBy("id")))
-    some = numbered.join(parts, [*LEAF, "part"]).filter("number <= most").select(*out, F.col("whole").alias("epoch"))
+    # some, not all, of rows that are alike to the order: equal ones are counted and given out again, others go by their hash
+    told = [F.to_json(F.struct(c)) if "map<" in placed.select(c).dtypes[0][1] else c for c in [*(F.col(f"keep_{c}") for c in keep), F.col("domain"), F.col("tokens")]]
+    alike = placed.filter((F.col("order") == F.col("cut")) & (F.col("tokens") == F.col("cut_tokens")) & (F.col("k") > 0))
+    hashed = alike.select(*LEAF, "whole", "k", F.struct(*out).alias("row"), F.struct(F.xxhash64(*told), F.xxhash64(F.lit(1), *told)).alias("h"))
+    equal = hashed.groupBy(*LEAF, "h").agg(F.first("row").alias("row"), F.first("whole").alias("whole"), F.first("k").alias("k"), F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("h")) - F.col("n")
+    most = equal.withColumn("most", F.least("n", F.col("k") - earlier)).filter("most > 0")
+    some = most.select(F.explode(F.array_repeat("row", F.col("most").cast("int"))).alias("row"), "whole").select("row.*", F.col("whole").alias("epoch"))
     return taken.unionByName(some)
 
 

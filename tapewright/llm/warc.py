@@ -128,9 +128,16 @@ def record_bytes(spark: SparkSession, out: str) -> DataFrame:
 def write_and_read(pages: DataFrame, least: int = 0) -> DataFrame:
     """Archive ``pages`` and read it back: page_id, payload_bytes, payload_digest, record_type, refers_to, verified.
 
-    An empty table gives an empty archive; other columns are not read.
+    An empty table gives an empty archive; other columns are not read.  A payload that no longer
+    has the digests and length it is filed under ends the job.
     """
     spark = pages.sparkSession
     out = new_path(spark, "warc")
     write(pages, out, least)
-    return read(spark, out).drop("url")
+    return verified(read(spark, out)).drop("url")
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """Records as ``read`` gives them; one that isn't verified ends the job."""
+    wrong = F.raise_error(F.concat(F.lit("payload differs from its digest: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id"))))
+    return records.filter(F.when(F.coalesce("verified", F.lit(False)), True).otherwise(wrong))

@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tapewright.llm.html_text import extract, main_text
@@ -126,3 +127,24 @@ def test_archive(spark, small, tmp_path):
     length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length"))[16:])
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and len(rest) == length + 4 and rest.endswith(("ünï " * 9000).encode() + b"\r\n\r\n")
     assert b"WARC-Type: revisit" in warc[1] and b"same" not in warc[1]
+
+
+def test_ties_of_repeated_rows_are_counted_exactly(spark):
+    """Rows that the order can't tell apart: as many as the budget leaves, whichever way they are spread."""
+    rows = [(7, "one two", "en", "s1", i % 3) for i in range(40)] + [(i, "one two", "en", "s2", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mark int")
+    for parts in (1, 3, 7):
+        got = mix(docs.repartition(parts, "mark"), Plan(budget=0.3, epochs=1, seed=5), ["doc_id", "mark"]).collect()
+        # each of the two leaves may take 15 tokens: seven documents
+        assert sorted(r.tokens for r in got) == [2] * 14
+        marks = [r.mark for r in got if r.doc_id == 7]
+        assert len(marks) == 7 and all(marks.count(m) <= 14 for m in range(3))
+
+
+def test_a_changed_payload_ends_the_reading(spark):
+    from tapewright.llm.warc import verified
+
+    rows = spark.createDataFrame([(1, True), (None, True)], "page_id long, verified boolean")
+    assert verified(rows).count() == 2
+    with pytest.raises(Exception, match="differs from its digest: page 2"):
+        verified(rows.union(spark.createDataFrame([(2, None)], rows.schema))).collect()
