@@ -5,7 +5,7 @@ headers, footers and the like) leave empty lines behind, adverts and forms nothi
 text outside the article doesn't count.  The lengths of the lines are summed over sliding
 windows: text surges where a window's sum leaves zero and dives where it comes back.  A
 stretch between a surge and a dive holds text if its largest window reaches ``SURGE``
-characters or is the page's largest.  The article is all there is from the first such surge
+characters; on a page whose windows all stay below, every stretch does.  The article is all there is from the first such surge
 to the last such dive.  An article or main element with at least half of the page's text
 adds ``SURGE`` to each of its lines, so all of it belongs to the article.
 """
@@ -222,8 +222,7 @@ def main_text(page: str | None) -> str:
     if largest and size[largest] * 2 >= size.total():
         lines = [replace(x, weight=x.weight + SURGE) if x.text and x.article == largest else x for x in lines]
     found = stretches(lines)
-    best = max((s[2] for s in found), default=0)
-    kept = [s for s in found if s[2] >= min(SURGE, best)]
+    kept = [s for s in found if s[2] >= SURGE] or found
     return "\n\n".join(x.text for x in lines[kept[0][0] : kept[-1][1]] if x.text) if kept else ""
 
 
