@@ -369,3 +369,22 @@ def decisions_told(spark: SparkSession, d: str) -> DataFrame:
     back = resolve.corrections_requested(rows).select("loan_id", F.lit(True).alias("sent_back"))
     agreed = resolve.agreement(F.col("cited"), F.col("action"), F.col("stated"))
     return rows.join(back, "loan_id", "left").select("decision_id", F.when(agreed, "yes").when(~agreed, "no").otherwise("unsaid").alias("agreed"), F.coalesce("sent_back", F.lit(False)).alias("sent_back"))
+
+
+@register(
+    """WITH first AS (SELECT o_custkey % 50 AS h, count(*) FILTER (o_orderstatus <> 'P') AS good, max(o_orderkey) FILTER (o_orderstatus <> 'P') AS newest FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+      SELECT 'fresh' AS part, o_orderkey AS id, -1 AS latest FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey % 50 NOT IN (SELECT h FROM first WHERE good > 0)
+      UNION ALL SELECT 'newest', h, newest FROM first WHERE good > 0 UNION ALL SELECT 'unread', o_orderkey, -1 FROM orders WHERE o_orderkey % 7 NOT IN (SELECT DISTINCT l_linenumber FROM lineitem WHERE l_linenumber < 5)"""
+)
+def uploads_known(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose content is new, the newest upload of each content, and raw rows of files that have no records yet."""
+    orders = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    files = orders.select(k.alias("raw_file_id"), (F.col("o_custkey") % 50).alias("sha256"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("completed").alias("status"), k.alias("uploaded_at"))
+    registry = files.filter("raw_file_id % 3 = 0")
+    fresh = tapes.not_seen(files.filter("raw_file_id % 3 = 1"), registry).select(F.lit("fresh").alias("part"), F.col("raw_file_id").alias("id"), F.lit(-1).cast("long").alias("latest"))
+    newest = tapes.latest_upload(registry).select(F.lit("newest").alias("part"), F.col("sha256").alias("id"), F.col("raw_file_id").alias("latest"))
+    raw = orders.select(k.alias("id"), (k % 7).cast("int").alias("raw_file_id"))
+    done = table(spark, d, "lineitem").filter("l_linenumber < 5").select(F.col("l_linenumber").cast("int").alias("raw_file_id"))
+    unread = tapes.once_per_file(raw, done).select(F.lit("unread").alias("part"), "id", F.lit(-1).cast("long").alias("latest"))
+    return _union(fresh, newest, unread)

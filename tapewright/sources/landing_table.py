@@ -126,19 +126,20 @@ class LandingTable:
             if u.kind not in contracts.FILE_SOURCES:
                 raise ValueError(f"unknown file kind: {u.kind!r}")
         whole = lambda p: (lambda fs, at: fs.makeQualified(at).toString())(*file_system(self.spark, p))
-        read = self.spark.read.format("binaryFile").load([u.path for u in uploads])
-        hashed = {r["path"]: r for r in read.select("path", F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256")).collect()}
-        landed: dict[str, int] = {}
-        for r in self.manifest().filter("status <> 'failed'").groupBy("sha256").count().filter(F.col("sha256").isin(list({r["sha256"] for r in hashed.values()}))).collect():
-            landed[r["sha256"]] = r["count"]
-        known = {r["raw_file_id"] for r in self.manifest().select("raw_file_id").filter(F.col("raw_file_id").isin([u.raw_file_id for u in uploads if u.raw_file_id])).collect()} if any(u.raw_file_id for u in uploads) else set()
+        manifest = self.manifest()
+        fresh = tapes.not_seen(tapes.file_hashes(self.spark, [u.path for u in uploads]), manifest, force)
+        hashed = {r["path"]: r for r in fresh.collect()}
+        again = {}
+        if force:
+            mine = F.col("sha256").isin(list({r["sha256"] for r in hashed.values()}))
+            again = {r["sha256"]: r["count"] for r in manifest.filter("status <> 'failed'").filter(mine).groupBy("sha256").count().collect()}
+        known = {r["raw_file_id"] for r in manifest.select("raw_file_id").filter(F.col("raw_file_id").isin([u.raw_file_id for u in uploads if u.raw_file_id])).collect()} if any(u.raw_file_id for u in uploads) else set()
         out: dict[str, dict] = {}
         for u in uploads:
-            h = hashed[whole(u.path)]
-            if (h["sha256"] in landed and not force) or h["sha256"] in out:
+            h = hashed.get(whole(u.path))
+            if h is None or h["sha256"] in out:
                 continue
-            again = landed.get(h["sha256"], 0)
-            named = u.raw_file_id or h["sha256"][:32] + (f"-{again}" if again else "")
+            named = u.raw_file_id or h["sha256"][:32] + (f"-{again[h['sha256']]}" if h["sha256"] in again else "")
             if named in known:
                 raise ValueError(f"a file has landed under this id already: {named}")
             out[h["sha256"]] = {

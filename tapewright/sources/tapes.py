@@ -37,7 +37,9 @@ def read_lines(spark: SparkSession, path: str | list[str], headers: list[str]) -
     schema = T.StructType([T.StructField(h, T.StringType()) for h in [*headers, "_raw"]])
     options = {"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw", "enforceSchema": True}
     rows = spark.read.schema(schema).options(**options).csv(path)
-    cells = F.size(F.filter(F.split(F.col("_raw"), r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda x: x.isNotNull()))
+    # without what stands between quotation marks (two together are a mark within), what is left of commas sets cells apart
+    bare = F.regexp_replace(F.col("_raw"), '"[^"]*"', "")
+    cells = F.when(F.col("_raw").isNotNull(), F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(","), F.lit(""))) + 1)
     extra = cells - len(headers)
     missing = F.array_join(F.slice(F.array(*map(F.lit, headers)), cells + 1, F.greatest(-extra, F.lit(0))), ",")
     error = F.when(F.col("_raw").isNotNull(), F.when(extra > 0, F.concat(extra.cast("string"), F.lit(" extra column(s) beyond header"))).otherwise(F.concat(F.lit("missing column(s): "), missing)))
@@ -54,9 +56,9 @@ def headers_of(spark: SparkSession, path: str) -> list[str]:
     return [c.lstrip("﻿") for c in spark.read.options(header=True, multiLine=True).csv(path).columns]
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, length) of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
+def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, file, sha256, length) of whole files; ``file`` is the name that ``read_lines`` gives them."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def not_seen(files: DataFrame, registry: DataFrame, force: bool = False) -> DataFrame:

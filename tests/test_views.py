@@ -107,3 +107,10 @@ def test_a_tally_is_the_count_of_results(spark):
     assert verdicts.columns == ["rule_code", "rule_version", "severity", "result"]
     full = validate.run_rules(rows, [contracts.Rule("M", "LOW", "", Condition({"type": "not", "operand": f.x.malformed().node}))], binding, [], tells=validate.DETAILS)
     assert full.select("field_errors", "out_of_scope").first() == ({}, [])
+
+
+def test_results_of_an_active_rule_mean_that_it_ran(spark):
+    rules = [contracts.Rule("A", "LOW", "", f.x.given()), contracts.Rule("B", "LOW", "", f.x.given(), active=False)]
+    results = spark.createDataFrame([("B",), ("C",)], "rule_code string")
+    assert not validate.already_run(None, rules) and not validate.already_run(results, rules)
+    assert validate.already_run(results.union(spark.createDataFrame([("A",)], "rule_code string")), rules)
