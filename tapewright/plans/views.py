@@ -27,9 +27,8 @@ def page(df: DataFrame, order: list[Column | str], number: int = 1, per_page: in
 
 def paged(df: DataFrame, order: list[Column | str], number: int = 1, per_page: int = PER_PAGE) -> DataFrame:
     """A page with ``total_rows`` and ``total_pages`` of all that was filtered; counted apart, so the page stays a top-n."""
-    size = max(1, min(MOST, per_page))
-    total = df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("total_pages", F.ceil(F.col("total_rows") / size))
-    return page(df, order, number, per_page).join(F.broadcast(total), F.lit(True))  # one row
+    total = df.count()
+    return page(df, order, number, per_page).withColumns({"total_rows": F.lit(total).cast("long"), "total_pages": F.lit(page_count(total, per_page)).cast("long")})
 
 
 def page_count(total: int, per_page: int = PER_PAGE) -> int:

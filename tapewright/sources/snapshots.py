@@ -66,7 +66,8 @@ class Snapshots:
         kept = olds.join(gone, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in self.keys)), "left_anti").withColumn("_bucket", self._bucket())
         whole = kept.unionByName(real)
         # twice the same key would come twice: refused before anything is swapped
-        whole.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
+        # few files a bucket, yet no bucket is one task's work if it is large
+        whole.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         written = self.spark.read.schema(f"{self.schema}, _bucket int").parquet(f"{self.path}/data/{folder}")
         if not written.groupBy(*self.keys).count().filter("count > 1").isEmpty():
             raise ValueError("several changes of one key")
