@@ -385,10 +385,18 @@ class Scorer:
 
     @staticmethod
     def _quoted(chunks: list[str], i: int) -> bool:
-        """Whether a hit stands in quotation marks or shortly behind a reporting word and a mark."""
+        """Whether a hit stands in quotation marks or shortly behind a reporting word and a mark.
+
+        The marks are the nearest ones: a quotation that was closed before the hit doesn't hold it,
+        nor does one that opens behind it.
+        """
         before, after = chunks[max(0, i - WINDOW) : i], chunks[i + 1 : i + 1 + WINDOW]
-        opened = any(x[:1] in _QUOTES for x in [*before, chunks[i]] if x)
-        closed = any(x.rstrip(".,;:!?")[-1:] in _QUOTES for x in [chunks[i], *after] if x.rstrip(".,;:!?"))
+        opens = lambda x: x[:1] in _QUOTES if x else False
+        closes = lambda x: (x.rstrip(".,;:!?")[-1:] or " ") in _QUOTES
+        last = next((x for x in reversed(before) if opens(x) or closes(x)), "")
+        first = next((x for x in after if opens(x) or closes(x)), "")
+        opened = opens(chunks[i]) or opens(last) and not closes(last)
+        closed = closes(chunks[i]) or closes(first) and not opens(first)
         if opened and closed:
             return True
         reported = any(folded(x.strip(".,:;")) in _REPORTING for x in before)

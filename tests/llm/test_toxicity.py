@@ -131,3 +131,11 @@ def test_other_columns_stay(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, _ in rows if i % 2 == 0]
     assert {r.score for r in kept.select("score").collect()} == {"x"}
     assert len(set(score(docs, model).columns)) == len(score(docs, model).columns)
+
+
+def test_quotations_are_told_by_the_nearest_marks():
+    from tapewright.llm.toxicity import Scorer
+
+    of = lambda text: Scorer._quoted(text.split(" "), text.split(" ").index("idiot"))
+    assert of('he said "you are an idiot today" loudly') and of('the "you idiot now" thing')
+    assert not of('He "waved" then idiot and "bye"') and not of("you idiot")
