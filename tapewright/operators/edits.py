@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import BLOCKING, HUMAN, Rule
 from ..sources.shared import written
+from ..sources.snapshots import Snapshots
 from . import resolve, trust, validate
 
 EDITING = ("edit", "manual_resolution")
@@ -66,6 +67,33 @@ def merged(state: Standing, changed: Standing) -> Standing:
     return Standing(**out)
 
 
+#: What names a row of each table.
+NAMED_BY = {"records": ["loan_id", "source_system", "version"], "winners": ["loan_id", "field_name"], "results": ["loan_id", "raw_record_id", "rule_code", "rule_version", "version"], "exceptions": ["exception_id"], "scores": ["loan_id"]}
+
+
+def tables(state: Standing, path: str, buckets: int = 8) -> dict[str, Snapshots]:
+    """Snapshot tables under ``path`` for tables like those of ``state``, to be read and merged into."""
+    out = {}
+    for name in (f.name for f in fields(Standing)):
+        df = getattr(state, name)
+        schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+        out[name] = Snapshots(df.sparkSession, f"{path}/{name}", [c for c in NAMED_BY[name] if c in df.columns], schema, buckets)
+    return out
+
+
+def merge_into(held: dict[str, Snapshots], changed: Standing) -> dict[str, int]:
+    """Changed rows into the snapshot tables: buckets without a touched loan keep their files.  The versions that then hold.
+
+    Each table is swapped by itself, scores last; a run killed in between is repeated by
+    merging the same changes again, which changes nothing where they are in already.
+    """
+    return {f.name: held[f.name].merge(getattr(changed, f.name)) for f in fields(Standing)}
+
+
+def read(held: dict[str, Snapshots]) -> Standing:
+    return Standing(**{name: table.read() for name, table in held.items()})
+
+
 def stored(state: Standing, name: str = "standing") -> Standing:
     """The tables written and read again: what comes next starts from them."""
     return Standing(**{f.name: written(getattr(state, f.name), f"{name}-{f.name}") for f in fields(Standing)})

@@ -55,7 +55,10 @@ class Snapshots:
         new = changes.select(*columns).withColumn("_bucket", self._bucket())
         held = self.read(version).select(*(F.col(c).alias(f"_old_{c}") for c in columns), F.lit(True).alias("_held"))
         same_key = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in self.keys))
-        equal = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in columns))
+        kinds = dict(new.dtypes)
+        # maps can't be compared, their texts can
+        plain = lambda c, of: F.to_json(F.struct(F.col(of).alias("x"))) if "map<" in kinds[c] else F.col(of)
+        equal = reduce(lambda a, b: a & b, (plain(c, c).eqNullSafe(plain(c, f"_old_{c}")) for c in columns))
         real = new.join(held, same_key, "left").filter(F.col("_held").isNull() | ~equal).select(*columns, "_bucket")
         touched = [r[0] for r in real.select("_bucket").distinct().collect()]
         if not touched:

@@ -134,3 +134,19 @@ def test_versions_are_minted_once_and_forgery_is_found(spark, state, decisions):
     assert {r["problem"] for r in minting.checked(forged).collect()} == {None, "hash mismatch"}
     cut = every.filter("version = 2")
     assert {r["problem"] for r in minting.checked(cut).collect()} <= {"broken link", None}
+
+
+def test_changes_merge_into_snapshots_and_touch_few_buckets(spark, state, decisions, tmp_path):
+    held = edits.tables(state, str(tmp_path))
+    assert set(edits.merge_into(held, state).values()) == {1}
+    few = decisions.filter("decision_id in ('d1', 'd2')")
+    done = edits.apply(edits.read(held), few, RULES, AT)
+    versions = edits.merge_into(held, edits.stored(done.changed))
+    # accepted and rejected: no record, cell or result is new
+    assert versions == {"records": 1, "winners": 1, "results": 1, "exceptions": 2, "scores": 2}
+    old, new = held["exceptions"]._folders(1), held["exceptions"]._folders(2)
+    assert 1 <= sum(old[b] != new[b] for b in old) <= 2
+    want = edits.merged(state, done.changed)
+    assert rows(edits.read(held).exceptions, "exception_id", "status") == rows(want.exceptions, "exception_id", "status")
+    assert rows(edits.read(held).scores, "loan_id", "trust_score") == rows(want.scores, "loan_id", "trust_score")
+    assert edits.apply(edits.read(held), few, RULES, AT).refused.count() == 2
