@@ -151,6 +151,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     smaller vec_id, all other rows if they are fewer.  Vectors that are null or hold null or
     non-finite components take no part, nor do rows without vec_id; only vectors of one
     length are compared; rows that share a vec_id count once; other columns are not read.
+    Products beyond 64 bits saturate, so the order among such scores is by vec_id alone.
     An empty table gives an empty result.
     """
     whole = usable(vectors).select("vec_id", F.transform("embedding", lambda v: F.floor(v * 256.0).cast("double")).alias("embedding"))
