@@ -39,8 +39,10 @@ from .storage import deleted, dropped, new_path, shared_dir, small_batches, writ
 #: Segments per shingle of a band's largest set, so that many more nonempty segments exist than are needed
 #: and those that many documents hold can be left out.
 SEGMENTS = 0.8
-#: Values held by fewer documents than this within one input split aren't reported as frequent.
-FREQUENT = 3
+#: Values held by fewer documents than this within one input split aren't reported as frequent by it, so a value that
+#: is spread over many splits would go unnoticed however many documents hold it: all values of one class in ``SAMPLED``
+#: (by its fingerprint) are counted over the whole table as well.
+FREQUENT, SAMPLED = 3, 16
 #: At most so many frequent values are told to all tasks (12 bytes each); the order of the others is by hash.
 #: The order decides how many candidates there are, never which links are found.
 TOLD = 500_000
@@ -127,16 +129,19 @@ def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _members(rule: Rule):
-    """Sizes, names and sketches of sets; the values that are frequent in a task are rows of their own."""
+    """Sizes, names and sketches of sets; values that are frequent in a task are rows of their own, and so are those of sampled classes, with ``times`` below 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
+        sample: dict[int, np.ndarray] = {}
         size = 0
 
         def close() -> pd.DataFrame:
             value, count = np.unique(np.concatenate(held), return_counts=True)
             often = count >= FREQUENT
-            return pd.DataFrame({"value": value[often], "times": count[often]}).reindex(columns=["doc_id", "row_key", "n", "fp", "sketch", "value", "times"]).astype({"value": "Int64", "times": "Int64"})
+            some, times = np.unique(np.concatenate([np.empty(0, np.int64), *sample.values()]), return_counts=True)
+            told = {"value": np.concatenate([value[often], some]), "times": np.concatenate([count[often], -times])}
+            return pd.DataFrame(told).reindex(columns=["doc_id", "row_key", "n", "fp", "sketch", "value", "times"]).astype({"value": "Int64", "times": "Int64"})
 
         for batch in batches:
             rows = []
@@ -147,13 +152,15 @@ def _members(rule: Rule):
                 if len(x):
                     held.append(rule.keys(x, None))
                     size += len(held[-1])
+                    if rows[-1][3] % SAMPLED == 0:
+                        sample[rows[-1][3]] = held[-1]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             doc, key, n, fp, sketch = map(list, columns)
             # nulls must not turn long integers into floats
             yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "row_key": key, "n": n, "fp": pd.array(fp, "Int64"), "sketch": sketch}).assign(value=pd.NA, times=pd.NA)
             if size > 1_000_000:
                 yield close()
-                held, size = [], 0
+                held, sample, size = [], {}, 0
         if held:
             yield close()
 
@@ -193,9 +200,12 @@ def _entries(rule: Rule, frequent: tuple[np.ndarray, np.ndarray]):
 def frequent_values(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent segment values over all documents, by value; at most TOLD of them.
 
-    They only set the order in which a document's segments are taken, never a result.
+    They only set the order in which a document's segments are taken, never a result.  What two
+    sampled classes hold is frequent too, with as many documents as the sample stands for.
     """
-    found = signed.filter("value is not null").groupBy(F.col("value").alias("key")).agg(F.sum("times").alias("n"))
+    split, sampled = (F.sum(F.when(test, F.abs("times")).otherwise(0)) for test in (F.col("times") > 0, F.col("times") < 0))
+    found = signed.filter("value is not null").groupBy(F.col("value").alias("key")).agg(split.alias("split"), sampled.alias("sampled")).filter("split > 0 or sampled > 1")
+    found = found.select("key", F.greatest("split", F.col("sampled") * SAMPLED).alias("n"))
     top = found.orderBy(F.desc("n"), "key").limit(TOLD).toPandas().sort_values("key")
     return top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
