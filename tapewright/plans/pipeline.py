@@ -48,8 +48,12 @@ def _fields() -> list[str]:
 
 
 def exceptions_found(records: DataFrame, results: DataFrame, dataset: DataFrame, import_errors: DataFrame | None, previous: DataFrame | None) -> DataFrame:
-    """Exceptions of rules, dataset checks, conflicts and imports; what was decided in ``previous`` stays decided."""
-    found = None if previous is None else previous.filter("status <> 'open'")
+    """Exceptions of rules, dataset checks, conflicts and imports; what was decided in ``previous`` stays decided.
+
+    Open exceptions that edits made stay too: they hang on no imported row, so no run finds them again.
+    """
+    edited = "exception_type = 'validation_failure' and raw_record_id is null"
+    found = None if previous is None else previous.filter(f"status <> 'open' or {edited}")
     # a row rule's exception is decided by record, a dataset rule's by loan, a conflict's by loan and field
     kinds = (
         (validate.exceptions_of(results, "raw_record_id"), ["rule_code", "raw_record_id"]),

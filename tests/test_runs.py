@@ -184,3 +184,17 @@ def test_runs_do_only_what_is_new(spark, tmp_path, tapes_of, monkeypatch):
     assert [s for s, worked in log if worked] == ["blend", "score"]
     _, log = run([first, second], rules=[*RULES, contracts.Rule("KIND", "LOW", "", f.property_type.given())])
     assert "validate" in {s for s, worked in log if worked} and "blend" not in {s for s, worked in log if worked and s == "records"}
+
+
+def test_bad_edits_stay_open_over_runs(spark, tmp_path, tapes_of):
+    folder = str(tmp_path / "state")
+    upload = Upload(tapes_of("a.csv", "loan_id,original_principal\nL1,-5\nL2,3\n"), "loan_tape")
+    tables, _ = runs.verify_folder(spark, folder, [upload], RULES, POLICY, AT)
+    first = tables["exceptions"].first()["exception_id"]
+    decisions = spark.createDataFrame([("d1", first, "edit", 1, [("original_principal", "-9")])], "decision_id string, exception_id string, action string, decided_at long, changes array<struct<field_name:string,value:string>>")
+    runs.decided(spark, folder, decisions, RULES, AT)
+    for force in (False, True):
+        tables, _ = runs.verify_folder(spark, folder, [upload], RULES, POLICY, AT, force)
+        found = {(r["raw_record_id"] is None, r["status"], r["is_blocking"]) for r in tables["exceptions"].collect()}
+        assert found == {(False, "resolved", True), (True, "open", True)}
+        assert {r["loan_id"] for r in tables["ready"].collect()} == {"L2"}
