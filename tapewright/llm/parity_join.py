@@ -102,7 +102,9 @@ class Rule:
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             often = np.where(known[at] == keys, count[at], 0)
             if often.any():
-                return keys[np.lexsort((keys, often))[:n]]
+                rare = keys[often == 0]
+                # the order is by frequency first: enough unknown values need no sorting
+                return np.partition(rare, n - 1)[:n] if len(rare) >= n else keys[np.lexsort((keys, often))[:n]]
         return np.partition(keys, n - 1)[:n]
 
     def sketch(self, x: np.ndarray) -> bytes:
