@@ -59,7 +59,8 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
         rest = rest[~near]
         if len(rest):
             dist = np.sqrt(((x[rest] - x[rest[0]]) ** 2).sum(axis=1))
-    node.single = np.concatenate([*single, rest])
+    # without children a node is a leaf, whatever its size: `in_pair` tells leaves by this identity
+    node.single = np.concatenate([*single, rest]) if node.children else rows
     return node
 
 
@@ -127,7 +128,8 @@ def in_pair(k: int, count: Callable[[int], None] = lambda n: None):
             na, nb = np.sqrt((ca**2).sum(axis=1)), np.sqrt((cb**2).sum(axis=1))
             bounds = ca @ cb.T + na[:, None] * rb + ra[:, None] * nb + ra[:, None] * rb
             count(bounds.size)
-            bounds += np.abs(bounds) * 1e-9 + 1e-6
+            # rounding goes with the terms, however much of them cancels out
+            bounds += (na + ra)[:, None] * (nb + rb) * 1e-9 + 1e-6
             least = np.array([best.least(n.rows).min() for n in left])
             pairs = [(float(bounds[i, j]), left[i], right[j]) for i, j in zip(*np.nonzero(bounds >= least[:, None]), strict=True) if left[i].rows is not a.single or right[j].rows is not b.single]
             stack += sorted(pairs, key=lambda p: p[0])
@@ -140,8 +142,8 @@ def in_pair(k: int, count: Callable[[int], None] = lambda n: None):
 
 
 def reaches(q: np.ndarray, bound: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
-    high = q @ centre + np.sqrt((q**2).sum(axis=1)) * radius
-    return high + np.abs(high) * 1e-9 + 1e-6 >= bound
+    long = np.sqrt((q**2).sum(axis=1))
+    return q @ centre + long * radius + long * (np.sqrt((centre**2).sum()) + radius) * 1e-9 + 1e-6 >= bound
 
 
 def top_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:

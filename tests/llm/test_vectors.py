@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tapewright.llm.collision import nearest
-from tapewright.llm.cover_tree import in_pair, top_products
+from tapewright.llm.cover_tree import cover_tree, in_pair, top_products
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, d string, q string, rank string, dim string"
 
@@ -89,6 +89,18 @@ def test_dual_trees_prune_groups_and_stay_exact():
     assert sum(computed) < 0.5 * len(q) * len(x)
 
 
+def test_no_row_is_found_twice_beside_a_large_leaf():
+    """Queries so far apart that their node has no children, against rows half of which lie in a cluster."""
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * np.concatenate([rng.normal(size=(1, 30)) + 0.05 * rng.normal(size=(150, 30)), rng.normal(size=(150, 30))]))
+    ids, q = rng.permutation(300), np.arange(150, 300, 2)
+    assert not cover_tree(x[q], np.arange(len(q))).children and cover_tree(x, np.arange(300)).children
+    got = {i: list(zip(v.tolist(), s.tolist(), strict=True)) for i, v, s in in_pair(5)(ids[q], x[q], np.full(len(q), -np.inf), ids, x)}
+    for i in q.tolist():
+        s = (x @ x[i]).astype(int)
+        assert got[ids[i]] == [(int(ids[j]), int(s[j])) for j in np.lexsort((ids, -s)) if j != i][:5]
+
+
 def test_few_and_no_rows(spark):
     for search in (top_products, nearest):
         assert search(frame(spark, []), 50, 5).collect() == []
