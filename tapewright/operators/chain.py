@@ -8,6 +8,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from json.encoder import encode_basestring
 from typing import Any
 
 import pandas as pd
@@ -48,6 +49,10 @@ def canonical_json(x: Any) -> str:
     return json.dumps(plain_value(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _quoted(text: str | None) -> str:
+    return "null" if text is None else encode_basestring(text)
+
+
 @F.pandas_udf(T.StringType())
 def canonical_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON text brought into canonical form; Spark's own writer neither sorts keys nor prints doubles alike."""
@@ -86,6 +91,7 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
     rows = events.join(tips.withColumnRenamed("hash", "_tip"), chain, "left") if tips is not None else events.withColumn("_tip", F.lit(None).cast("string"))
     ordered = rows.repartition(*chain).sortWithinPartitions(*chain, *order)
     keys, names = sorted([*fields, PREV]), events.columns
+    place = keys.index(PREV)
     schema = ", ".join(f"`{c}` {t}" for c, t in events.dtypes) + ", prev_hash string, hash string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,14 +99,16 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
         last: str | None = None
         for batch in batches:
             prevs, hashes = [], []
-            columns = {f: batch[f"_text_{f}"] for f in fields}
-            for i, who in enumerate(zip(*(batch[c] for c in chain), strict=True)):
+            tips = batch["_tip"].tolist()
+            # all but the previous digest is brought into its form by column
+            pieces = {f: [f'"{f}":' + (_quoted(x) if f not in nested else "null" if x is None else canonical_json(json.loads(x))) for x in batch[f"_text_{f}"].tolist()] for f in fields}
+            heads, tails = ([",".join(some) for some in zip(*(pieces[k] for k in part), strict=True)] or [""] * len(batch) for part in (keys[:place], keys[place + 1 :]))
+            for i, (who, head, tail) in enumerate(zip(zip(*(batch[c].tolist() for c in chain), strict=True), heads, tails, strict=True)):
                 if who != at:
-                    at, last = who, batch["_tip"].iloc[i]
-                record = {f: columns[f].iloc[i] for f in fields} | {PREV: last}
-                record |= {f: None if record[f] is None else plain_value(json.loads(record[f])) for f in nested}
+                    at, last = who, tips[i]
                 prevs.append(last)
-                last = hashlib.sha256(json.dumps({k: record[k] for k in keys}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+                text = ",".join(x for x in (head, f'"{PREV}":{_quoted(last)}', tail) if x)
+                last = hashlib.sha256(f"{{{text}}}".encode()).hexdigest()
                 hashes.append(last)
             yield batch[names].assign(prev_hash=prevs, hash=hashes)
 
@@ -125,19 +133,26 @@ def checked(
         events = events.join(marks.select(*chain, F.col("at").alias("_mark"), F.col("tip").alias("_marked")), chain, "left").filter(F.col("_mark").isNull() | (F.col(order[0]) > F.col("_mark")))
         marked_ = F.col("_marked")
     ranged = len(order) == 1 and dict(events.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
-    part = F.floor(F.col(order[0]) / RANGE) if ranged else F.lit(0)
-    rows = events.withColumn("_part", part)
-    before = F.lag(own).over(Window.partitionBy(*chain, "_part").orderBy(*order))
-    rows = rows.withColumn("_before", before).withColumn("_first", F.row_number().over(Window.partitionBy(*chain, "_part").orderBy(*order)) == 1)
-    ends = rows.groupBy(*chain, "_part").agg(F.max_by(own, F.struct(*order)).alias("_end"))
-    ends = ends.withColumn("_tip", F.lag("_end").over(Window.partitionBy(*chain).orderBy("_part")))
-    ends = ends.select(*(F.col(c).alias(f"_at_{c}") for c in chain), F.col("_part").alias("_at"), "_tip")
-    same = F.col("_part") == F.col("_at")
-    for c in chain:
-        same &= F.col(c).eqNullSafe(F.col(f"_at_{c}"))
-    linked = rows.join(ends, same, "left").withColumn("_before", F.when(F.col("_first"), F.coalesce("_tip", marked_)).otherwise(F.col("_before")))
-    problem = F.when(~F.col(prev).eqNullSafe(F.col("_before")), "broken link").when(~F.col(own).eqNullSafe(digest(fields, F.col(prev), nested, named)), "hash mismatch")
-    return linked.withColumn("problem", problem).select(*(c for c in events.columns if c not in ("_mark", "_marked")), "problem")
+    names = [c for c in events.columns if c not in ("_mark", "_marked")]
+    # digests need no order: what they cover doesn't move with the rows
+    wrong = ~F.col(own).eqNullSafe(digest(fields, F.col(prev), nested, named))
+    rows = events.withColumns({"_wrong": wrong, "_marked": marked_, "_part": F.floor(F.col(order[0]) / RANGE) if ranged else F.lit(0), "_tip": F.lit(None).cast("string")})
+    given = [*names, "_wrong", "_marked", "_part", "_tip"]
+    rows = rows.select(*given, F.lit(True).alias("_row"))
+    if ranged:
+        # the last digest of a range goes before the first row of the chain's next one
+        ends = rows.groupBy(*chain, "_part").agg(F.max_by(own, F.struct(order[0])).alias("_end"))
+        along = Window.partitionBy(*chain).orderBy("_part")
+        ends = ends.withColumn("_tip", F.lag(F.struct("_end")).over(along)).filter("_tip is not null").select(*chain, "_part", F.col("_tip._end").alias("_tip"))
+        kinds = {f.name: f.dataType for f in rows.schema}
+        ends = ends.select(*((F.col(c) if c in (*chain, "_part", "_tip") else F.lit(None).cast(kinds[c])).alias(c) for c in given), F.lit(False).alias("_row"))
+        rows = rows.unionByName(ends)
+    along = Window.partitionBy(*chain, "_part").orderBy("_row", *order)
+    before = F.lag(F.struct(F.coalesce("_tip", own).alias("x"))).over(along)
+    rows = rows.withColumn("_before", before).filter("_row")
+    linked = F.col(prev).eqNullSafe(F.when(F.col("_before").isNull(), F.col("_marked")).otherwise(F.col("_before.x")))
+    problem = F.when(~linked, "broken link").when(F.col("_wrong"), "hash mismatch")
+    return rows.withColumn("problem", problem).select(*names, "problem")
 
 
 def marked(events: DataFrame, chain: list[str], order: str, own: str = "hash", problems: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..contracts import Rule
 from ..operators import assist, chain, english, reconcile, resolve, trust, validate
 from ..operators.conditions import Condition
+from ..sources.shared import written
 from ..sources.tables import table
 from . import views
 from .queries import _EXCEPTIONS_SQL, _exceptions, _tally, _verdict_sql, register
@@ -80,7 +81,7 @@ def audit_chain_appended(spark: SparkSession, d: str) -> DataFrame:
 def audit_chain_first_break(spark: SparkSession, d: str) -> DataFrame:
     """Forged contents and cut links, the first of each chain."""
     k = F.col("event_id")
-    forged = _chained(spark, d).withColumn("event_type", F.when(k % 89 == 0, "forged").otherwise(F.col("event_type"))).withColumn("prev_hash", F.when(k % 97 != 0, F.col("prev_hash")))
+    forged = written(_chained(spark, d), "chain").withColumn("event_type", F.when(k % 89 == 0, "forged").otherwise(F.col("event_type"))).withColumn("prev_hash", F.when(k % 97 != 0, F.col("prev_hash")))
     return chain.first_break(forged, *_CHAIN, nested=("after_value",))
 
 

@@ -118,6 +118,32 @@ def test_chains_find_forged_rows(spark):
     assert chain.canonical_json({"b": 1, "a": {"d": None, "c": 2.5}}) == chain.canonical_json({"a": {"c": 2.5, "d": None}, "b": 1}) == '{"a":{"c":2.5,"d":null},"b":1}'
 
 
+def test_chains_over_many_ranges(spark):
+    """Gaps of ranges, chains without a key, and marks; whole rows are moved once and joined with nothing."""
+    events = spark.createDataFrame([(c, i * chain.RANGE // 3, f"e{i}\t\"") for c in ("a", "b", None) for i in (*range(7), 30, 31)], "chain string, seq long, what string")
+    linked = chain.appended(events, ["chain"], ["seq"], ["seq", "what"])
+    own = lambda r: chain.hashlib.sha256(chain.canonical_json({"seq": str(r.seq), "what": r.what, chain.PREV: r.prev_hash}).encode()).hexdigest()
+    held = linked.collect()
+    assert all(r.hash == own(r) for r in held) and {r.prev_hash for r in held if r.seq} <= {r.hash for r in held}
+    assert chain.intact(linked, ["chain"], ["seq"], ["seq", "what"])
+    late = 30 * chain.RANGE // 3
+    cut = linked.filter(f"not (seq = {6 * chain.RANGE // 3} and chain is null)")
+    assert [tuple(r) for r in chain.first_break(cut, ["chain"], ["seq"], ["seq", "what"]).collect()] == [(None, late, "broken link")]
+    checked = chain.checked(linked, ["chain"], ["seq"], ["seq", "what"])
+    assert "Join" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    marks = chain.marked(linked.filter(f"seq < {late} and chain is not null"), ["chain"], "seq")
+    since = chain.checked(linked, ["chain"], ["seq"], ["seq", "what"], marks=marks)
+    assert sorted(r.chain or "" for r in since.collect()) == [""] * 9 + ["a"] * 2 + ["b"] * 2 and since.filter("problem is not null").isEmpty()
+
+
+@pytest.mark.parametrize("query", ["chains_since_marks", "chains_reported"])
+def test_chains_are_linked_once(spark, small, query):
+    """Linking is one pass over a log however often it is checked: no plan of a check holds it again."""
+    from tapewright.plans import state_queries
+
+    assert "MapInPandas" not in getattr(state_queries, query)(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("text, operator, value", [("interest rate is above 36", "<=", 36), ("interest rate is no more than 3", ">", 3), ("interest rate not above 36", ">", 36)])
 def test_english_rules(text, operator, value):
     node = english.draft(text).condition.node
