@@ -44,9 +44,17 @@ def plain_value(x: Any) -> Any:
     raise TypeError(f"no canonical form for {type(x).__name__}")
 
 
+_in_order = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+
+
 def canonical_json(x: Any) -> str:
     """Keys sorted at every level, no blanks, non-ASCII as it is."""
-    return json.dumps(plain_value(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _in_order(plain_value(x))
+
+
+def _reordered(text: str) -> str:
+    """JSON text in canonical form: what is read from JSON is plain already."""
+    return _in_order(json.loads(text))
 
 
 def _quoted(text: str | None) -> str:
@@ -54,10 +62,13 @@ def _quoted(text: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def canonical_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """JSON text brought into canonical form; Spark's own writer neither sorts keys nor prints doubles alike."""
-    for texts in parts:
-        yield texts.map(lambda s: None if s is None else canonical_json(json.loads(s)))
+def canonical_text(texts: pd.Series) -> pd.Series:
+    """JSON text brought into canonical form; Spark's own writer neither sorts keys nor prints doubles alike.
+
+    Not over an iterator: of those every column has a step and a worker of its own, of these all columns share one.
+    """
+    told = {s: None if s is None else _reordered(s) for s in texts.unique()}  # many rows of a batch say the same
+    return pd.Series([told[s] for s in texts.tolist()], dtype=object)
 
 
 def event_time(at: Column) -> Column:
@@ -101,7 +112,7 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
             prevs, hashes = [], []
             tips = batch["_tip"].tolist()
             # all but the previous digest is brought into its form by column
-            pieces = {f: [f'"{f}":' + (_quoted(x) if f not in nested else "null" if x is None else canonical_json(json.loads(x))) for x in batch[f"_text_{f}"].tolist()] for f in fields}
+            pieces = {f: [f'"{f}":' + (_quoted(x) if f not in nested else "null" if x is None else _reordered(x)) for x in batch[f"_text_{f}"].tolist()] for f in fields}
             heads, tails = ([",".join(some) for some in zip(*(pieces[k] for k in part), strict=True)] or [""] * len(batch) for part in (keys[:place], keys[place + 1 :]))
             for i, (who, head, tail) in enumerate(zip(zip(*(batch[c].tolist() for c in chain), strict=True), heads, tails, strict=True)):
                 if who != at:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.contracts import Rule, trust_table
-from tapewright.operators import canonical, edits, minting, resolve, trust, validate
+from tapewright.operators import canonical, chain, edits, minting, resolve, trust, validate
 from tapewright.operators.conditions import fields
 from tapewright.plans.state_queries import _as_records
 
@@ -150,3 +150,11 @@ def test_changes_merge_into_snapshots_and_touch_few_buckets(spark, state, decisi
     assert rows(edits.read(held).exceptions, "exception_id", "status") == rows(want.exceptions, "exception_id", "status")
     assert rows(edits.read(held).scores, "loan_id", "trust_score") == rows(want.scores, "loan_id", "trust_score")
     assert edits.apply(edits.read(held), few, RULES, AT).refused.count() == 2
+
+
+def test_json_columns_share_one_python_step(spark):
+    """All parts of a snapshot go through one step with one worker, not a step and a worker a part."""
+    texts = spark.createDataFrame([('{"b":1,"a":[]}', '{"z":null,"c":{"y":2.5,"x":"é"}}', None)], "a string, b string, c string")
+    out = texts.select(*(chain.canonical_text(F.col(c)).alias(c) for c in texts.columns))
+    assert tuple(out.first()) == ('{"a":[],"b":1}', '{"c":{"x":"é","y":2.5},"z":null}', None)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
