@@ -9,8 +9,9 @@ values, the first D + 1 nonempty segments of both documents have a value in comm
 long as one of them has more than D nonempty segments.  Documents for which this fails
 (few shingles that happen to share segments) also join on single shingles, which always
 suffice.  The order puts values that many documents hold last, so common passages rarely
-cause candidates.  N depends on the size band [2^k, 2^(k+1)); a document also joins the
-band below if a similar smaller document may be there.
+cause candidates.  N depends on the size band [8^k, 8^(k+1)); a document also joins the
+band below if a similar smaller document may be there.  Values have 48 bits: values that
+fall together make candidates only.
 
 Copies have one class (equal sets); a task names the buckets of a class once, however many
 copies it reads, and buckets of very frequent values are salted.  In each bucket the classes
@@ -39,6 +40,10 @@ from .storage import deleted, dropped, new_path, shared_dir, small_batches, writ
 #: Segments per shingle of a band's largest set, so that many more nonempty segments exist than are needed
 #: and those that many documents hold can be left out.
 SEGMENTS = 0.8
+#: A size band's largest set has less than 2^BAND times the shingles of its smallest: of wide bands few documents join two.
+BAND = 3
+#: Bits of a join value: so many move with every bucket of a class.
+VALUE_BITS = 48
 #: Values held by fewer documents than this within one input split aren't reported as frequent by it, so a value that
 #: is spread over many splits would go unnoticed however many documents hold it: all values of one class in ``SAMPLED``
 #: (by its fingerprint) are counted over the whole table as well.
@@ -54,6 +59,26 @@ BLOCK = 1 << 19
 BROADCAST_IDS = 1_000_000
 
 
+class Frequent:
+    """How many documents hold a value, of the values (sorted) that are known as frequent."""
+
+    def __init__(self, known: np.ndarray, count: np.ndarray):
+        self.known, self.count = known, count
+        self.mask = (1 << (8 * len(known)).bit_length()) - 1
+        self.maybe = np.zeros(self.mask + 1, bool)
+        self.maybe[known & self.mask] = True
+
+    def times(self, values: np.ndarray) -> np.ndarray:
+        """0 for values that aren't known; most of them are told by their last bits, without a search."""
+        out = np.zeros(len(values), np.int64)
+        at = np.flatnonzero(self.maybe[values & self.mask])
+        if len(at):
+            some = values[at]
+            place = np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)
+            out[at] = np.where(self.known[place] == some, self.count[place], 0)
+        return out
+
+
 class Rule:
     """What similarity num/den allows."""
 
@@ -69,42 +94,46 @@ class Rule:
     def partner(self, n: int) -> int:
         return n * self.den // self.num
 
-    def keys(self, x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    def keys(self, x: np.ndarray, frequent: Frequent | tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
         """Join values of one set; without ``frequent`` the values of all nonempty segments of its own band."""
+        if isinstance(frequent, tuple):
+            frequent = Frequent(*frequent)
         n = len(x)
-        band = n.bit_length() - 1
-        out = [self._role(x, band, self.differ(n + min(self.partner(n), (4 << band) - 1)), frequent)]
-        smaller = (1 << band) - 1
-        if frequent is not None and smaller * self.den >= n * self.num and smaller:
-            out.append(self._role(x, band - 1, self.differ(n + smaller), frequent))
-        return np.concatenate(out)
-
-    def _role(self, x: np.ndarray, band: int, d: int, frequent: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        top = 2 << band
-        segments = max(4 * top if band < 6 else 0, int(SEGMENTS * top))
+        band = (n.bit_length() - 1) // BAND
+        mixed = mix(x)
+        own = self._role(x, mixed, band, self.differ(n + self.partner(n)), frequent)
+        smaller = (1 << BAND * band) - 1
+        if frequent is None or smaller * self.den < n * self.num or not smaller:
+            return own
+        return np.concatenate([own, self._role(x, mixed, band - 1, self.differ(n + smaller), frequent)])
+
+    def _role(self, x: np.ndarray, mixed: np.ndarray, band: int, d: int, frequent: Frequent | None) -> np.ndarray:
+        top = 1 << BAND * (band + 1)
+        segments = max(4 * top if top <= 64 else 0, int(SEGMENTS * top))
         seg = ((x >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)  # in order, as x is
-        start = np.flatnonzero(np.diff(seg, prepend=np.uint64(1 << 40)))
+        start = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
         salt = np.uint64(band + 1) << np.uint64(40)
-        keys = mix(np.bitwise_xor.reduceat(mix(x), start) ^ mix(seg[start] | salt)).view(np.int64)
+        keys = self._values(np.bitwise_xor.reduceat(mixed, start) ^ mix(seg[start] | salt))
         if frequent is None:
             return keys
         first = self._first(keys, d + 1, frequent)
         if len(keys) > d:
             return first
-        return np.concatenate([first, self._first(mix(mix(x) ^ mix(salt | np.uint64(1 << 39))).view(np.int64), d + 1, frequent)])
+        return np.concatenate([first, self._first(self._values(mixed ^ mix(salt | np.uint64(1 << 39))), d + 1, frequent)])
+
+    @staticmethod
+    def _values(x: np.ndarray) -> np.ndarray:
+        return (mix(x) >> np.uint64(64 - VALUE_BITS)).view(np.int64)
 
     @staticmethod
-    def _first(keys: np.ndarray, n: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def _first(keys: np.ndarray, n: int, frequent: Frequent) -> np.ndarray:
         if len(keys) <= n:
             return keys
-        known, count = frequent
-        if len(known):
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            often = np.where(known[at] == keys, count[at], 0)
-            if often.any():
-                rare = keys[often == 0]
-                # the order is by frequency first: enough unknown values need no sorting
-                return np.partition(rare, n - 1)[:n] if len(rare) >= n else keys[np.lexsort((keys, often))[:n]]
+        often = frequent.times(keys)
+        if often.any():
+            rare = keys[often == 0]
+            # the order is by frequency first: enough unknown values need no sorting
+            return np.partition(rare, n - 1)[:n] if len(rare) >= n else keys[np.lexsort((keys, often))[:n]]
         return np.partition(keys, n - 1)[:n]
 
     def sketch(self, x: np.ndarray) -> bytes:
@@ -169,12 +198,11 @@ def _members(rule: Rule):
     return run
 
 
-def _entries(rule: Rule, frequent: tuple[np.ndarray, np.ndarray]):
+def _entries(rule: Rule, frequent: Frequent):
     """(key, size, fp) for each bucket of a text's class, once a task however many copies it holds; size is n + 2^32 salt."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        known, count = frequent
         for batch in batches:
             keys, names, sizes = [], [], []
             for text in batch["text"]:
@@ -182,7 +210,7 @@ def _entries(rule: Rule, frequent: tuple[np.ndarray, np.ndarray]):
                 fp = fingerprint(x) if len(x) else None
                 if fp is not None and fp not in seen:
                     seen.add(fp)
-                    keys.append(np.unique(rule.keys(x, frequent)))
+                    keys.append(rule.keys(x, frequent))
                     names.append(fp)
                     sizes.append(len(x))
             if not keys:
@@ -190,10 +218,7 @@ def _entries(rule: Rule, frequent: tuple[np.ndarray, np.ndarray]):
             each = [len(k) for k in keys]
             fp, size = np.repeat(np.array(names, np.int64), each), np.repeat(np.array(sizes, np.int64), each)
             key = np.concatenate(keys)
-            salts = np.ones(len(key), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                salts += np.where(known[at] == key, count[at], 0) // SALTED
+            salts = 1 + frequent.times(key) // SALTED
             yield pd.DataFrame({"key": key, "size": size + (np.where(salts > 1, 1 + fp % salts, 0) << 32), "fp": fp})
 
     return run
@@ -300,7 +325,7 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     told = spark.sparkContext.broadcast(frequent_values(signed))
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _entries(rule, told.value)(batches)
+        return _entries(rule, Frequent(*told.value))(batches)
 
     # buckets by size, cut where sizes allow no link any more; window rows stream, so a bucket needs no memory
     by_size = Window.partitionBy("key", "salt").orderBy("n", "fp")

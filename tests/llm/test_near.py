@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tapewright.llm import parity_join
-from tapewright.llm.parity_join import Rule, near_duplicates
+from tapewright.llm.parity_join import Frequent, Rule, near_duplicates
 from tapewright.llm.shingles import shingle_set
 
 from .conftest import PROSE, documents
@@ -107,3 +107,22 @@ def test_shingles_are_the_sets():
 def test_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     same(near_duplicates(docs), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_few_and_short_join_values():
+    """Sizes spread evenly over three octaves: few texts join two bands, so hardly more values than one band asks for, and they leave out two bytes."""
+    rng, rule = np.random.default_rng(7), Rule(3, 4, 5)
+    sizes = (512 * 2 ** (np.arange(60) / 20)).astype(int)
+    none = (np.empty(0, np.int64), np.empty(0, np.int64))
+    keys = [rule.keys(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), none) for n in sizes]
+    assert sum(map(len, keys)) < 1.15 * sum(n // 3 + 1 for n in sizes)
+    assert all(0 <= k.min() and k.max() < 1 << 48 for k in keys)
+
+
+def test_frequent_values_are_told_apart():
+    rng = np.random.default_rng(8)
+    known = np.unique(rng.integers(-(2**62), 2**62, 3000))
+    asked = np.concatenate([known[::7], rng.integers(-(2**62), 2**62, 5000)])
+    counts = dict(zip(known.tolist(), range(1, len(known) + 1)))
+    assert Frequent(known, np.arange(1, len(known) + 1)).times(asked).tolist() == [counts.get(v, 0) for v in asked.tolist()]
+    assert not Frequent(known[:0], known[:0]).times(asked).any()
