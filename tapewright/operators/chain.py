@@ -127,6 +127,12 @@ def appended(events: DataFrame, chain: list[str], order: list[str], fields: list
     return texts.mapInPandas(run, schema)
 
 
+def _packed(digest: Column) -> Column:
+    """A digest as binary, equal for equal text only: half as long if it is lower-case hex of whole bytes."""
+    short = F.unhex(digest)
+    return F.when(F.lower(F.hex(short)) == digest, F.concat(F.unhex(F.lit("00")), short)).otherwise(F.concat(F.unhex(F.lit("01")), digest.cast("binary")))
+
+
 def checked(
     events: DataFrame, chain: list[str], order: list[str], fields: list[str], prev: str = "prev_hash", own: str = "hash", nested: tuple[str, ...] = (), named: str = PREV, marks: DataFrame | None = None,
 ) -> DataFrame:
@@ -134,34 +140,34 @@ def checked(
 
     Digests are recomputed from the stored previous one, so rows are checked in parallel;
     only the comparison with the row before needs an order.  A chain ordered by one whole
-    number is cut into ranges of it, whose last digests are handed on.
+    number is cut into ranges of it, whose last digests are handed on.  Digests move as bytes.
 
     With ``marks`` (see ``marked``) only what came after a chain's mark is looked at: the first of
     it must name the marked digest.  Whether what lies before still stands, a check without marks tells.
     """
-    marked_ = F.lit(None).cast("string")
+    marked_ = F.lit(None).cast("binary")
     if marks is not None:
         events = events.join(marks.select(*chain, F.col("at").alias("_mark"), F.col("tip").alias("_marked")), chain, "left").filter(F.col("_mark").isNull() | (F.col(order[0]) > F.col("_mark")))
-        marked_ = F.col("_marked")
+        marked_ = _packed(F.col("_marked"))
     ranged = len(order) == 1 and dict(events.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
     names = [c for c in events.columns if c not in ("_mark", "_marked")]
     # digests need no order: what they cover doesn't move with the rows
     wrong = ~F.col(own).eqNullSafe(digest(fields, F.col(prev), nested, named))
-    rows = events.withColumns({"_wrong": wrong, "_marked": marked_, "_part": F.floor(F.col(order[0]) / RANGE) if ranged else F.lit(0), "_tip": F.lit(None).cast("string")})
-    given = [*names, "_wrong", "_marked", "_part", "_tip"]
-    rows = rows.select(*given, F.lit(True).alias("_row"))
+    part = F.floor(F.col(order[0]) / RANGE) if ranged else F.lit(0)
+    rows = events.withColumns({"_wrong": wrong, "_marked": marked_, "_prev": _packed(F.col(prev)), "_own": _packed(F.col(own)), "_part": part, "_tip": F.lit(None).cast("binary"), "_row": F.lit(True)})
+    given = [*names, "_wrong", "_marked", "_prev", "_own", "_part", "_tip", "_row"]
+    rows = rows.select(*given)
     if ranged:
         # the last digest of a range goes before the first row of the chain's next one
-        ends = rows.groupBy(*chain, "_part").agg(F.max_by(own, F.struct(order[0])).alias("_end"))
+        ends = rows.groupBy(*chain, "_part").agg(F.max_by("_own", F.struct(order[0])).alias("_end"))
         along = Window.partitionBy(*chain).orderBy("_part")
-        ends = ends.withColumn("_tip", F.lag(F.struct("_end")).over(along)).filter("_tip is not null").select(*chain, "_part", F.col("_tip._end").alias("_tip"))
+        ends = ends.withColumn("_tip", F.lag(F.struct("_end")).over(along)).filter("_tip is not null").select(*chain, "_part", F.col("_tip._end").alias("_tip"), F.lit(False).alias("_row"))
         kinds = {f.name: f.dataType for f in rows.schema}
-        ends = ends.select(*((F.col(c) if c in (*chain, "_part", "_tip") else F.lit(None).cast(kinds[c])).alias(c) for c in given), F.lit(False).alias("_row"))
-        rows = rows.unionByName(ends)
+        rows = rows.unionByName(ends.select(*(F.col(c) if c in ends.columns else F.lit(None).cast(kinds[c]).alias(c) for c in given)))
     along = Window.partitionBy(*chain, "_part").orderBy("_row", *order)
-    before = F.lag(F.struct(F.coalesce("_tip", own).alias("x"))).over(along)
+    before = F.lag(F.struct(F.coalesce("_tip", "_own").alias("x"))).over(along)
     rows = rows.withColumn("_before", before).filter("_row")
-    linked = F.col(prev).eqNullSafe(F.when(F.col("_before").isNull(), F.col("_marked")).otherwise(F.col("_before.x")))
+    linked = F.col("_prev").eqNullSafe(F.when(F.col("_before").isNull(), F.col("_marked")).otherwise(F.col("_before.x")))
     problem = F.when(~linked, "broken link").when(F.col("_wrong"), "hash mismatch")
     return rows.withColumn("problem", problem).select(*names, "problem")
 

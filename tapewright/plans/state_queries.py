@@ -374,7 +374,7 @@ def rule_details(spark: SparkSession, d: str) -> DataFrame:
 )
 def chains_since_marks(spark: SparkSession, d: str) -> DataFrame:
     """Logs that grew after a check: what came since is checked alone, and forgery before the mark is left to the full check."""
-    whole = written(_chained(spark, d), "chain")  # linked once, checked three times
+    whole = written(_chained(spark, d), "chain", "zstd")  # linked once, checked three times
     before = whole.filter("event_id <= 6000")
     good = chain.checked(before, *_CHAIN, nested=("after_value",)).filter("problem is not null")
     marks = written(chain.marked(before, ["user_id"], "event_id", problems=good), "marks")
@@ -388,8 +388,8 @@ def chains_since_marks(spark: SparkSession, d: str) -> DataFrame:
 @register(f"{_CHAIN_SQL} SELECT 'audit' AS chain, false AS ok, count(*) AS problems FROM c WHERE event_id % 89 = 0 UNION ALL SELECT 'records', true, 0")
 def chains_reported(spark: SparkSession, d: str) -> DataFrame:
     """Audit and record chains in one result: the one forged, the other whole."""
-    audit = written(_chained(spark, d), "chain").withColumn("event_type", F.when(F.col("event_id") % 89 == 0, "forged").otherwise(F.col("event_type")))
+    audit = written(_chained(spark, d), "chain", "zstd").withColumn("event_type", F.when(F.col("event_id") % 89 == 0, "forged").otherwise(F.col("event_type")))
     records = chain.appended(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"])
-    records = written(records, "chain")
+    records = written(records, "chain", "zstd")
     whole = chain.checked(records, ["o_custkey"], ["o_orderkey"], ["o_orderkey", "o_orderstatus"]).select("o_custkey", "o_orderkey", "problem")
     return chain.report(audit=chain.checked(audit, *_CHAIN, nested=("after_value",)).select("user_id", "event_id", "problem"), records=whole).select("chain", "ok", "problems")

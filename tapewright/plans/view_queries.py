@@ -81,7 +81,7 @@ def audit_chain_appended(spark: SparkSession, d: str) -> DataFrame:
 def audit_chain_first_break(spark: SparkSession, d: str) -> DataFrame:
     """Forged contents and cut links, the first of each chain."""
     k = F.col("event_id")
-    forged = written(_chained(spark, d), "chain").withColumn("event_type", F.when(k % 89 == 0, "forged").otherwise(F.col("event_type"))).withColumn("prev_hash", F.when(k % 97 != 0, F.col("prev_hash")))
+    forged = written(_chained(spark, d), "chain", "zstd").withColumn("event_type", F.when(k % 89 == 0, "forged").otherwise(F.col("event_type"))).withColumn("prev_hash", F.when(k % 97 != 0, F.col("prev_hash")))
     return chain.first_break(forged, *_CHAIN, nested=("after_value",))
 
 

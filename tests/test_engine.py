@@ -154,3 +154,23 @@ def test_english_that_says_nothing():
     for text in ("", "the weather is bad", "interest rate is 36"):
         with pytest.raises(ValueError):
             english.draft(text)
+
+
+def test_digests_move_as_bytes(spark):
+    """No shuffle of a check holds a digest as text."""
+    rows = spark.createDataFrame([("a", i, "x" * 64, "x" * 64) for i in range(4)], "chain string, seq long, prev_hash string, hash string")
+    checked = chain.checked(rows, ["chain"], ["seq"], ["seq"]).select("chain", "seq", "problem")
+    windows, todo = [], [checked._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("Window", "Aggregate"):
+            windows.append(node.children().apply(0).schema().catalogString())
+    assert windows and not any("hash" in w for w in windows)
+
+
+def test_packed_digests_are_equal_for_equal_text_only(spark):
+    texts = ["", "ab", "AB", "aB", "abc", "0ab", "00ab", "\x00", "\x01", "é", "zz", "ab" * 32, "AB" * 32, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chain._packed(F.col("t")).alias("p")).collect()
+    assert len({bytes(r.p) for r in rows if r.p is not None}) == len(texts) - 1 and [r.t for r in rows if r.p is None] == [None]
+    assert max(len(r.p) for r in rows if r.t == "ab" * 32) == 33
