@@ -51,20 +51,23 @@ class Ledger:
         entries = self._entries(stage)
         return self._tables(stage, *entries[-1]) if entries else None
 
-    def once(self, stage: str, inputs: str, make: Callable[[], dict[str, DataFrame]], force: bool = False) -> dict[str, DataFrame]:
+    def once(self, stage: str, inputs: str, make: Callable[[], dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]], force: bool = False) -> dict[str, DataFrame]:
         """The stage's tables for these inputs: read if they were made before, made otherwise.
 
-        ``make`` isn't called if they were; nothing but the ledger's names is read then.
+        ``make`` isn't called if they were; nothing but the ledger's names is read then.  A table may be
+        a function of those that the stage wrote before it, so that what they took isn't done again.
         """
         entries = self._entries(stage)
         same = [n for n, d in entries if d == inputs]
         if same and not force:
             self.log.append((stage, False))
             return self._tables(stage, same[-1], inputs)
-        told = {}
+        told, done = {}, {}
         for name, df in make().items():
+            df = df(done) if callable(df) else df
             folder = f"tables/{stage}/{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.path}/{folder}")
+            done[name] = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
             told[name] = {"folder": folder, "schema": ", ".join(f"`{c}` {t}" for c, t in df.dtypes)}
         number = 1 + max((n for n, _ in entries), default=0)
         put_text(self.spark, json.dumps(told), f"{self.path}/ledger/{stage}/{number:08d}-{inputs}.json")

@@ -75,7 +75,12 @@ def blended(records: DataFrame, trust_policy: DataFrame, pins: DataFrame | None)
     """(winners, canonical rows) of records."""
     flat = records.select("source_system", "version", F.col("raw_record_id").alias("record_id"), *(F.col(f"data.{f}").alias(f) for f in contracts.FIELD_TYPES if f != "source_system"))
     winners = canonical.blend(flat, trust_policy, "loan_id", _fields(), pins)
-    return winners, canonical.wide(winners, "loan_id", _fields())
+    return winners, widened(winners)
+
+
+def widened(winners: DataFrame) -> DataFrame:
+    """Canonical rows of winners."""
+    return canonical.wide(winners, "loan_id", _fields())
 
 
 def scored(rows: DataFrame, results: DataFrame, dataset: DataFrame, exceptions: DataFrame, winners: DataFrame) -> DataFrame:

@@ -62,8 +62,8 @@ def verify_folder(
 
     def blend() -> Tables:
         policy = contracts.trust_table(spark, trust_rows)
-        winners, rows = pipeline.blended(one["records"], policy, pins and pins["pins"])
-        return {"winners": winners, "canonical": rows}
+        winners, _ = pipeline.blended(one["records"], policy, pins and pins["pins"])
+        return {"winners": winners, "canonical": lambda done: pipeline.widened(done["winners"])}
 
     four = ledger.once("blend", digest(files, by_trust, pinned), blend, force)
 

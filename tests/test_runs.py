@@ -198,3 +198,13 @@ def test_bad_edits_stay_open_over_runs(spark, tmp_path, tapes_of):
         found = {(r["raw_record_id"] is None, r["status"], r["is_blocking"]) for r in tables["exceptions"].collect()}
         assert found == {(False, "resolved", True), (True, "open", True)}
         assert {r["loan_id"] for r in tables["ready"].collect()} == {"L2"}
+
+
+def test_a_stage_reads_what_it_wrote_before(spark, tmp_path):
+    read = []
+
+    def make():
+        return {"a": spark.range(3).toDF("x"), "b": lambda done: (read.extend(done["a"].inputFiles()), done["a"].filter("x > 0"))[1]}
+
+    out = Ledger(spark, str(tmp_path)).once("s", "d", make)
+    assert out["b"].count() == 2 and read and all("/tables/s/a-" in p for p in read)
