@@ -1,6 +1,7 @@
 import hashlib
 
 import duckdb
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -72,3 +73,26 @@ def test_whole_tables_stage_by_stage(spark):
     for r in coded(spark, taken, folder).collect():
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, small, monkeypatch):
+    def sizes(docs, *_):
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches), "n long")
+
+    for name, stage in (("encode_decode", corpus_pipeline.bpe), ("accepted", corpus_pipeline.toxicity)):
+        monkeypatch.setattr(corpus_pipeline, name, sizes)
+        monkeypatch.setattr(corpus_pipeline, "fit", lambda *_: None)
+        got = [r.n for r in stage(spark, spark.range(0, 5000, 1, 1), small).collect()]
+        assert sum(got) == 5000 and max(got) <= corpus_pipeline.BATCH
+
+
+def test_few_copies_shuffle_no_texts(spark, messy, small):
+    """With few keys to leave out, the rows that stay aren't sorted or dealt out."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = corpus_pipeline.near_duplicate(spark, messy, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
