@@ -44,6 +44,8 @@ SEGMENTS = 0.8
 BAND = 3
 #: Bits of a join value: so many move with every bucket of a class.
 VALUE_BITS = 48
+#: Sizes from here on aren't told apart where buckets are cut by size, so there they are cut less.
+LARGE = (1 << 16) - 1
 #: Values held by fewer documents than this within one input split aren't reported as frequent by it, so a value that
 #: is spread over many splits would go unnoticed however many documents hold it: all values of one class in ``SAMPLED``
 #: (by its fingerprint) are counted over the whole table as well.
@@ -199,7 +201,7 @@ def _members(rule: Rule):
 
 
 def _entries(rule: Rule, frequent: Frequent):
-    """(key, size, fp) for each bucket of a text's class, once a task however many copies it holds; size is n + 2^32 salt."""
+    """(entry, fp, salt) for each bucket of a text's class, once a task however many copies it holds; entry is the value and, in the last 16 bits, the size, of large sets ``LARGE``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -216,10 +218,10 @@ def _entries(rule: Rule, frequent: Frequent):
             if not keys:
                 continue
             each = [len(k) for k in keys]
-            fp, size = np.repeat(np.array(names, np.int64), each), np.repeat(np.array(sizes, np.int64), each)
+            fp, size = np.repeat(np.array(names, np.int64), each), np.repeat(np.minimum(np.array(sizes, np.int64), LARGE), each)
             key = np.concatenate(keys)
             salts = 1 + frequent.times(key) // SALTED
-            yield pd.DataFrame({"key": key, "size": size + (np.where(salts > 1, 1 + fp % salts, 0) << 32), "fp": fp})
+            yield pd.DataFrame({"entry": key << 16 | size, "fp": fp, "salt": np.where(salts > 1, 1 + fp % salts, 0)})
 
     return run
 
@@ -329,7 +331,10 @@ def _near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
 
     # buckets by size, cut where sizes allow no link any more; window rows stream, so a bucket needs no memory
     by_size = Window.partitionBy("key", "salt").orderBy("n", "fp")
-    rows = docs.select("text").mapInPandas(entries, "key long, size long, fp long").select("key", F.shiftright("size", 32).alias("salt"), F.expr("size & 4294967295").alias("n"), "fp")
+    # rows are dealt out as they are and taken apart behind that: wider ones cost more the fewer of a class meet in a task
+    value = F.shiftrightunsigned("entry", 16)
+    rows = docs.select("text").mapInPandas(entries, "entry long, fp long, salt long").repartition(value, "salt")
+    rows = rows.select(value.alias("key"), "salt", F.expr("entry & 65535").alias("n"), "fp")
     rows = rows.withColumn("last", F.lag("fp").over(by_size)).withColumn("n_last", F.lag("n").over(by_size)).filter("last is null or last <> fp")
     gap = F.when(F.col("n_last") * rule.den < F.col("n") * rule.num, 1).otherwise(0)
     rows = rows.withColumn("part", F.sum(gap).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))

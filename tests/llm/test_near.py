@@ -126,3 +126,16 @@ def test_frequent_values_are_told_apart():
     counts = dict(zip(known.tolist(), range(1, len(known) + 1)))
     assert Frequent(known, np.arange(1, len(known) + 1)).times(asked).tolist() == [counts.get(v, 0) for v in asked.tolist()]
     assert not Frequent(known[:0], known[:0]).times(asked).any()
+
+
+def test_sizes_beyond_their_bits_lose_no_link(spark):
+    words = [f"z{i}" for i in range(110_000)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate((110_000, 80_000, 66_000, 51_000, 36_000))]  # the middle three link
+    same(near_duplicates(documents(spark, rows).repartition(3)), rows)
+
+
+def test_entries_are_two_numbers_and_a_salt(spark):
+    """Values and sizes share one number, so a row is no wider than that where classes meet."""
+    frame = next(parity_join._entries(Rule(3, 4, 5), Frequent(*[np.empty(0, np.int64)] * 2))(iter([parity_join.pd.DataFrame({"text": [PROSE, None, PROSE]})])))
+    assert frame.columns.tolist() == ["entry", "fp", "salt"] and (frame["entry"] & 65535).unique().tolist() == [len(shingles(PROSE))]
+    assert set(frame["entry"].to_numpy().view(np.uint64) >> np.uint64(16)) <= {int(v) for v in Rule(3, 4, 5).keys(shingle_set(PROSE, 5), (np.empty(0, np.int64),) * 2)}
